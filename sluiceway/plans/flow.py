@@ -312,7 +312,12 @@ class Flow:
                     frame = frame.observe(counters[i], F.count(F.lit(1)).alias("n"))
                 built[i] = frame
             total = None if row_limit is None else guard_row_count(built[0], row_limit)
-            self._check_targets(built, check_data, strict_types, tables or {})
+            self._check_schemas(built)
+            if check_data:
+                # computed once; the counts and the write then read the copy
+                for i in {self._place_of(t) for t in self.targets if t.contract}:
+                    built[i] = self._kept(built[i], "table", kept, scratch)
+                self._check_rows(built, strict_types, tables or {})
             for target in self.targets:
                 pending.append((target, target.sink.stage(built[self._place_of(target)])))
             rows: dict[str, int] = {}
@@ -355,24 +360,26 @@ class Flow:
             return self.spark.read.schema(frame.schema).parquet(folder.path)
         raise FlowError(f"share must be persist, table or None, got: {share}")
 
-    def _check_targets(
+    def _check_schemas(self, built: Mapping[int, DataFrame]) -> None:
+        for target in self.targets:
+            if target.contract:
+                findings = schema_findings(built[self._place_of(target)], target.contract)
+                failed = [c.message for c in findings if c.status is Status.FAILED]
+                if failed:
+                    raise StepError("; ".join(failed))
+
+    def _check_rows(
         self,
         built: Mapping[int, DataFrame],
-        check_data: bool,
         strict_types: bool,
         tables: Mapping[str, DataFrame],
     ) -> None:
         for target in self.targets:
-            if not target.contract:
-                continue
-            frame = built[self._place_of(target)]
-            failed = [c for c in schema_findings(frame, target.contract) if c.status is Status.FAILED]
-            if failed:
-                raise StepError("; ".join(c.message for c in failed))
-            if check_data:
-                # one row per failed rule and column
-                counted = full_checks(frame, target.contract, tables, strict_types)
-                bad = counted.where(F.col("status") == Status.FAILED.value).collect()
+            if target.contract:
+                frame = built[self._place_of(target)]
+                checks = full_checks(frame, target.contract, tables, strict_types)
+                # at most one row per rule and column
+                bad = checks.where(F.col("status") == Status.FAILED.value).collect()
                 if bad:
                     raise StepError("; ".join(row["message"] for row in bad))
 

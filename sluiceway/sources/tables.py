@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluiceway.functions.expression import quoted
 from sluiceway.operators.sqlsteps import run_select
@@ -53,3 +53,12 @@ def guard_row_count(df: DataFrame, row_limit: int) -> int:
             f"Source table has {total} rows which exceeds the limit of {row_limit}"
         )
     return total
+
+
+def row_count_report(df: DataFrame, row_limit: int) -> DataFrame:
+    """The guard's answer as one lazy row: the count and whether it is allowed."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "n_rows",
+        F.lit(row_limit).cast("bigint").alias("row_limit"),
+        (F.col("n_rows") <= row_limit).alias("within_limit"),
+    )

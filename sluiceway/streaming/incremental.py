@@ -62,5 +62,12 @@ def run_new(
         query = writer.format("parquet").outputMode("append").option("path", target).start()
     else:
         query = writer.foreachBatch(each_batch).start()
-    query.awaitTermination()
-    return sum(progress["numInputRows"] for progress in query.recentProgress)
+    # Spark keeps the last hundred progress reports only, so they are read on the way
+    taken: dict[int, int] = {}
+    finished = False
+    while not finished:
+        finished = query.awaitTermination(1)
+        for progress in query.recentProgress:
+            batch = progress["batchId"]
+            taken[batch] = max(taken.get(batch, 0), progress["numInputRows"])
+    return sum(taken.values())
