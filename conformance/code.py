@@ -167,24 +167,28 @@ def code_batches(spark, sf_dir):
 
 @query(
     """
-    SELECT event_id, user_id, round(value - avg(value) OVER (PARTITION BY user_id), 6) AS offset_value
-    FROM events
+    SELECT event_id, user_id,
+           CAST(cents * count(*) OVER u - sum(cents) OVER u AS BIGINT) AS off_mean,
+           cents * count(*) OVER u > sum(cents) OVER u AS above_mean
+    FROM (SELECT event_id, user_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events) AS t
+    WINDOW u AS (PARTITION BY user_id)
     """
 )
 def code_grouped(spark, sf_dir):
+    # whole cents times the group size: exact, however the sum was put together
     def center(rows):
-        offset = (rows["value"] - rows["mean_value"]).round(6)
-        return rows[["event_id", "user_id"]].assign(offset_value=offset)
+        off = rows["cents"] * rows["n_events"] - rows["sum_cents"]
+        return rows[["event_id", "user_id"]].assign(off_mean=off, above_mean=off > 0)
 
     return (
         table(spark, sf_dir, "events")
-        .select("event_id", "user_id", "value")
+        .select("event_id", "user_id", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
         .transform(
             group_relative(
                 ["user_id"],
-                {"mean_value": F.avg("value")},
+                {"n_events": F.count(F.lit(1)), "sum_cents": F.sum("cents")},
                 center,
-                "event_id bigint, user_id bigint, offset_value double",
+                "event_id bigint, user_id bigint, off_mean bigint, above_mean boolean",
             )
         )
     )

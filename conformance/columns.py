@@ -272,12 +272,12 @@ def name_search(spark, sf_dir):
 @query(
     """
     SELECT doc_id FROM documents
-    WHERE regexp_matches(lower(text), '(?s)q.*z.*\\?.*x.*\\(')
+    WHERE regexp_matches(lower(text), '(?s)q.*z.*\\.')
     """
 )
 def name_search_long_text(spark, sf_dir):
     return (
         table(spark, sf_dir, "documents")
-        .where(subsequence_match(F.col("text"), "qz?x("))
+        .where(subsequence_match(F.col("text"), "QZ."))
         .select("doc_id")
     )

@@ -85,8 +85,8 @@ def contract_names(spark, sf_dir):
     counts AS (
       SELECT count(*) FILTER (customer IS NULL) AS no_customer,
              count(*) FILTER (price LIKE '%?') AS bad_price, count(*) AS n FROM o)
-    SELECT 'column_name_check' AS rule, NULL AS "column", 'passed' AS status, NULL AS expected,
-           NULL AS actual, CAST(NULL AS BIGINT) AS violations,
+    SELECT 'column_name_check' AS rule, NULL AS "column", 'passed' AS status,
+           CAST(NULL AS VARCHAR) AS expected, CAST(NULL AS VARCHAR) AS actual, CAST(NULL AS BIGINT) AS violations,
            'All column names valid and unique' AS message
     UNION ALL SELECT 'not_null', 'key', 'passed', 'bigint', 'bigint', 0, 'key: ok'
     UNION ALL SELECT 'not_null', 'customer', 'failed', 'bigint', 'bigint', no_customer,
@@ -118,8 +118,8 @@ def contract_types_nulls(spark, sf_dir):
 
 @query(
     """
-    SELECT 'column_name_check' AS rule, NULL AS "column", 'passed' AS status, NULL AS expected,
-           NULL AS actual, CAST(NULL AS BIGINT) AS violations,
+    SELECT 'column_name_check' AS rule, NULL AS "column", 'passed' AS status,
+           CAST(NULL AS VARCHAR) AS expected, CAST(NULL AS VARCHAR) AS actual, CAST(NULL AS BIGINT) AS violations,
            'All column names valid and unique' AS message
     UNION ALL SELECT 'primary_key', 'o_orderkey', 'passed', NULL, NULL,
            count(*) - count(DISTINCT o_orderkey), 'o_orderkey: ok' FROM orders

@@ -7,6 +7,8 @@ them are closures, so they travel with the task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
+from operator import and_
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -59,7 +61,7 @@ def with_group_values(
     df: DataFrame,
     keys: list[str],
     values: Mapping[str, Column],
-    large_groups: int = 1000,
+    large_groups: int = 10_000,
 ) -> DataFrame:
     """Add aggregates of each row's group without bringing a group together.
 
@@ -69,25 +71,46 @@ def with_group_values(
     part in ``large_groups`` of the table, so the shuffled join of the rest has
     no hot key. Null keys form a group of their own.
     """
-    size, flag = "_group_rows", "_large_group"
-    totals = df.groupBy(*[quoted(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias(size), *[value.alias(name) for name, value in values.items()]
+    clash = [name for name in values if name in df.columns]
+    if clash:
+        raise StepError(f"group values would hide columns: {clash}")
+    key_names = [f"_key_{i}" for i in range(len(keys))]
+    totals = (
+        df.groupBy(*[quoted(k).alias(k) for k in keys])
+        .agg(
+            F.count(F.lit(1)).alias("_size"),
+            *[value.alias(name) for name, value in values.items()],
+        )
+        .select(
+            *[quoted(k).alias(name) for k, name in zip(keys, key_names)],
+            "_size",
+            *[quoted(name).alias(f"_value_{i}") for i, name in enumerate(values)],
+        )
     )
-    renamed = totals.select(
-        *[quoted(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
-        *[quoted(name) for name in values],
-        size,
-    )
-    same_key = [quoted(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
-    output = [*[quoted(c) for c in df.columns], *[quoted(name) for name in values]]
+    large = F.broadcast(totals.orderBy(F.desc("_size"), *key_names).limit(large_groups)).alias("big")
+    other = totals.alias("other")
+
+    def same_key(side: str) -> Column:
+        pairs = zip(keys, key_names)
+        return reduce(and_, [quoted(k).eqNullSafe(F.col(f"{side}.{name}")) for k, name in pairs])
 
-    largest = renamed.orderBy(F.desc(size), *[f"_key_{i}" for i in range(len(keys))]).limit(
-        large_groups
+    columns = [quoted(name) for name in df.columns]
+    marked = df.join(large, same_key("big"), "left")
+    in_large = marked.where(F.col("big._size").isNotNull()).select(
+        *columns, *[F.col(f"big._value_{i}").alias(name) for i, name in enumerate(values)]
     )
-    in_large = df.join(F.broadcast(largest), same_key, "inner").select(*output)
-    marked = F.broadcast(largest.select(*[f"_key_{i}" for i in range(len(keys))]))
+    # both sides of the coalesce and both sizes are named so that all uses of
+    # ``totals`` need the same columns and share one shuffle
     in_rest = (
-        df.join(marked, same_key, "left_anti").join(renamed, same_key, "inner").select(*output)
+        marked.where(F.col("big._size").isNull())
+        .join(other, same_key("other") & (F.col("other._size") > 0), "inner")
+        .select(
+            *columns,
+            *[
+                F.coalesce(f"big._value_{i}", f"other._value_{i}").alias(name)
+                for i, name in enumerate(values)
+            ],
+        )
     )
     return in_large.unionAll(in_rest)
 

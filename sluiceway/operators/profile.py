@@ -38,7 +38,11 @@ def table_profile(
     columns: Sequence[str] | None = None,
     distinct: str = "exact",
 ) -> DataFrame:
-    """One row per column, in table order, from one aggregation over the table.
+    """One row per column, in table order.
+
+    Counts and bounds come from one aggregation without grouping. Exact distinct
+    counts come from a second one, kept apart because text bounds would make
+    Spark sort all values where a hash table will do.
 
     ``distinct`` is ``exact`` or ``approx``; the latter keeps a fixed-size
     sketch per column and shuffles no values, for tables where counting every
@@ -47,41 +51,75 @@ def table_profile(
     """
     if distinct not in ("exact", "approx"):
         raise ValueError(f"distinct must be exact or approx, got: {distinct}")
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    sums = [F.count(F.lit(1)).alias("n_rows")]
-    for i, field in enumerate(fields):
-        sums.append(F.count(quoted(field.name)).alias(f"_n{i}"))
-        if _orderable(field.dataType):
-            counted = F.count_distinct if distinct == "exact" else F.approx_count_distinct
-            sums.append(counted(_distinct_form(field)).alias(f"_d{i}"))
-            sums.append(F.min(quoted(field.name)).alias(f"_lo{i}"))
-            sums.append(F.max(quoted(field.name)).alias(f"_hi{i}"))
-
-    def row(i: int, field: T.StructField) -> Column:
-        name = catalog_name(field.dataType)
-        present = F.col(f"_n{i}")
+    fields = [
+        (i, field)
+        for i, field in enumerate(df.schema.fields, start=1)
+        if columns is None or field.name in columns
+    ]
+    no_count, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+
+    bounds = [F.count(F.lit(1)).alias("n_rows")]
+    rows = []
+    for i, field in fields:
+        name = quoted(field.name)
+        bounds.append(F.count(name).alias(f"_n{i}"))
+        low = high = no_text
+        estimate = no_count
         if _orderable(field.dataType):
-            different = F.col(f"_d{i}")
-            low, high = (F.col(f"_{end}{i}").cast("string") for end in ("lo", "hi"))
-        else:
-            different = F.lit(None).cast("bigint")
-            low = high = F.lit(None).cast("string")
-        exact = distinct == "exact"
-        unique = (different == present) if exact else F.lit(None).cast("boolean")
-        return F.struct(
-            F.lit(i + 1).alias("position"),
-            F.lit(field.name).alias("column"),
-            F.lit(name).alias("type"),
-            F.lit(category(name)).alias("category"),
-            F.col("n_rows"),
-            (F.col("n_rows") - present).alias("n_null"),
-            different.alias("n_distinct"),
-            low.alias("min_value"),
-            high.alias("max_value"),
-            (F.col("n_rows") > present).alias("has_null"),
-            unique.alias("is_unique"),
-            (unique & (F.col("n_rows") == present)).alias("is_key"),
+            bounds += [F.min(name).alias(f"_lo{i}"), F.max(name).alias(f"_hi{i}")]
+            low, high = F.col(f"_lo{i}").cast("string"), F.col(f"_hi{i}").cast("string")
+            if distinct == "approx":
+                bounds.append(F.approx_count_distinct(name).alias(f"_d{i}"))
+                estimate = F.col(f"_d{i}")
+        rows.append(
+            F.struct(
+                F.lit(i).alias("position"),
+                F.col("n_rows"),
+                F.col(f"_n{i}").alias("n_present"),
+                estimate.alias("n_distinct"),
+                low.alias("min_value"),
+                high.alias("max_value"),
+            )
         )
+    found = df.agg(*bounds).select(F.inline(F.array(*rows)))
+
+    counted = [(i, field) for i, field in fields if _orderable(field.dataType)]
+    if distinct == "exact" and counted:
+        different = df.agg(
+            *[F.count_distinct(_distinct_form(field)).alias(f"_d{i}") for i, field in counted]
+        )
+        per_column = [
+            F.struct(F.lit(i).alias("position"), F.col(f"_d{i}").alias("n_distinct"))
+            for i, _ in counted
+        ]
+        found = found.unionByName(
+            different.select(F.inline(F.array(*per_column))), allowMissingColumns=True
+        )
+    # at most two short rows per column from here on
+    merged = found.groupBy("position").agg(
+        *[
+            F.max(name).alias(name)
+            for name in ("n_rows", "n_present", "n_distinct", "min_value", "max_value")
+        ]
+    )
+
+    def of_column(values: Sequence[str]) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("position"))
 
-    rows = F.array(*[row(i, field) for i, field in enumerate(fields)])
-    return df.agg(*sums).select(F.inline(rows))
+    types = [catalog_name(field.dataType) for field in df.schema.fields]
+    present, n_distinct = F.col("n_present"), F.col("n_distinct")
+    unique = (n_distinct == present) if distinct == "exact" else F.lit(None).cast("boolean")
+    return merged.select(
+        "position",
+        of_column(df.columns).alias("column"),
+        of_column(types).alias("type"),
+        of_column([category(name) for name in types]).alias("category"),
+        "n_rows",
+        (F.col("n_rows") - present).alias("n_null"),
+        "n_distinct",
+        "min_value",
+        "max_value",
+        (F.col("n_rows") > present).alias("has_null"),
+        unique.alias("is_unique"),
+        (unique & (F.col("n_rows") == present)).alias("is_key"),
+    )
