@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
 
 from sluiceway.operators.contracts import (
@@ -25,18 +24,13 @@ from sluiceway.operators.contracts import (
 from sluiceway.operators.sqlsteps import StepError, relation_name
 from sluiceway.plans.steps import Given, Source, Step, Target
 from sluiceway.session import new_scratch_path
-from sluiceway.sinks.base import Folder, Pending, WriteError
-from sluiceway.sources.tables import RowLimitExceeded, guard_row_count
+from sluiceway.sinks.base import Folder, Pending
+from sluiceway.sources.tables import guard_row_count
 
 METRIC_COLUMNS = (
     "position int, step string, status string, duration_ms bigint, "
     "row_count bigint, col_count bigint, message string"
 )
-
-# What a step's text, function or data may raise.
-_STEP_ERRORS = (PySparkException, ValueError, TypeError, KeyError, Py4JError)
-
-
 class FlowError(ValueError):
     """The steps do not form a flow."""
 
@@ -225,7 +219,7 @@ class Flow:
                     frame = frame.limit(sample_source)
                 shown = frame if order_by is None else frame.orderBy(order_by)
                 rows = shown.limit(limit).collect()
-            except _STEP_ERRORS as error:
+            except Exception as error:  # a step's own function may raise anything
                 results.append(
                     StepResult(
                         step.name,
@@ -332,7 +326,7 @@ class Flow:
                 rows=rows,
                 steps=self._metrics(counters, built, spent),
             )
-        except (*_STEP_ERRORS, WriteError, RowLimitExceeded) as error:
+        except Exception as error:  # a step's own function may raise anything
             for _, ready in pending:
                 ready.discard()
             return RunReport("failed", error=str(error))
