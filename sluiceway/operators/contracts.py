@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sluiceway.functions.conversion import converted
 from sluiceway.functions.expression import quoted
 from sluiceway.functions.types import catalog_name, category, spark_type
 from sluiceway.operators.keys import key_check, reference_check
@@ -114,7 +115,8 @@ def schema_findings(
 
 
 def _converted(df: DataFrame, target: TargetColumn) -> Column:
-    value = quoted(target.name).try_cast(spark_type(target.type))
+    current = df.schema[target.name].dataType
+    value = converted(quoted(target.name), current, spark_type(target.type))
     try:
         df.select(value)
     except AnalysisException:  # no cast between these types at all

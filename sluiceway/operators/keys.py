@@ -124,14 +124,25 @@ def reference_check(
     ).withColumn("holds", F.col("orphan_values") == 0)
 
 
-def _family(kind: T.DataType) -> str | None:
-    if isinstance(kind, T.IntegralType):
-        return "integer"
-    if isinstance(kind, T.StringType):
-        return "text"
-    if isinstance(kind, T.DateType):
-        return "date"
-    return None
+# Columns are compared within one of these families, in its common type.
+_FAMILIES = (
+    ("integer", T.IntegralType, "bigint"),
+    ("text", T.StringType, "string"),
+    ("date", T.DateType, "date"),
+)
+
+
+def _masks(sites: int) -> list[tuple[str, Column]]:
+    """For each bigint word, the bits of the sites that were met."""
+    site = F.col("site")
+    words = []
+    for w in range((sites + _WORD - 1) // _WORD):
+        bit = F.when(
+            (site >= w * _WORD) & (site < (w + 1) * _WORD),
+            F.expr(f"shiftleft(1L, site - {w * _WORD})"),
+        ).otherwise(F.lit(0).cast("bigint"))
+        words.append((f"mask{w}", F.bit_or(bit)))
+    return words
 
 
 def discover_references(
@@ -145,44 +156,38 @@ def discover_references(
     sets, not the values, are then spread into column pairs.
     """
     sites: list[tuple[str, str, str]] = []
-    parts: list[DataFrame] = []
+    parts: dict[str, list[DataFrame]] = {}
     for table, df in tables.items():
-        entries = []
-        for field in df.schema.fields:
-            family = _family(field.dataType)
-            if family is None or (columns is not None and field.name not in columns.get(table, ())):
-                continue
-            entries.append(
-                F.struct(
-                    F.lit(len(sites)).alias("site"),
-                    F.lit(family).alias("family"),
-                    quoted(field.name).cast("string").alias("value"),
-                )
-            )
-            sites.append((table, field.name, family))
-        if entries:
-            parts.append(df.select(F.inline(F.array(*entries))))
-    if not parts:
+        for family, kind, common in _FAMILIES:
+            entries = []
+            for field in df.schema.fields:
+                wanted = columns is None or field.name in columns.get(table, ())
+                if wanted and isinstance(field.dataType, kind):
+                    entries.append(
+                        F.struct(
+                            F.lit(len(sites)).alias("site"),
+                            quoted(field.name).cast(common).alias("value"),
+                        )
+                    )
+                    sites.append((table, field.name, family))
+            if entries:
+                found = df.select(F.inline(F.array(*entries))).where("value IS NOT NULL")
+                parts.setdefault(family, []).append(found)
+    if not sites:
         raise ValueError("no columns to compare")
 
-    words = range((len(sites) + _WORD - 1) // _WORD)
-    site = F.col("site")
-    masks = [
-        F.bit_or(
-            F.when(
-                (site >= w * _WORD) & (site < (w + 1) * _WORD),
-                F.expr(f"shiftleft(1L, site - {w * _WORD})"),
-            ).otherwise(F.lit(0).cast("bigint"))
-        ).alias(f"mask{w}")
-        for w in words
-    ]
-    found = reduce(DataFrame.unionAll, parts).where(F.col("value").isNotNull())
-    mask_names = [f"mask{w}" for w in words]
-    sets = (
-        found.groupBy("family", "value")
-        .agg(*masks)
-        .groupBy(*mask_names)
-        .agg(F.count(F.lit(1)).alias("n"))
+    masks = _masks(len(sites))
+    names = [name for name, _ in masks]
+    sets = reduce(
+        DataFrame.unionAll,
+        [
+            reduce(DataFrame.unionAll, found)
+            .groupBy("value")
+            .agg(*[mask.alias(name) for name, mask in masks])
+            .groupBy(*names)
+            .agg(F.count(F.lit(1)).alias("n"))
+            for found in parts.values()
+        ],
     )
     members = F.array_compact(
         F.array(

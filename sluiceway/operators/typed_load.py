@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from sluiceway.functions.conversion import converted
 from sluiceway.functions.expression import quoted
-from sluiceway.functions.text import trim
 from sluiceway.functions.types import canonical_type, spark_type
 
 # Fixed form of a time of day.
@@ -49,19 +49,22 @@ def typed_value(name: str, type_name: str) -> Column:
     """
     if _is_text(type_name):
         return quoted(name)
-    value = F.nullif(trim(quoted(name)), F.lit(""))
+    value = F.btrim(quoted(name))
     canonical = canonical_type(type_name)
     if canonical == "time":
         return _time_of_day(value)
     if canonical == "binary":
-        return _bytes(value)
-    return value.try_cast(spark_type(type_name))
+        return F.when(value != "", _bytes(value))
+    return converted(value, T.StringType(), spark_type(type_name), trimmed=True)
+
+
+def _is_empty(name: str) -> Column:
+    return F.coalesce(F.btrim(quoted(name)) == "", F.lit(True))
 
 
 def is_rejected(name: str, type_name: str) -> Column:
     """True where a value is present but has no reading as ``type_name``."""
-    present = F.coalesce(trim(quoted(name)) != "", F.lit(False))
-    return present & typed_value(name, type_name).isNull()
+    return typed_value(name, type_name).isNull() & ~_is_empty(name)
 
 
 def typed_load(
@@ -118,8 +121,7 @@ def reject_counts(df: DataFrame, column_types: Mapping[str, str]) -> DataFrame:
     names = [name for name in column_types if name in df.columns]
     sums = [F.count(F.lit(1)).alias("n_rows")]
     for i, name in enumerate(names):
-        empty = F.coalesce(trim(quoted(name)) == "", F.lit(True))
-        sums.append(F.count_if(empty).alias(f"_e{i}"))
+        sums.append(F.count_if(_is_empty(name)).alias(f"_e{i}"))
         refused = F.lit(False) if _is_text(column_types[name]) else is_rejected(
             name, column_types[name]
         )

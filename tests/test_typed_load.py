@@ -112,3 +112,29 @@ def test_reject_counts(spark):
         ("n", "int", 3, 1, 1),
         ("s", "text", 3, 1, 0),
     ]
+
+
+@pytest.mark.parametrize(
+    "type_name, good, bad",
+    [
+        ("integer", {"7": 7, "+7": 7, "-0": 0}, ["7.0", "1e3", "0x1", "7 8", "9" * 30]),
+        ("float8", {"1e5": 1e5, ".5": 0.5, "5.": 5.0, "-Infinity": float("-inf")}, ["1.0d", "0x1p3", "e5", "."]),
+        ("numeric(5,1)", {"12.5": 12.5, "1e2": 100.0}, ["NaN", "123456"]),
+        ("boolean", {"t": True, "YES": True, "on": True, "0": False, "off": False}, ["2", "tr", "null"]),
+        ("date", {"2024-02-29": "2024-02-29"}, ["2024", "2024-02", "2023-02-29", "2024-02-03 10:00:00"]),
+        ("timestamp", {"2024-01-02": "2024-01-02 00:00:00", "2024-01-02T03:04:05": "2024-01-02 03:04:05"}, ["03:04", "2024-01-02 25:00:00", "2024-01-02x"]),
+        ("timestamptz", {"2024-01-02 03:04:05+00": "2024-01-02 03:04:05", "2024-01-02 03:04:05-08": "2024-01-02 11:04:05"}, ["now"]),
+    ],
+)
+def test_text_forms(spark, type_name, good, bad):
+    texts = [*good, *bad]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").coalesce(1)
+    loaded = typed_load(df, {"s": type_name}, key=["i"])
+    shown = loaded.rows.orderBy("i")
+    if type_name in ("date", "timestamp", "timestamptz"):
+        shown = shown.select(shown.s.cast("string"))
+    got = [r["s"] for r in shown.collect()]
+    assert [float(v) if type_name.startswith("num") and v is not None else v for v in got] == [
+        *good.values(), *[None] * len(bad)
+    ]
+    assert [r["value"] for r in loaded.rejects.orderBy("i").collect()] == bad
