@@ -14,8 +14,10 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sluiceway.functions.expression import quoted
+from sluiceway.operators.values import comparable, tagged_values
 
 _WORD = 63  # usable bits of one bigint mask
+_KEY_FAMILIES = ("integer", "text", "date")  # what keys are made of
 
 
 def _any_null(names: Sequence[str]) -> Column:
@@ -124,14 +126,6 @@ def reference_check(
     ).withColumn("holds", F.col("orphan_values") == 0)
 
 
-# Columns are compared within one of these families, in its common type.
-_FAMILIES = (
-    ("integer", T.IntegralType, "bigint"),
-    ("text", T.StringType, "string"),
-    ("date", T.DateType, "date"),
-)
-
-
 def _masks(sites: int) -> list[tuple[str, Column]]:
     """For each bigint word, the bits of the sites that were met."""
     site = F.col("site")
@@ -158,21 +152,15 @@ def discover_references(
     sites: list[tuple[str, str, str]] = []
     parts: dict[str, list[DataFrame]] = {}
     for table, df in tables.items():
-        for family, kind, common in _FAMILIES:
-            entries = []
-            for field in df.schema.fields:
-                wanted = columns is None or field.name in columns.get(table, ())
-                if wanted and isinstance(field.dataType, kind):
-                    entries.append(
-                        F.struct(
-                            F.lit(len(sites)).alias("site"),
-                            quoted(field.name).cast(common).alias("value"),
-                        )
-                    )
-                    sites.append((table, field.name, family))
-            if entries:
-                found = df.select(F.inline(F.array(*entries))).where("value IS NOT NULL")
-                parts.setdefault(family, []).append(found)
+        values: dict[str, list[tuple[int, Column]]] = {}
+        for field in df.schema.fields:
+            form = comparable(field)
+            wanted = columns is None or field.name in columns.get(table, ())
+            if wanted and form is not None and form[0] in _KEY_FAMILIES:
+                values.setdefault(form[0], []).append((len(sites), form[1]))
+                sites.append((table, field.name, form[0]))
+        for family, found in values.items():
+            parts.setdefault(family, []).append(tagged_values(df, found))
     if not sites:
         raise ValueError("no columns to compare")
 

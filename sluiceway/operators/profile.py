@@ -8,30 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sluiceway.functions.expression import quoted
 from sluiceway.functions.types import catalog_name, category
-
-_LONG_TEXT = 128
-
-
-def _orderable(kind: T.DataType) -> bool:
-    if isinstance(kind, T.ArrayType):
-        return _orderable(kind.elementType)
-    if isinstance(kind, T.StructType):
-        return all(_orderable(field.dataType) for field in kind.fields)
-    return not isinstance(kind, (T.MapType, T.VariantType))
-
-
-def _distinct_form(field: T.StructField) -> Column:
-    """The value to tell apart: long text is shuffled as its SHA-256 digest.
-
-    The digest form is longer than any text that is kept as it stands, so the
-    two never meet.
-    """
-    value = quoted(field.name)
-    if not isinstance(field.dataType, T.StringType):
-        return value
-    digest = F.concat(F.lit("sha-256:" + "#" * _LONG_TEXT), F.sha2(value, 256))
-    return F.when(F.length(value) > _LONG_TEXT, digest).otherwise(value)
-
+from sluiceway.operators.values import comparable, is_whole, orderable, tagged_values
 
 def table_profile(
     df: DataFrame,
@@ -41,8 +18,8 @@ def table_profile(
     """One row per column, in table order.
 
     Counts and bounds come from one aggregation without grouping. Exact distinct
-    counts come from a second one, kept apart because text bounds would make
-    Spark sort all values where a hash table will do.
+    counts come from one more over the narrow table of all values, where each
+    task first drops the repeats it has seen.
 
     ``distinct`` is ``exact`` or ``approx``; the latter keeps a fixed-size
     sketch per column and shuffles no values, for tables where counting every
@@ -65,7 +42,7 @@ def table_profile(
         bounds.append(F.count(name).alias(f"_n{i}"))
         low = high = no_text
         estimate = no_count
-        if _orderable(field.dataType):
+        if orderable(field.dataType):
             bounds += [F.min(name).alias(f"_lo{i}"), F.max(name).alias(f"_hi{i}")]
             low, high = F.col(f"_lo{i}").cast("string"), F.col(f"_hi{i}").cast("string")
             if distinct == "approx":
@@ -83,19 +60,19 @@ def table_profile(
         )
     found = df.agg(*bounds).select(F.inline(F.array(*rows)))
 
-    counted = [(i, field) for i, field in fields if _orderable(field.dataType)]
-    if distinct == "exact" and counted:
-        different = df.agg(
-            *[F.count_distinct(_distinct_form(field)).alias(f"_d{i}") for i, field in counted]
-        )
-        per_column = [
-            F.struct(F.lit(i).alias("position"), F.col(f"_d{i}").alias("n_distinct"))
-            for i, _ in counted
-        ]
-        found = found.unionByName(
-            different.select(F.inline(F.array(*per_column))), allowMissingColumns=True
-        )
-    # at most two short rows per column from here on
+    forms = {i: comparable(field) for i, field in fields}
+    counted = [(i, form) for i, form in forms.items() if form is not None]
+    for whole in (True, False) if distinct == "exact" else ():
+        values = [(i, value) for i, (family, value) in counted if is_whole(family) == whole]
+        if values:
+            different = (
+                tagged_values(df, values)
+                .distinct()
+                .groupBy(F.col("site").alias("position"))
+                .agg(F.count(F.lit(1)).alias("n_distinct"))
+            )
+            found = found.unionByName(different, allowMissingColumns=True)
+    # at most two short rows per column from here on; a column without values has none
     merged = found.groupBy("position").agg(
         *[
             F.max(name).alias(name)
@@ -107,7 +84,9 @@ def table_profile(
         return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("position"))
 
     types = [catalog_name(field.dataType) for field in df.schema.fields]
-    present, n_distinct = F.col("n_present"), F.col("n_distinct")
+    countable = F.col("position").isin([i for i, _ in counted])
+    present = F.col("n_present")
+    n_distinct = F.when(countable, F.coalesce("n_distinct", F.lit(0).cast("bigint")))
     unique = (n_distinct == present) if distinct == "exact" else F.lit(None).cast("boolean")
     return merged.select(
         "position",
@@ -116,7 +95,7 @@ def table_profile(
         of_column([category(name) for name in types]).alias("category"),
         "n_rows",
         (F.col("n_rows") - present).alias("n_null"),
-        "n_distinct",
+        n_distinct.alias("n_distinct"),
         "min_value",
         "max_value",
         (F.col("n_rows") > present).alias("has_null"),

@@ -197,3 +197,29 @@ def test_ordered_subsequence(spark, query):
 
 def test_pattern_never_goes_back():
     assert subsequence_pattern("aB") == "^[^a]*+a[^b]*+b"
+
+
+def test_distinct_counts_of_every_kind_match_spark(spark):
+    df = spark.sql(
+        """
+        SELECT id % 7 AS whole, cast(id % 5 AS tinyint) AS small,
+               CASE id % 4 WHEN 0 THEN 0.0D WHEN 1 THEN -0.0D WHEN 2 THEN double('NaN') END AS real,
+               cast(id % 3 AS decimal(9, 2)) AS dec, id % 2 = 0 AS flag,
+               date_add(date'2024-01-01', cast(id % 6 AS int)) AS day,
+               timestamp_micros(id % 8) AS instant, timestamp_ntz'2024-01-01' AS plain,
+               array(concat('a, ', id % 2), 'b') AS list, named_struct('x', id % 3, 'y', nullif(id % 2, 1)) AS pair,
+               array(if(id % 2 = 0, 'a', 'a, b'), if(id % 2 = 0, 'b, c', 'c')) AS tricky,
+               unhex(hex(id % 9)) AS raw, repeat(chr(97 + cast(id % 4 AS int)), 300) AS long_text,
+               cast(NULL AS int) AS nothing
+        FROM range(500)
+        """
+    )
+    want = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns]).first().asDict()
+    got = {r["column"]: r["n_distinct"] for r in table_profile(df).collect()}
+    assert got == want
+
+
+def test_profile_carries_single_values_through_its_shuffles(spark):
+    df = spark.range(100).select(*[(F.col("id") % i).alias(f"c{i}") for i in range(1, 41)])
+    plan = table_profile(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "hashpartitioning(site" in plan
