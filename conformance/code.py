@@ -13,8 +13,8 @@ from sluiceway.functions.columns import (
 from sluiceway.operators.codesteps import (
     batches,
     gated,
+    group_fold,
     group_relative,
-    per_group,
     transform,
     with_group_values,
 )
@@ -235,22 +235,29 @@ def code_group_values_many(spark, sf_dir):
     """
 )
 def code_per_group(spark, sf_dir):
-    def spread(rows):
-        import pandas
-
-        value = rows["value"]
-        return pandas.DataFrame(
-            {
-                "user_id": [rows["user_id"].iloc[0]],
-                "n_events": [len(rows)],
-                "spread": [value.max() - value.min()],
-            }
+    def partial(rows):
+        return (
+            rows.groupby("user_id", dropna=False)["value"]
+            .agg(n_events="size", low="min", high="max")
+            .reset_index()
+        )
+
+    def merge(states):
+        return (
+            states.groupby("user_id", dropna=False)
+            .agg({"n_events": "sum", "low": "min", "high": "max"})
+            .reset_index()
         )
 
     return (
         table(spark, sf_dir, "events")
         .select("user_id", "value")
-        .transform(per_group(["user_id"], spread, "user_id bigint, n_events bigint, spread double"))
+        .transform(
+            group_fold(
+                ["user_id"], partial, merge, "user_id bigint, n_events bigint, low double, high double"
+            )
+        )
+        .select("user_id", "n_events", (F.col("high") - F.col("low")).alias("spread"))
     )
 
 

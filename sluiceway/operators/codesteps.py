@@ -148,3 +148,68 @@ def per_group(
         return df.groupBy(*columns).applyInPandas(fn, schema)
 
     return apply
+
+
+def group_fold(
+    keys: list[str],
+    partial: Callable[[pd.DataFrame], pd.DataFrame],
+    merge: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: T.StructType | str,
+    state_rows: int = 100_000,
+) -> TableStep:
+    """A Python aggregate per group, for groups of any size.
+
+    ``partial`` turns rows into states, one row per key; ``merge`` turns states
+    into one state per key, and merging a merged state changes nothing. Each
+    task folds its own rows first and hands on at most ``state_rows`` states at
+    a time, so a hot key travels as one short row per task. The states then meet
+    sorted by key and are folded as they stream by.
+    """
+
+    def plain(states: pd.DataFrame) -> pd.DataFrame:
+        # grouping turns a text column of nulls into floats, which Spark does not take back
+        empty = [c for c in states if states[c].isna().all()]
+        return states.assign(**{c: [None] * len(states) for c in empty})
+
+    def fold_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas
+
+        states = None
+        for part in parts:
+            if part.empty:
+                continue
+            fresh = partial(part)
+            states = fresh if states is None else merge(pandas.concat([states, fresh]))
+            if len(states) >= state_rows:
+                yield plain(states)
+                states = None
+        if states is not None:
+            yield plain(states)
+
+    def fold_states(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas
+
+        held = None
+        for part in parts:
+            if part.empty:
+                continue
+            states = merge(part if held is None else pandas.concat([held, part]))
+            last = part.iloc[-1]
+            # the last key may go on in the next batch
+            open_ = pandas.Series(True, index=states.index)
+            for key in keys:
+                same = states[key].isna() if pandas.isna(last[key]) else states[key] == last[key]
+                open_ &= same
+            held = states[open_]
+            if not open_.all():
+                yield plain(states[~open_])
+        if held is not None:
+            yield plain(held)
+
+    def apply(df: DataFrame) -> DataFrame:
+        columns = [quoted(k) for k in keys]
+        states = df.mapInPandas(fold_rows, schema)
+        met = states.repartition(*columns).sortWithinPartitions(*columns)
+        return met.mapInPandas(fold_states, schema)
+
+    return apply

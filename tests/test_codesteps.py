@@ -9,6 +9,7 @@ from sluiceway.functions.columns import digest, json_text, pattern_group, round_
 from sluiceway.operators.codesteps import (
     batches,
     gated,
+    group_fold,
     group_relative,
     per_group,
     transform,
@@ -107,6 +108,33 @@ def test_per_group_refuses_unbounded_groups(spark):
         df.transform(per_group(["k"], largest, "k int, v int", max_group_rows=1))
 
 
+@pytest.mark.parametrize("state_rows", [3, 100_000])
+def test_group_fold_matches_pandas_in_small_batches(spark, state_rows):
+    df = skewed(spark).withColumn("part", F.col("id") % 2).repartition(5)
+    keys = ["k", "part"]
+
+    def partial(part):
+        return part.groupby(keys, dropna=False)["v"].agg(n="size", top="max").reset_index()
+
+    def merge(states):
+        return states.groupby(keys, dropna=False).agg({"n": "sum", "top": "max"}).reset_index()
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = df.transform(
+            group_fold(keys, partial, merge, "k string, part bigint, n bigint, top bigint", state_rows)
+        )
+        got = rows(out)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = rows(df.groupBy(*keys).agg(F.count(F.lit(1)), F.max("v")))
+    assert got == want and len(got) > 150
+    none = df.where("id < 0").transform(
+        group_fold(keys, partial, merge, "k string, part bigint, n bigint, top bigint")
+    )
+    assert rows(none) == []
+
+
 def test_digests_match_hashlib(spark):
     df = spark.createDataFrame([("añ",), (None,)], "s string")
     for name in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
