@@ -135,6 +135,25 @@ def typed_load_counts(spark, sf_dir):
     )
 
 
+@query(
+    f"""
+    SELECT event_id, user_id, TRY_CAST(amount AS DOUBLE) AS amount,
+           CASE WHEN TRY_CAST(amount AS DOUBLE) IS NULL THEN amount END AS refused
+    FROM (SELECT CAST(event_id AS BIGINT) AS event_id,
+                 CAST(nullif(user_id, '') AS BIGINT) AS user_id, amount
+          FROM ({_EVENTS_AS_TEXT}) AS t) AS typed
+    """
+)
+def typed_load_one_pass(spark, sf_dir):
+    path = new_scratch_path(spark, "marked")
+    text = _events_as_text(spark, sf_dir).select("event_id", "user_id", "amount")
+    typed_load(text, _EVENT_TYPES).marked.write.parquet(path)
+    written = spark.read.parquet(path)
+    return written.select(
+        "event_id", "user_id", "amount", F.get("_rejects.value", 0).alias("refused")
+    )
+
+
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def text_table_typed(spark, sf_dir):
     path = new_scratch_path(spark, "text")

@@ -17,10 +17,17 @@ _TIME = r"^([01]\d|2[0-3]):([0-5]\d)(:([0-5]\d)(\.\d{1,6})?)?$"
 
 @dataclass(frozen=True)
 class TypedLoad:
-    """``rows`` with the declared types, and one row per refused value."""
+    """The outcome of a typed load, as three lazy frames.
+
+    ``rows`` has the declared types and ``rejects`` one row per refused value.
+    ``marked`` is ``rows`` with the refused values of each row in an array
+    ``_rejects``: write it once where a second pass over the text would be dear,
+    and read both from there.
+    """
 
     rows: DataFrame
     rejects: DataFrame
+    marked: DataFrame
 
 
 def _is_text(type_name: str) -> bool:
@@ -75,45 +82,33 @@ def typed_load(
     """Cast ``df`` to ``{column: postgres type name}``; other columns stay text.
 
     ``rejects`` holds the key columns, the column name, its declared type and
-    the raw text. Both frames are one pass over the rows, without a shuffle.
+    the raw text. Each frame is one pass over the text, without a shuffle.
     """
-    key = list(key)
-    rows = df.select(
-        *[
-            typed_value(name, column_types[name]).alias(name)
-            if name in column_types
-            else quoted(name)
-            for name in df.columns
-        ]
-    )
-    checked = [
-        (name, kind)
+    keys = [quoted(name) for name in key]
+    typed = [
+        typed_value(name, column_types[name]).alias(name) if name in column_types else quoted(name)
+        for name in df.columns
+    ]
+    refused = [
+        F.when(
+            is_rejected(name, kind),
+            F.struct(
+                F.lit(name).alias("column"),
+                F.lit(kind).alias("type"),
+                quoted(name).alias("value"),
+            ),
+        )
         for name, kind in column_types.items()
         if name in df.columns and not _is_text(kind)
     ]
-    keys = [quoted(name) for name in key]
-    if not checked:
-        found = df.where(F.lit(False)).select(
-            *keys, *[F.lit(None).cast("string").alias(c) for c in ("column", "type", "value")]
-        )
-        return TypedLoad(rows, found)
-    refused = F.array(
-        *[
-            F.when(
-                is_rejected(name, kind),
-                F.struct(
-                    F.lit(name).alias("column"),
-                    F.lit(kind).alias("type"),
-                    quoted(name).alias("value"),
-                ),
-            )
-            for name, kind in checked
-        ]
-    )
-    rejects = df.select(*keys, F.explode(F.array_compact(refused)).alias("_reject")).select(
+    if refused:
+        found = F.array_compact(F.array(*refused))
+    else:
+        found = F.lit(None).cast("array<struct<column: string, type: string, value: string>>")
+    rejects = df.select(*keys, F.explode(found).alias("_reject")).select(
         *keys, "_reject.column", "_reject.type", "_reject.value"
     )
-    return TypedLoad(rows, rejects)
+    return TypedLoad(df.select(*typed), rejects, df.select(*typed, found.alias("_rejects")))
 
 
 def reject_counts(df: DataFrame, column_types: Mapping[str, str]) -> DataFrame:

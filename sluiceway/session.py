@@ -15,9 +15,8 @@ MEANING = {
     "spark.sql.ansi.doubleQuotedIdentifiers": "true",
 }
 
-# Settings that only change how the work is spread. AQE starts from many small
-# shuffle partitions and merges them at run time, so that one value serves both
-# a laptop and a large cluster; skewed join partitions are split.
+# Settings that only change how the work is spread: AQE merges small shuffle
+# partitions at run time and splits skewed join partitions.
 SPREAD = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -29,6 +28,8 @@ SPREAD = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+CLUSTER_PARTITIONS = 10_000
+
 
 def build_session(
     app_name: str = "sluiceway",
@@ -36,13 +37,21 @@ def build_session(
     shuffle_partitions: int | None = None,
     **extra: str,
 ) -> SparkSession:
-    """A session with the settings above; ``extra`` keys use ``__`` for dots."""
+    """A session with the settings above; ``extra`` keys use ``__`` for dots.
+
+    Off a local master shuffles start with ``CLUSTER_PARTITIONS`` parts unless
+    told otherwise: AQE can merge parts that turn out small, but not split all
+    of them when there are too few.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     settings = {**MEANING, **SPREAD}
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    elif not (master or "").startswith("local"):
+        start = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+        settings[start] = str(CLUSTER_PARTITIONS)
     settings.update({key.replace("__", "."): str(value) for key, value in extra.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)

@@ -106,6 +106,16 @@ def test_untyped_columns_stay_and_text_never_fails(spark):
     assert loaded.rejects.columns == ["column", "type", "value"] and loaded.rejects.count() == 0
 
 
+def test_marked_rows_carry_their_rejects(spark):
+    df = spark.createDataFrame([("1", "x"), ("a", "2"), ("b", "c")], "n string, m string")
+    marked = typed_load(df, {"n": "int", "m": "int"}).marked
+    assert [(r["n"], r["m"], [(x["column"], x["value"]) for x in r["_rejects"]]) for r in marked.collect()] == [
+        (1, None, [("m", "x")]),
+        (None, 2, [("n", "a")]),
+        (None, None, [("n", "b"), ("m", "c")]),
+    ]
+
+
 def test_reject_counts(spark):
     df = spark.createDataFrame([("1", "x"), ("", "y"), ("z", None)], "n string, s string")
     assert rows(reject_counts(df, {"n": "int", "s": "text"})) == [
