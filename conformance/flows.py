@@ -100,8 +100,7 @@ def multi_input_union_join(spark, sf_dir):
         [
             Source(
                 "people",
-                query=None,
-                frame=table(spark, sf_dir, "customer").selectExpr(
+                table(spark, sf_dir, "customer").selectExpr(
                     "c_nationkey AS nation", "c_acctbal AS balance"
                 ),
             ),

@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
@@ -25,6 +25,7 @@ from sluiceway.operators.sqlsteps import StepError, relation_name
 from sluiceway.plans.steps import Given, Source, Step, Target
 from sluiceway.session import new_scratch_path
 from sluiceway.sinks.base import Folder, Pending
+from sluiceway.sinks.files import DryRun
 from sluiceway.sources.tables import guard_row_count
 
 METRIC_COLUMNS = (
@@ -68,13 +69,18 @@ class StepMetric:
 
 @dataclass
 class RunReport:
-    """Outcome of a run; ``rows`` counts per target."""
+    """Outcome of a run; ``rows`` counts per target.
+
+    ``targets`` tells of each target whether it was written, was skipped by a
+    dry run, or stayed unchanged because there were no rows.
+    """
 
     status: str
     rows_processed: int = 0
     total_rows: int = 0
     error: str | None = None
     rows: dict[str, int] = field(default_factory=dict)
+    targets: dict[str, str] = field(default_factory=dict)
     steps: list[StepMetric] = field(default_factory=list)
 
     def metrics(self, spark: SparkSession) -> DataFrame:
@@ -142,6 +148,8 @@ class Flow:
             raise FlowError("A flow needs at least one step")
         if len(self._place) != len(self.steps):
             raise FlowError("Step names must differ")
+        if len({target.name for target in self.targets}) != len(self.targets):
+            raise FlowError("Target names must differ")
         for target in self.targets:
             if target.step is not None and target.step not in self._place:
                 raise FlowError(f"Target '{target.name}' reads unknown step '{target.step}'")
@@ -315,8 +323,13 @@ class Flow:
             for target in self.targets:
                 pending.append((target, target.sink.stage(built[self._place_of(target)])))
             rows: dict[str, int] = {}
-            for target, ready in pending:
-                rows[target.name] = rows.get(target.name, 0) + ready.commit()
+            told: dict[str, str] = {}
+            # inserts can still fail and go first; the switches follow
+            for target, ready in sorted(pending, key=lambda pair: pair[1].quick):
+                n = rows[target.name] = ready.commit()
+                told[target.name] = (
+                    "skipped" if ready.skipped else "written" if n else "unchanged"
+                )
             written = sum(rows.values())
             spent = _ms(began)
             return RunReport(
@@ -324,6 +337,7 @@ class Flow:
                 written,
                 written if total is None or written == 0 else total,
                 rows=rows,
+                targets=told,
                 steps=self._metrics(counters, built, spent),
             )
         except Exception as error:  # a step's own function may raise anything
@@ -336,6 +350,11 @@ class Flow:
             for folder in scratch:
                 folder.remove()
 
+    def dry_run(self, **options) -> RunReport:
+        """Everything a run does but the write; the targets are told as skipped."""
+        skipping = [replace(target, sink=DryRun()) for target in self.targets]
+        return Flow(self.spark, self.steps, skipping).run(**options)
+
     def _consumers(self, i: int) -> int:
         return sum(i in reads for reads in self._reads) + sum(
             self._place_of(t) == i for t in self.targets

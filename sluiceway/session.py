@@ -58,22 +58,26 @@ def build_session(
     return builder.getOrCreate()
 
 
+_local_scratch: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``.
+    """The shared folder named in ``spark.checkpoint.dir`` or set on the context.
 
     A machine-local folder is made only on a local master, where the driver and
     the executors are one process.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder that every executor can reach"
         )
-    local = tempfile.mkdtemp(prefix="sluiceway-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if context.applicationId not in _local_scratch:
+        _local_scratch[context.applicationId] = tempfile.mkdtemp(prefix="sluiceway-")
+    return _local_scratch[context.applicationId]
 
 
 def new_scratch_path(spark: SparkSession, label: str) -> str:

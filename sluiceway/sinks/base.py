@@ -21,11 +21,14 @@ class WriteError(RuntimeError):
 class Pending:
     """A write that is ready to be switched in or dropped.
 
-    ``commit`` returns the number of rows written.
+    ``commit`` returns the number of rows written. It is ``quick`` if all rows
+    are computed and only a switch is left.
     """
 
     commit: Callable[[], int]
     discard: Callable[[], None] = lambda: None
+    quick: bool = False
+    skipped: bool = False
 
 
 class Sink(Protocol):

@@ -75,7 +75,7 @@ class ReplaceFiles:
             spark.catalog.refreshByPath(self.path)
             return total
 
-        return Pending(commit, staging.remove)
+        return Pending(commit, staging.remove, quick=True)
 
 
 def write_and_verify(df: DataFrame, staging: Folder, file_format: str) -> int:
@@ -147,7 +147,7 @@ class ReplaceTable:
                 Folder(spark, detail["Location"]).remove()
             return total
 
-        return Pending(commit, fresh.remove)
+        return Pending(commit, fresh.remove, quick=True)
 
 
 @dataclass(frozen=True)
@@ -157,4 +157,4 @@ class DryRun:
     def stage(self, df: DataFrame) -> Pending:
         rows, count = counted(df)
         rows.write.format("noop").mode("overwrite").save()
-        return Pending(count)
+        return Pending(count, quick=True, skipped=True)

@@ -263,3 +263,34 @@ def test_runs_without_metrics_keep_filters_at_the_scan(spark, users, tmp_path):
 def test_run_needs_a_target(spark, users):
     with pytest.raises(FlowError, match="needs a target"):
         Flow(spark, [Source("s", users)]).run()
+
+
+def test_dry_run_checks_but_does_not_write(spark, users, tmp_path):
+    path = str(tmp_path / "out")
+    flow = simple_flow(spark, users, ReplaceFiles(path), contract=[TargetColumn("id", "int4", is_primary_key=True)])
+    report = flow.dry_run(check_data=True)
+    assert (report.status, report.rows, report.targets) == ("completed", {"target": 3}, {"target": "skipped"})
+    assert list(tmp_path.iterdir()) == []
+    assert flow.run().targets == {"target": "written"}
+    none = simple_flow(spark, users, ReplaceFiles(path), "SELECT id, name FROM {prev} WHERE id > 9")
+    assert none.run().targets == {"target": "unchanged"}
+
+
+def test_a_failing_insert_leaves_the_switch_undone(spark, users, tmp_path):
+    replaced, appended = str(tmp_path / "replaced"), str(tmp_path / "appended")
+    users.select("id").write.parquet(replaced)
+    users.select("id").write.parquet(appended)
+    report = Flow(
+        spark,
+        [Source("s", users), Sql("a", "SELECT id FROM {prev} WHERE id = 1"),
+         Sql("b", "SELECT CASE WHEN id > 0 THEN cast(raise_error('late') AS int) END AS id FROM {all}", inputs={"all": "s"})],
+        [Target(ReplaceFiles(replaced), "a", name="x"), Target(AppendFiles(appended), "b", name="y")],
+    ).run()
+    assert report.status == "failed" and "late" in report.error
+    assert spark.read.parquet(replaced).count() == 3
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["appended", "replaced"]
+
+
+def test_target_names_differ(spark, users):
+    with pytest.raises(FlowError, match="Target names"):
+        Flow(spark, [Source("a", users)], [Target(DryRun()), Target(DryRun())])

@@ -93,3 +93,22 @@ def test_database_writer_options():
 def test_scratch_paths_are_fresh_and_below_the_shared_folder(spark):
     one, two = new_scratch_path(spark, "a"), new_scratch_path(spark, "a")
     assert one != two and one.startswith(scratch_root(spark))
+
+
+class FakeSession:
+    """A session without a shared folder."""
+
+    def __init__(self, master):
+        self.sparkContext = self
+        self.conf = {}
+        self.master, self.applicationId = master, f"app-{master}"
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_local_scratch_only_on_a_local_master():
+    local = FakeSession("local[2]")
+    assert scratch_root(local) == scratch_root(local)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(FakeSession("spark://somewhere:7077"))
