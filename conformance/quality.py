@@ -149,6 +149,35 @@ def contract_keys_references(spark, sf_dir):
     )
 
 
+@query(
+    """
+    SELECT rule, "column", status, expected, actual, violations, message FROM (VALUES
+      ('column_name_check', NULL, 'passed', NULL, NULL, CAST(NULL AS BIGINT),
+       'All column names valid and unique'),
+      ('type_mismatch', 'p_size', 'failed', 'text', 'int', NULL, 'p_size: expected text, got int')
+    ) AS t(rule, "column", status, expected, actual, violations, message)
+    UNION ALL
+    SELECT 'not_null', 'p_name', 'failed', 'text', 'string', count(*),
+           'p_name: ' || count(*) || ' nulls' FROM part WHERE p_brand = 'Brand#1'
+    """
+)
+def contract_strict(spark, sf_dir):
+    output = table(spark, sf_dir, "part").select(
+        F.when(F.col("p_brand") != "Brand#1", F.col("p_name")).alias("p_name"),
+        "p_size",
+        "p_retailprice",
+    )
+    return contract_checks(
+        output,
+        [
+            TargetColumn("p_name", "text", nullable=False),
+            TargetColumn("p_size", "text"),
+            TargetColumn("p_retailprice", "float8"),
+        ],
+        strict=True,
+    )
+
+
 @query(
     """
     SELECT key_columns, total_rows, null_rows, distinct_keys, duplicated_keys, surplus_rows,
