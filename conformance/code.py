@@ -327,3 +327,24 @@ def schema_stability_batches(spark, sf_dir):
 
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     return schema_stability(events, score)
+
+
+@query(
+    """
+    SELECT CASE WHEN user_id % 5 <> 0 THEN user_id + 9007199254740992 END AS user_id, count(*) AS n_events
+    FROM events GROUP BY 1
+    """
+)
+def group_fold_null_keys(spark, sf_dir):
+    """Keys beyond the whole numbers of a double, beside null keys."""
+
+    def partial(rows):
+        return rows.groupby("user_id", dropna=False).size().rename("n_events").reset_index()
+
+    def merge(states):
+        return states.groupby("user_id", dropna=False)["n_events"].sum().reset_index()
+
+    far = F.when(F.col("user_id") % 5 != 0, F.col("user_id") + F.lit(2**53))
+    return table(spark, sf_dir, "events").select(far.alias("user_id")).transform(
+        group_fold(["user_id"], partial, merge, "user_id bigint, n_events bigint")
+    )

@@ -6,7 +6,8 @@ from conformance import query, table
 from sluiceway.plans.flow import Flow
 from sluiceway.plans.steps import Code, Columns, Source, Sql, Target
 from sluiceway.session import new_scratch_path
-from sluiceway.sinks.files import ReplaceFiles
+from sluiceway.sinks.base import Pending
+from sluiceway.sinks.files import DryRun, ReplaceFiles
 
 
 def flagship_flow(spark, sf_dir):
@@ -250,3 +251,50 @@ def step_metrics(spark, sf_dir):
     flow = _open_orders(spark, sf_dir, new_scratch_path(spark, "metrics"))
     report = flow.run(metrics=True)
     return report.metrics(spark).drop("duration_ms", "message")
+
+
+class _NeverSwitched:
+    """A target that takes all rows and fails when they are to be switched in."""
+
+    def stage(self, df):
+        def commit():
+            raise RuntimeError("the switch failed")
+
+        return Pending(commit, quick=True)
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus = 'F'")
+def replace_survives_failure(spark, sf_dir):
+    """The old rows of a replaced target, after the switch of a second target failed."""
+    path = new_scratch_path(spark, "survives")
+    orders = table(spark, sf_dir, "orders")
+    orders.where("o_orderstatus = 'F'").write.parquet(path)
+    report = Flow(
+        spark,
+        [Source("orders", orders), Sql("open", "SELECT * FROM {prev} WHERE o_orderstatus = 'O'")],
+        [Target(ReplaceFiles(path), name="first"), Target(_NeverSwitched(), name="second")],
+    ).run()
+    if report.targets != {"first": "restored", "second": "unchanged"}:
+        raise RuntimeError(f"{report}")
+    return spark.read.parquet(path)
+
+
+@query(
+    """
+    SELECT * FROM (VALUES (0, 'lines', 'ok'), (1, 'kept', 'ok'), (2, 'broken', 'error')) AS t(position, step, status)
+    WHERE (SELECT count(*) FROM lineitem) > 0
+    """
+)
+def step_metrics_failed(spark, sf_dir):
+    """Steps up to the one that fails, with its state."""
+    report = Flow(
+        spark,
+        [
+            Source("lines", table(spark, sf_dir, "lineitem")),
+            Sql("kept", "SELECT l_orderkey FROM {prev}"),
+            Sql("broken", "SELECT no_such_column FROM {prev}"),
+            Sql("never", "SELECT * FROM {prev}"),
+        ],
+        [Target(DryRun())],
+    ).run()
+    return report.metrics(spark).select("position", "step", "status")

@@ -315,7 +315,56 @@ def reference_discovery(spark, sf_dir):
     for name, column in _SITES:
         columns.setdefault(name, []).append(column)
     tables = {name: table(spark, sf_dir, name) for name in columns}
-    return discover_references(tables, columns)
+    return discover_references(tables, columns, all_pairs=True)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT * FROM ({_pair_sql(child, parent)}) WHERE contained_values > 0"
+        for child in _SITES for parent in _SITES if child != parent
+    )
+)
+def reference_discovery_shared(spark, sf_dir):
+    columns = {}
+    for name, column in _SITES:
+        columns.setdefault(name, []).append(column)
+    return discover_references({name: table(spark, sf_dir, name) for name in columns}, columns)
+
+
+@query(
+    """
+    SELECT CAST(o_orderkey % 7 AS VARCHAR) AS child, count(*) AS n_rows
+    FROM orders WHERE o_orderkey % 7 NOT IN (SELECT n_nationkey + 0.5 * (n_nationkey % 2) FROM nation)
+    GROUP BY o_orderkey % 7
+    """
+)
+def reference_mixed_types(spark, sf_dir):
+    """A whole-number child beside a parent with fractions: 1.5 is no parent of 1."""
+    child = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 7).cast("int").alias("child"))
+    key = F.col("n_nationkey")
+    parent = table(spark, sf_dir, "nation").select((key + 0.5 * (key % 2)).cast("double").alias("key"))
+    found = orphans(child, ["child"], parent, ["key"])
+    return found.select(F.col("child").cast("int").cast("string").alias("child"), "n_rows")
+
+
+@query(
+    """
+    SELECT 'column_name_check' AS rule, NULL AS "column", 'passed' AS status,
+           CAST(NULL AS VARCHAR) AS expected, CAST(NULL AS VARCHAR) AS actual, CAST(NULL AS BIGINT) AS violations,
+           'All column names valid and unique' AS message
+    UNION ALL
+    SELECT 'type_mismatch', 'p_retailprice', CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END, 'integer', 'double', n,
+           CASE WHEN n > 0 THEN 'p_retailprice: ' || n || ' values do not convert' ELSE 'p_retailprice: ok' END
+    FROM (SELECT count(*) FILTER (p_retailprice <> floor(p_retailprice)) AS n FROM part)
+    UNION ALL
+    SELECT 'type_mismatch', 'p_size', 'warning', 'numeric(50,2)', 'int', NULL,
+           'p_size: not compared, numeric(50,2) has more than the 38 digits of a decimal'
+    """
+)
+def contract_lossy(spark, sf_dir):
+    """Prices that lose their fraction do not convert; a type too wide to have is told."""
+    contract = [TargetColumn("p_retailprice", "integer"), TargetColumn("p_size", "numeric(50,2)")]
+    return contract_checks(table(spark, sf_dir, "part").select("p_retailprice", "p_size"), contract)
 
 
 def _profile_sql(table_name, position, column, type_name, kind, as_text=None):

@@ -359,3 +359,30 @@ def sql_over_tables(spark, sf_dir):
         "SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
         {name: table(spark, sf_dir, name) for name in ("nation", "region")},
     )
+
+
+_GROUPING_SETS = """
+    SELECT l_returnflag, l_linestatus, count(*) AS n_lines, sum(l_linenumber) AS numbers
+    FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())
+"""
+
+
+@query(_same_text(_GROUPING_SETS, "lineitem"))
+def sql_grouping_sets(spark, sf_dir):
+    return _select(spark, sf_dir, _GROUPING_SETS, "lineitem")
+
+
+@query(
+    """
+    SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n,
+           CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS n_positive, embedding[1] AS first
+    FROM embeddings
+    """
+)
+def sql_arrays(spark, sf_dir):
+    text = """
+        SELECT vec_id, size(embedding) AS n, size(filter(embedding, x -> x > 0)) AS n_positive,
+               embedding[0] AS first
+        FROM {embeddings}
+    """
+    return _select(spark, sf_dir, text, "embeddings")

@@ -24,12 +24,26 @@ _FORMS = (
 )
 
 
+def loses_fraction(current: T.DataType, wanted: T.DataType) -> bool:
+    """True if values of ``current`` may have digits after the point that ``wanted`` drops."""
+    if isinstance(wanted, T.IntegralType):
+        return isinstance(current, (T.FloatType, T.DoubleType)) or (
+            isinstance(current, T.DecimalType) and current.scale > 0
+        )
+    return (
+        isinstance(wanted, T.DecimalType)
+        and isinstance(current, T.DecimalType)
+        and current.scale > wanted.scale
+    )
+
+
 def converted(
     value: Column, current: T.DataType, wanted: T.DataType, trimmed: bool = False
 ) -> Column:
-    """``value`` of type ``current`` as ``wanted``, or null where it does not convert."""
+    """``value`` of type ``current`` as ``wanted``, or null where it does not convert or would lose a fraction."""
     if not isinstance(current, T.StringType):
-        return value.try_cast(wanted)
+        cast = value.try_cast(wanted)
+        return F.when(cast == value, cast) if loses_fraction(current, wanted) else cast
     text = value if trimmed else F.btrim(value)
     if isinstance(wanted, T.BooleanType):
         word = F.lower(text)

@@ -66,6 +66,10 @@ CATEGORIES = {
 _CATEGORY_OF = {name: category for category, names in CATEGORIES.items() for name in names}
 
 
+MOST_DIGITS = 38
+_SIZE = re.compile(r"\s*\(\s*(\d+)\s*\)")
+
+
 def clean_name(name: str) -> str:
     return name.lower().strip()
 
@@ -79,14 +83,25 @@ def spark_type(name: str) -> T.DataType:
     """Spark type of a Postgres type name.
 
     Times with a zone are ``TimestampType`` and without ``TimestampNTZType``;
-    ``numeric(p, s)`` keeps its precision instead of becoming a double.
+    ``numeric(p, s)`` keeps its precision instead of becoming a double, and is refused
+    beyond the digits that a decimal has. Sizes of times and texts do not change the type.
     """
     cleaned = clean_name(name)
     if cleaned in _ZONED:
         return T.TimestampType()
     sized = _SIZED_NUMERIC.fullmatch(cleaned)
-    if sized and int(sized[1]) <= T.DecimalType(38, 0).precision:
+    if sized:
+        if int(sized[1]) > MOST_DIGITS:
+            raise ValueError(f"{name} has more than the {MOST_DIGITS} digits of a decimal")
         return T.DecimalType(int(sized[1]), int(sized[2] or 0))
+    cleaned = _SIZE.sub("", cleaned)
+    if cleaned in _ZONED:
+        return T.TimestampType()
+    if cleaned == "float" and _SIZE.search(clean_name(name)):
+        # float(1) to float(24) are single precision, more is double
+        digits = int(_SIZE.search(clean_name(name))[1])
+        return T.FloatType() if digits <= 24 else T.DoubleType()
+    name = cleaned
     return CANONICAL_TO_SPARK[canonical_type(name)]
 
 

@@ -12,6 +12,7 @@ from operator import and_
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sluiceway.functions.expression import quoted
 from sluiceway.operators.columns import TableStep
@@ -19,6 +20,7 @@ from sluiceway.operators.sqlsteps import StepError
 
 if TYPE_CHECKING:
     import pandas as pd
+    import pyarrow as pa
 
 
 def transform(fn: Callable[[DataFrame], DataFrame]) -> TableStep:
@@ -66,8 +68,9 @@ def with_group_values(
     """Add aggregates of each row's group without bringing a group together.
 
     The aggregates are built with map-side partial sums. The ``large_groups``
-    biggest groups (a list of that many rows at most, hence safe to broadcast)
-    meet their rows without a shuffle; every other group holds less than one
+    biggest groups meet their rows in a join of their own, whose small side has that many
+    rows at most: Spark sends it to the tasks if its bytes are below the session's
+    threshold, else splits its skewed keys. Every other group holds less than one
     part in ``large_groups`` of the table, so the shuffled join of the rest has
     no hot key. Null keys form a group of their own.
     """
@@ -87,7 +90,7 @@ def with_group_values(
             *[quoted(name).alias(f"_value_{i}") for i, name in enumerate(values)],
         )
     )
-    large = F.broadcast(totals.orderBy(F.desc("_size"), *key_names).limit(large_groups)).alias("big")
+    large = totals.orderBy(F.desc("_size"), *key_names).limit(large_groups).alias("big")
     other = totals.alias("other")
 
     def same_key(side: str) -> Column:
@@ -125,31 +128,6 @@ def group_relative(
     return lambda df: with_group_values(df, keys, values).transform(batches(fn, schema))
 
 
-def per_group(
-    keys: list[str],
-    fn: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: T.StructType | str,
-    max_group_rows: int = 1_000_000,
-) -> TableStep:
-    """A Python function over whole groups of a proven size.
-
-    The group sizes are counted first. A group above ``max_group_rows`` would
-    not fit one task and is refused by name; use ``group_relative`` there.
-    """
-
-    def apply(df: DataFrame) -> DataFrame:
-        columns = [quoted(k) for k in keys]
-        largest = df.groupBy(*columns).count().orderBy(F.desc("count")).first()
-        if largest is not None and largest["count"] > max_group_rows:
-            group = {k: largest[k] for k in keys}
-            raise StepError(
-                f"Group {group} has {largest['count']} rows, more than {max_group_rows}"
-            )
-        return df.groupBy(*columns).applyInPandas(fn, schema)
-
-    return apply
-
-
 def group_fold(
     keys: list[str],
     partial: Callable[[pd.DataFrame], pd.DataFrame],
@@ -194,12 +172,13 @@ def group_fold(
             if part.empty:
                 continue
             states = merge(part if held is None else pandas.concat([held, part]))
-            last = part.iloc[-1]
-            # the last key may go on in the next batch
+            # the last key may go on in the next batch; looked at by column, as a
+            # row would bring all its columns to one type
             open_ = pandas.Series(True, index=states.index)
             for key in keys:
-                same = states[key].isna() if pandas.isna(last[key]) else states[key] == last[key]
-                open_ &= same
+                last = part[key].iloc[-1]
+                same = states[key].isna() if pandas.isna(last) else (states[key] == last).fillna(False)
+                open_ &= same.astype(bool)
             held = states[open_]
             if not open_.all():
                 yield plain(states[~open_])
@@ -208,8 +187,39 @@ def group_fold(
 
     def apply(df: DataFrame) -> DataFrame:
         columns = [quoted(k) for k in keys]
-        states = df.mapInPandas(fold_rows, schema)
+        states = df.mapInArrow(_over_frames(fold_rows, schema), schema)
         met = states.repartition(*columns).sortWithinPartitions(*columns)
-        return met.mapInPandas(fold_states, schema)
+        return met.mapInArrow(_over_frames(fold_states, schema), schema)
 
     return apply
+
+
+def _over_frames(
+    fold: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType | str
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fold`` over pandas frames in which whole numbers beside nulls stay whole numbers."""
+    wanted = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        import pandas
+
+        for batch in batches:
+            columns = {}
+            for field, column in zip(batch.schema, batch.columns):
+                whole = _NULLABLE.get(str(field.type)) if column.null_count else None
+                columns[field.name] = (
+                    pandas.Series(column.to_pylist(), dtype=whole) if whole else column.to_pandas()
+                )
+            yield pandas.DataFrame(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow
+
+        for part in fold(frames(batches)):
+            yield pyarrow.RecordBatch.from_pandas(part, schema=wanted, preserve_index=False)
+
+    return run
+
+
+# Arrow's whole numbers and the pandas types that hold them beside nulls
+_NULLABLE = {"int8": "Int8", "int16": "Int16", "int32": "Int32", "int64": "Int64"}

@@ -51,10 +51,42 @@ def key_check(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _shared_type(left: T.DataType, right: T.DataType) -> T.DataType:
-    """One type for both sides, so that counting and joining share a shuffle."""
-    if left != right and isinstance(left, T.IntegralType) and isinstance(right, T.IntegralType):
+    """A type that holds the values of both sides without loss.
+
+    Both sides are cast to it, so counting and joining share a shuffle. Whole numbers beside
+    fractions are compared as decimals where these are wide enough, dates and times as
+    times, everything beside text as text. Other pairs are refused.
+    """
+    if left == right:
+        return left
+    kinds = (left, right)
+
+    def all_of(*classes) -> bool:
+        return all(isinstance(kind, classes) for kind in kinds)
+
+    if all_of(T.IntegralType):
         return T.LongType()
-    return left
+    if all_of(T.FloatType, T.DoubleType):
+        return T.DoubleType()
+    if all_of(T.IntegralType, T.DecimalType):
+        sides = [
+            (kind.precision - kind.scale, kind.scale) if isinstance(kind, T.DecimalType) else (19, 0)
+            for kind in kinds
+        ]
+        whole, scale = (max(side[k] for side in sides) for k in range(2))
+        if whole + scale <= 38:
+            return T.DecimalType(whole + scale, scale)
+    if all_of(T.IntegralType, T.DoubleType, T.FloatType):
+        small = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
+        # a bigint and a double meet where neither is rounded: as decimals
+        return T.DoubleType() if all_of(*small) else T.DecimalType(38, 18)
+    if all_of(T.DateType, T.TimestampNTZType):
+        return T.TimestampNTZType()
+    if all_of(T.DateType, T.TimestampType):
+        return T.TimestampType()
+    if any(isinstance(kind, T.StringType) for kind in kinds):
+        return T.StringType()
+    raise ValueError(f"a reference cannot compare {left.simpleString()} with {right.simpleString()}")
 
 
 def _counted_references(
@@ -142,9 +174,13 @@ def _masks(sites: int) -> list[tuple[str, Column]]:
 def discover_references(
     tables: Mapping[str, DataFrame],
     columns: Mapping[str, Sequence[str]] | None = None,
+    all_pairs: bool = False,
 ) -> DataFrame:
-    """Every ordered pair of columns with the share of values the first has in the second.
+    """Ordered pairs of columns with the share of values the first has in the second.
 
+    Pairs that share no value are left out unless ``all_pairs`` asks for them, so that the
+    result does not grow with the square of the columns. Without ``columns`` the whole-number, text and
+    date columns are compared, else the named ones; a named column that cannot be compared is refused.
     Each distinct value is marked with the set of columns it occurs in (one bit
     per column), in one aggregation over all tables. Only these few distinct
     sets, not the values, are then spread into column pairs.
@@ -156,7 +192,10 @@ def discover_references(
         for field in df.schema.fields:
             form = comparable(field)
             wanted = columns is None or field.name in columns.get(table, ())
-            if wanted and form is not None and form[0] in _KEY_FAMILIES:
+            named = columns is not None and wanted
+            if named and form is None:
+                raise ValueError(f"{table}.{field.name} cannot be compared")
+            if wanted and form is not None and (named or form[0] in _KEY_FAMILIES):
                 values.setdefault(form[0], []).append((len(sites), form[1]))
                 sites.append((table, field.name, form[0]))
         for family, found in values.items():
@@ -201,10 +240,11 @@ def discover_references(
         F.array(*[F.lit(site[part]) for site in sites]) for part in range(3)
     )
     own, other = F.col("own"), F.col("other")
+    others = F.sequence(F.lit(0), F.lit(len(sites) - 1)) if all_pairs else F.map_keys("shared")
     contained = F.coalesce(F.col("shared")[other], F.lit(0).cast("bigint"))
     distinct = F.col("shared")[own]
     return (
-        shared.select("own", "shared", F.explode(F.sequence(F.lit(0), F.lit(len(sites) - 1))).alias("other"))
+        shared.select("own", "shared", F.explode(others).alias("other"))
         .where((own != other) & (family_of[own] == family_of[other]))
         .select(
             table_of[own].alias("child_table"),

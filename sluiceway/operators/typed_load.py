@@ -45,7 +45,7 @@ def _time_of_day(value: Column) -> Column:
 
 def _bytes(value: Column) -> Column:
     # Postgres prints bytes as \x followed by hex digits
-    hexed = F.when(F.length(value) % 2 == 0, F.unhex(F.substring(value, 3, 2**30)))
+    hexed = F.when(F.length(value) % 2 == 0, F.unhex(F.substr(value, F.lit(3))))
     return F.when(value.startswith("\\x"), hexed).otherwise(F.encode(value, "UTF-8"))
 
 

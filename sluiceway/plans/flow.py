@@ -6,6 +6,7 @@ there is nothing to sort and no cycle can be written.
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections.abc import Mapping, Sequence
@@ -72,7 +73,7 @@ class RunReport:
     """Outcome of a run; ``rows`` counts per target.
 
     ``targets`` tells of each target whether it was written, was skipped by a
-    dry run, or stayed unchanged because there were no rows.
+    dry run, stayed unchanged (no rows, or a failed run), or was restored after a failure.
     """
 
     status: str
@@ -141,6 +142,8 @@ class Flow:
         named = {j for j in range(i) if step.mentions(self._relations[j])}
         if i > 0 and step.mentions("source_0"):
             named.add(0)
+        if i > 0 and step.mentions("{prev}") and "prev" not in self._inputs[i]:
+            named.add(self._inputs[i].get("default", i - 1))
         return named | set(self._inputs[i].values())
 
     def _check_shape(self) -> None:
@@ -283,17 +286,23 @@ class Flow:
         strict_types: bool = False,
         tables: Mapping[str, DataFrame] | None = None,
         metrics: bool = False,
-        share: str | None = "persist",
+        share: str | None = "table",
     ) -> RunReport:
         """Check every target, then write every target.
 
-        Nothing is written if a step, the row limit or a check fails.
+        Nothing is written if a step, the row limit or a check fails. If a write
+        fails, targets that were already switched are put back; the report tells the state of
+        each: ``written``, ``skipped``, ``unchanged`` or ``restored``. Rows that were
+        inserted into a target before another one failed stay and are told as written.
+        ``row_limit`` holds for every source that leads to a target.
         ``check_data`` also counts nulls, lost values, broken keys and orphans.
         ``metrics`` counts the rows of each step during the write; the counters
         stop filters from moving past a step, so they are off by default.
         ``share`` tells how a step that feeds several others is kept while
-        several targets are written: ``persist``, ``table`` (written once to the
-        shared scratch folder) or None (computed again for each).
+        several targets are written: ``table`` (written once to the shared scratch
+        folder), ``persist``, or None (computed again for each). Steps made of
+        scans, filters and expressions alone are computed again in any case, so that
+        filters and columns reach the files.
         """
         if not self.targets:
             raise FlowError("A run needs a target")
@@ -302,18 +311,26 @@ class Flow:
         scratch: list[Folder] = []
         counters: dict[int, Observation] = {}
         pending: list[tuple[Target, Pending]] = []
+        built: dict[int, DataFrame] = {}
+        rows: dict[str, int] = {}
+        told: dict[str, str] = {}
+        at: int | None = None
         try:
             wanted = self._lineage({self._place_of(t) for t in self.targets})
-            built: dict[int, DataFrame] = {}
             for i in range(len(self.steps)):
+                at = i
                 frame = self._build(i, built)
-                if i in wanted and len(self.targets) > 1 and share and self._consumers(i) > 1:
+                shared = len(self.targets) > 1 and share and self._consumers(i, wanted) > 1
+                if i in wanted and shared and costly(frame):
                     frame = self._kept(frame, share, kept, scratch)
                 if metrics and i in wanted:
                     counters[i] = Observation(f"step_{i}_{uuid.uuid4().hex}")
                     frame = frame.observe(counters[i], F.count(F.lit(1)).alias("n"))
                 built[i] = frame
-            total = None if row_limit is None else guard_row_count(built[0], row_limit)
+            at, total = None, None
+            if row_limit is not None:
+                sources = [i for i in wanted if isinstance(self.steps[i], Source)]
+                total = sum(guard_row_count(built[i], row_limit) for i in sources)
             self._check_schemas(built)
             if check_data:
                 # computed once; the counts and the write then read the copy
@@ -322,28 +339,38 @@ class Flow:
                 self._check_rows(built, strict_types, tables or {})
             for target in self.targets:
                 pending.append((target, target.sink.stage(built[self._place_of(target)])))
-            rows: dict[str, int] = {}
-            told: dict[str, str] = {}
             # inserts can still fail and go first; the switches follow
             for target, ready in sorted(pending, key=lambda pair: pair[1].quick):
                 n = rows[target.name] = ready.commit()
                 told[target.name] = (
                     "skipped" if ready.skipped else "written" if n else "unchanged"
                 )
+        except Exception as error:  # a step's own function may raise anything
+            self._put_back(pending, rows, told)
+            return RunReport(
+                "failed",
+                sum(rows.values()),
+                error=str(error),
+                rows=rows,
+                targets=told,
+                steps=self._steps_before(at, built, str(error), _ms(began)),
+            )
+        else:
+            for _, ready in pending:
+                ready.finish()
             written = sum(rows.values())
-            spent = _ms(began)
+            try:
+                steps = self._metrics(counters, built, _ms(began))
+            except Exception:  # all is written; counts that fail do not undo that
+                steps = []
             return RunReport(
                 "completed",
                 written,
                 written if total is None or written == 0 else total,
                 rows=rows,
                 targets=told,
-                steps=self._metrics(counters, built, spent),
+                steps=steps,
             )
-        except Exception as error:  # a step's own function may raise anything
-            for _, ready in pending:
-                ready.discard()
-            return RunReport("failed", error=str(error))
         finally:
             for frame in kept:
                 frame.unpersist()
@@ -355,8 +382,36 @@ class Flow:
         skipping = [replace(target, sink=DryRun()) for target in self.targets]
         return Flow(self.spark, self.steps, skipping).run(**options)
 
-    def _consumers(self, i: int) -> int:
-        return sum(i in reads for reads in self._reads) + sum(
+    def _put_back(
+        self, pending: list[tuple[Target, Pending]], rows: dict[str, int], told: dict[str, str]
+    ) -> None:
+        """After a failed write: drop what is not committed, undo the switches that are."""
+        for target, ready in pending:
+            if target.name not in told:
+                ready.discard()
+                told[target.name] = "unchanged"
+            elif ready.undo is not None and told[target.name] == "written":
+                ready.undo()
+                told[target.name] = "restored"
+                rows[target.name] = 0
+        for target in self.targets:
+            told.setdefault(target.name, "unchanged")
+
+    def _steps_before(
+        self, at: int | None, built: Mapping[int, DataFrame], message: str, spent: int
+    ) -> list[StepMetric]:
+        """The step that failed while it was built, after those that did not."""
+        if at is None:
+            return []
+        before = [
+            StepMetric(i, self.steps[i].name, "ok", spent, None, len(frame.columns))
+            for i, frame in built.items()
+        ]
+        return [*before, StepMetric(at, self.steps[at].name, "error", spent, None, 0, message)]
+
+    def _consumers(self, i: int, wanted: Sequence[int]) -> int:
+        """Steps and targets that read step ``i`` on the way to a target."""
+        return sum(i in self._reads[j] for j in wanted) + sum(
             self._place_of(t) == i for t in self.targets
         )
 
@@ -412,5 +467,11 @@ class Flow:
         return entries
 
 
+def costly(df: DataFrame) -> bool:
+    """True if the frame's plan holds a shuffle or Python."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return re.search(r"Join|Aggregate|Window|Sort|Distinct|Repartition|Python|Pandas|Arrow", plan) is not None
+
+
 def _ms(began: float) -> int:
     return round((time.monotonic() - began) * 1000)

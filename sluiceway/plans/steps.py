@@ -74,6 +74,8 @@ class Sql(Step):
         )
 
     def mentions(self, relation: str) -> bool:
+        if relation == "{prev}":
+            return relation in self.text
         return re.search(rf"(?<!\w){re.escape(relation)}(?!\w)", self.text, re.I) is not None
 
 

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from typing import Protocol
 
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
+from sluiceway.functions.conversion import loses_fraction
 from sluiceway.functions.expression import quoted
 
 
@@ -22,11 +23,15 @@ class Pending:
     """A write that is ready to be switched in or dropped.
 
     ``commit`` returns the number of rows written. It is ``quick`` if all rows
-    are computed and only a switch is left.
+    are computed and only a switch is left. ``discard`` drops what was staged, before a
+    commit only. After a commit ``undo``, where there is one, puts the old rows back,
+    and ``finish`` drops what only an undo needs.
     """
 
     commit: Callable[[], int]
     discard: Callable[[], None] = lambda: None
+    undo: Callable[[], None] | None = None
+    finish: Callable[[], None] = lambda: None
     quick: bool = False
     skipped: bool = False
 
@@ -37,7 +42,14 @@ class Sink(Protocol):
 
 def write(df: DataFrame, sink: Sink) -> int:
     """Stage and commit in one go; the number of rows written."""
-    return sink.stage(df).commit()
+    pending = sink.stage(df)
+    try:
+        total = pending.commit()
+    except Exception:
+        pending.discard()
+        raise
+    pending.finish()
+    return total
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
@@ -54,25 +66,38 @@ def counted(df: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
     return observed, rows
 
 
-def aligned(df: DataFrame, target: T.StructType) -> DataFrame:
+def aligned(df: DataFrame, target: T.StructType, fill_missing: bool = False) -> DataFrame:
     """``df`` with the target's columns, order and types, matched by name.
 
-    Target columns that ``df`` lacks become null; a column the target does not
-    have is an error.
+    A column that the target does not have is an error, and so is a target column that
+    ``df`` lacks, unless ``fill_missing`` asks for nulls. A number that would
+    lose its fraction stops the write.
     """
     unknown = [name for name in df.columns if name not in target.names]
     if unknown:
         raise WriteError(f"columns not in the target: {unknown}")
+    missing = [name for name in target.names if name not in df.columns]
+    if missing and not fill_missing:
+        raise WriteError(f"columns of the target that the rows lack: {missing}")
     return df.select(
         *[
-            (quoted(f.name) if f.name in df.columns else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
+            (_whole_value(df, f) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in target.fields
         ]
     )
 
 
+def _whole_value(df: DataFrame, target: T.StructField) -> Column:
+    value, current = quoted(target.name), df.schema[target.name].dataType
+    cast = value.cast(target.dataType)
+    if not loses_fraction(current, target.dataType):
+        return cast
+    told = F.concat(F.lit(f"{target.name} would lose its fraction: "), value.cast("string"))
+    return F.when(value.isNull() | (cast == value), cast).otherwise(
+        F.raise_error(told).cast(target.dataType)
+    )
+
+
 class Folder:
     """A path on whatever file system the session reaches."""
 

@@ -16,13 +16,14 @@ class AppendFiles:
 
     path: str
     file_format: str = "parquet"
+    fill_missing: bool = False
 
     def stage(self, df: DataFrame) -> Pending:
         spark = df.sparkSession
         if not Folder(spark, self.path).exists():
             raise WriteError(f"target does not exist: {self.path}")
         target = spark.read.format(self.file_format).load(self.path).schema
-        rows, count = counted(aligned(df, target))
+        rows, count = counted(aligned(df, target, self.fill_missing))
 
         def commit() -> int:
             rows.write.format(self.file_format).mode("append").save(self.path)
@@ -43,12 +44,14 @@ class ReplaceFiles:
     path: str
     file_format: str = "parquet"
     create: bool = True
+    fill_missing: bool = False
 
     def stage(self, df: DataFrame) -> Pending:
         spark = df.sparkSession
         target = Folder(spark, self.path)
         if target.exists():
-            df = aligned(df, spark.read.format(self.file_format).load(self.path).schema)
+            held = spark.read.format(self.file_format).load(self.path).schema
+            df = aligned(df, held, self.fill_missing)
         elif not self.create:
             raise WriteError(f"target does not exist: {self.path}")
         mark = uuid.uuid4().hex
@@ -60,7 +63,6 @@ class ReplaceFiles:
             if total == 0:
                 staging.remove()
                 return 0
-            old = Folder(spark, f"{beside}.old-{mark}")
             had_target = target.exists()
             if had_target:
                 target.move_to(old.path)
@@ -70,12 +72,20 @@ class ReplaceFiles:
                 if had_target:
                     old.move_to(self.path)
                 raise
-            if had_target:
-                old.remove()
             spark.catalog.refreshByPath(self.path)
             return total
 
-        return Pending(commit, staging.remove, quick=True)
+        old = Folder(spark, f"{beside}.old-{mark}")
+
+        def undo() -> None:
+            if total == 0:
+                return
+            target.remove()
+            if old.exists():
+                old.move_to(self.path)
+            spark.catalog.refreshByPath(self.path)
+
+        return Pending(commit, staging.remove, undo, old.remove, quick=True)
 
 
 def write_and_verify(df: DataFrame, staging: Folder, file_format: str) -> int:
@@ -100,9 +110,11 @@ class AppendTable:
     """Insert into an existing catalog table, by column name."""
 
     table: str
+    fill_missing: bool = False
 
     def stage(self, df: DataFrame) -> Pending:
-        rows, count = counted(aligned(df, df.sparkSession.table(self.table).schema))
+        held = df.sparkSession.table(self.table).schema
+        rows, count = counted(aligned(df, held, self.fill_missing))
 
         def commit() -> int:
             rows.write.insertInto(self.table)
@@ -121,6 +133,7 @@ class ReplaceTable:
 
     table: str
     drop_old: bool = False
+    fill_missing: bool = False
 
     def stage(self, df: DataFrame) -> Pending:
         spark = df.sparkSession
@@ -132,7 +145,7 @@ class ReplaceTable:
             .where(F.col("col_name").isin("Location", "Provider"))
             .collect()
         }
-        rows = aligned(df, spark.table(self.table).schema)
+        rows = aligned(df, spark.table(self.table).schema, self.fill_missing)
         base = detail["Location"].split(".version-")[0].rstrip("/")
         fresh = Folder(spark, f"{base}.version-{uuid.uuid4().hex}")
         total = write_and_verify(rows, fresh, detail["Provider"])
@@ -141,13 +154,23 @@ class ReplaceTable:
             if total == 0:
                 fresh.remove()
                 return 0
-            spark.sql(f"ALTER TABLE {self.table} SET LOCATION '{fresh.path}'")
+            point_to(fresh.path)
+            return total
+
+        def point_to(path: str) -> None:
+            spark.sql(f"ALTER TABLE {self.table} SET LOCATION '{path}'")
             spark.catalog.refreshTable(self.table)
-            if self.drop_old:
+
+        def undo() -> None:
+            if total:
+                point_to(detail["Location"])
+                fresh.remove()
+
+        def finish() -> None:
+            if total and self.drop_old:
                 Folder(spark, detail["Location"]).remove()
-            return total
 
-        return Pending(commit, fresh.remove, quick=True)
+        return Pending(commit, fresh.remove, undo, finish, quick=True)
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,6 @@ from sluiceway.operators.codesteps import (
     gated,
     group_fold,
     group_relative,
-    per_group,
     transform,
     with_group_values,
 )
@@ -97,17 +96,6 @@ def test_group_relative_python(spark):
     assert rows(out) == [(1, -1.0), (1, 1.0), (2, 0.0)]
 
 
-def test_per_group_refuses_unbounded_groups(spark):
-    def largest(part):
-        return part.nlargest(1, "v")[["k", "v"]]
-
-    df = spark.createDataFrame([(1, 2), (1, 4), (2, 5)], "k int, v int")
-    out = df.transform(per_group(["k"], largest, "k int, v int"))
-    assert rows(out) == [(1, 4), (2, 5)]
-    with pytest.raises(StepError, match="has 2 rows, more than 1"):
-        df.transform(per_group(["k"], largest, "k int, v int", max_group_rows=1))
-
-
 @pytest.mark.parametrize("state_rows", [3, 100_000])
 def test_group_fold_matches_pandas_in_small_batches(spark, state_rows):
     df = skewed(spark).withColumn("part", F.col("id") % 2).repartition(5)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from sluiceway.operators.contracts import TargetColumn
 from sluiceway.plans.flow import Flow, FlowError
 from sluiceway.plans.steps import Code, Columns, Source, Sql, Target
-from sluiceway.sinks.files import AppendFiles, DryRun, ReplaceFiles
+from sluiceway.sinks.base import Pending
+from sluiceway.sinks.files import AppendFiles, DryRun, ReplaceFiles, ReplaceTable
 
 
 def upper_name(df):
@@ -294,3 +295,87 @@ def test_a_failing_insert_leaves_the_switch_undone(spark, users, tmp_path):
 def test_target_names_differ(spark, users):
     with pytest.raises(FlowError, match="Target names"):
         Flow(spark, [Source("a", users)], [Target(DryRun()), Target(DryRun())])
+
+
+class FailingSwitch:
+    def stage(self, df):
+        def commit():
+            raise RuntimeError("no switch")
+
+        return Pending(commit, quick=True)
+
+
+def test_a_failing_second_switch_puts_the_first_back(spark, users, tmp_path):
+    path, made, added = (str(tmp_path / n) for n in ("old", "made", "added"))
+    users.where("id = 1").write.parquet(path)
+    users.where("id = 1").write.parquet(added)
+    users.where("id < 3").write.saveAsTable("switched_users")
+    try:
+        report = Flow(
+            spark,
+            [Source("s", users), Sql("all", "SELECT * FROM {prev}")],
+            [
+                Target(ReplaceFiles(path), name="files"),
+                Target(ReplaceFiles(made), name="made"),
+                Target(ReplaceTable("switched_users"), name="table"),
+                Target(AppendFiles(added), name="added"),
+                Target(FailingSwitch(), name="bad"),
+            ],
+        ).run()
+        assert report.status == "failed" and "no switch" in report.error
+        assert report.targets == {
+            "added": "written", "files": "restored", "made": "restored", "table": "restored", "bad": "unchanged",
+        }
+        assert report.rows["added"] == 3 and report.rows["files"] == 0
+        assert [r.id for r in spark.read.parquet(path).collect()] == [1]
+        assert spark.read.parquet(added).count() == 4
+        assert spark.table("switched_users").count() == 2
+        assert sorted(p.name for p in tmp_path.iterdir()) == ["added", "old"]
+    finally:
+        spark.sql("DROP TABLE switched_users")
+
+
+def test_a_failure_after_the_writes_leaves_them(spark, users, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    monkeypatch.setattr(Flow, "_metrics", lambda *a: 1 / 0)
+    report = Flow(spark, [Source("s", users)], [Target(ReplaceFiles(path))]).run(metrics=True)
+    assert report.status == "completed" and report.steps == []
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_prev_beside_named_inputs_counts_as_read(spark, users, people):
+    flow = Flow(
+        spark,
+        [Source("a", users), Source("b", people),
+         Sql("both", "SELECT l.id FROM {left} l JOIN {prev} p ON l.id = p.id", inputs={"left": "a"})],
+    )
+    assert rows(flow.result()) == [(1,), (2,), (3,)]
+
+
+def test_the_row_limit_holds_for_every_source(spark, users):
+    flow = Flow(
+        spark,
+        [Source("a", users.limit(1)), Source("b", spark.range(9)),
+         Sql("u", "SELECT id FROM {l} UNION ALL SELECT id FROM {r}", inputs={"l": "a", "r": "b"})],
+        [Target(DryRun())],
+    )
+    assert flow.run(row_limit=5).status == "failed"
+    assert flow.run(row_limit=9).total_rows == 10
+
+
+def test_the_failing_step_is_named(spark, users):
+    report = Flow(
+        spark, [Source("s", users), Sql("bad", "SELECT nope FROM {prev}"), Sql("late", "SELECT 1 FROM {prev}")],
+        [Target(DryRun())],
+    ).run()
+    assert [(m.step, m.status) for m in report.steps] == [("s", "ok"), ("bad", "error")]
+    assert "nope" in report.steps[1].message
+
+
+def test_filters_reach_the_files_of_plain_shared_steps(spark, users, tmp_path, monkeypatch):
+    from sluiceway.plans import flow as module
+
+    path = str(tmp_path / "users")
+    users.write.parquet(path)
+    plain = spark.read.parquet(path).select("id", "name")
+    assert not module.costly(plain) and module.costly(plain.groupBy("name").count())

@@ -138,8 +138,9 @@ def test_discovery_over_more_columns_than_one_mask_holds(spark):
 def test_discovery_keeps_types_apart_and_shows_disjoint_pairs(spark):
     a = spark.createDataFrame([(1, "1"), (2, "2")], "n int, s string")
     b = spark.createDataFrame([(7,), (8,)], "m bigint")
-    got = {(r["child_column"], r["parent_column"], r["contained_values"]) for r in discover_references({"a": a, "b": b}).collect()}
+    got = {(r["child_column"], r["parent_column"], r["contained_values"]) for r in discover_references({"a": a, "b": b}, all_pairs=True).collect()}
     assert got == {("n", "m", 0), ("m", "n", 0)}
+    assert discover_references({"a": a, "b": b}).count() == 0
     with pytest.raises(ValueError):
         discover_references({"a": a}, {"a": []})
 

@@ -22,7 +22,9 @@ def broken(name):
 
 def test_append_by_name_with_missing_columns(spark, users, target):
     more = users.limit(1).select(F.lit("z@x.org").alias("email"), F.lit(9).cast("bigint").alias("id"))
-    assert write(more, AppendFiles(target)) == 1
+    with pytest.raises(WriteError, match="name"):
+        write(more, AppendFiles(target))
+    assert write(more, AppendFiles(target, fill_missing=True)) == 1
     out = spark.read.parquet(target)
     assert out.columns == ["id", "name", "email"]
     assert out.count() == 4 and tuple(out.where("id = 9").first()) == (9, None, "z@x.org")
@@ -97,7 +99,7 @@ def test_catalog_replace_moves_the_location(spark, users, target):
         assert spark.table("users_moved").count() == 2
         assert spark.read.parquet(target).count() == 3  # readers of the old folder go on
         assert write(users.where("id = 3"), ReplaceTable("users_moved", drop_old=True)) == 1
-        assert write(users.select("email", "id"), AppendTable("users_moved")) == 3
+        assert write(users.select("email", "id"), AppendTable("users_moved", fill_missing=True)) == 3
         assert spark.table("users_moved").count() == 4
         assert write(users.where("id > 9"), ReplaceTable("users_moved")) == 0
         assert spark.table("users_moved").count() == 4
@@ -123,7 +125,7 @@ def test_dry_run_runs_everything(users):
 def test_values_that_do_not_fit_the_target_fail(spark, users):
     wide = users.select(F.lit(2**40).alias("id"))
     with pytest.raises(Exception, match="OVERFLOW"):
-        aligned(wide, users.schema).collect()
+        aligned(wide, users.schema, fill_missing=True).collect()
 
 
 def test_database_replace_does_not_touch_the_target_when_the_rows_fail(users):
@@ -131,3 +133,12 @@ def test_database_replace_does_not_touch_the_target_when_the_rows_fail(users):
     sink = ReplaceDatabase(Database("jdbc:none:there"), "t")
     with pytest.raises(Exception, match="row failed"):
         sink.stage(users.withColumn("id", broken("id")))
+
+
+def test_a_lost_fraction_stops_the_write(spark, tmp_path):
+    path = str(tmp_path / "whole")
+    spark.range(1).select(F.col("id").cast("int")).write.parquet(path)
+    assert write(spark.createDataFrame([(2.0,)], "id double"), AppendFiles(path)) == 1
+    with pytest.raises(Exception, match="lose its fraction"):
+        write(spark.createDataFrame([(1.5,)], "id double"), AppendFiles(path))
+    assert spark.read.parquet(path).count() == 2
