@@ -124,7 +124,7 @@ class _Lexicon(dict):
         self.model = model
 
     def __missing__(self, word: str):
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         weight = self.model.weight(word)
         if weight:
@@ -235,7 +235,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if word not in _STOPS:
                     found.update(_features(word))
             counts[1 if label else 0].update(found)
-            if len(counts[0]) + len(counts[1]) > 400_000:
+            if len(counts[0]) + len(counts[1]) > 150_000:
                 yield flush()
     yield flush()
 
