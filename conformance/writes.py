@@ -21,7 +21,7 @@ def sink_append_roundtrip(spark, sf_dir):
     path = new_scratch_path(spark, "append")
     customer = table(spark, sf_dir, "customer")
     write(customer.select("c_custkey", "c_name", "c_mktsegment"), ReplaceFiles(path))
-    write(customer.where("c_acctbal < 0").select("c_name", "c_custkey"), AppendFiles(path))
+    write(customer.where("c_acctbal < 0").select("c_name", "c_custkey"), AppendFiles(path, fill_missing=True))
     return spark.read.parquet(path)
 
 
