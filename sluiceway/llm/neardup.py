@@ -133,80 +133,183 @@ def _sketch(size: int):
     return run
 
 
-def _links_within(members: list[tuple[int, bytes, np.ndarray]], size: int, percent: int):
-    """A forest of confirmed links among the members of one block pair."""
-    unique = {(node, text): bands for node, text, bands in members}
-    nodes = [node for node, _ in unique]
-    if len(set(nodes)) < 2:
-        return
-    sets: list[np.ndarray] = []
-    texts = [text for _, text in unique]
-    for start, stop in pieces(texts):
-        sets.extend(shingle_sets(texts[start:stop], size))
-    sizes = np.array([len(s) for s in sets], dtype=float)
-    sketch = np.stack([np.asarray(bands, dtype=np.int64).view(np.uint16) for bands in unique.values()])
-    root = list(range(len(nodes)))
-    seen: dict[int, int] = {}
-    for i, node in enumerate(nodes):
-        root[i] = seen.setdefault(node, i)
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+# what a member is in a unit of work: one that looks for links, or one of the block it
+# looks into, which may stand apart from the group's smallest member or be linked with it
+SEARCHING, APART, WITH_REP = 0, 1, 2
+
+
+class _Members:
+    """Distinct members of a unit of work, their sets and sketches, and a forest over them."""
+
+    def __init__(self, members: list[tuple[int, bytes, np.ndarray, int]], size: int):
+        unique = {(node, text, mark): bands for node, text, bands, mark in members}
+        self.nodes = np.array([node for node, _, _ in unique], dtype=np.int64)
+        self.marks = np.array([mark for _, _, mark in unique])
+        texts = [text for _, text, _ in unique]
+        self.sets: list[np.ndarray] = []
+        for start, stop in pieces(texts):
+            self.sets.extend(shingle_sets(texts[start:stop], size))
+        self.sizes = np.array([len(s) for s in self.sets], dtype=float)
+        self.sketch = np.stack([np.asarray(b, dtype=np.int64).view(np.uint16) for b in unique.values()])
+        seen: dict[int, int] = {}
+        self.root = [seen.setdefault(int(node), i) for i, node in enumerate(self.nodes)]
+
+    def top(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
         return i
 
-    share = percent / 100
-    floor = share - DEVIATIONS * math.sqrt(share * (1 - share) / REGISTERS)
-    for i in range(1, len(nodes)):
-        near = np.flatnonzero(
-            np.minimum(sizes[:i], sizes[i]) * 100 >= percent * np.maximum(sizes[:i], sizes[i])
-        )
+    def join(self, i: int, j: int) -> None:
+        a, b = self.top(i), self.top(j)
+        self.root[max(a, b)] = min(a, b)
+
+    def links(self, i: int, others: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+        """Confirmed links of member i that join it with further trees of the forest."""
+        sizes = self.sizes[others]
+        near = others[np.minimum(sizes, self.sizes[i]) * 100 >= percent * np.maximum(sizes, self.sizes[i])]
         if not len(near):
-            continue
-        more = (sketch[i] > sketch[near]).sum(axis=1)
-        fewer = (sketch[i] < sketch[near]).sum(axis=1)
-        guess = likely_similarity(more, fewer, np.full(len(near), sizes[i]), sizes[near])
+            return
+        more = (self.sketch[i] > self.sketch[near]).sum(axis=1)
+        fewer = (self.sketch[i] < self.sketch[near]).sum(axis=1)
+        guess = likely_similarity(more, fewer, np.full(len(near), self.sizes[i]), self.sizes[near])
+        share = percent / 100
+        floor = share - DEVIATIONS * math.sqrt(share * (1 - share) / REGISTERS)
         order = np.argsort(-guess, kind="stable")
-        for k in order[guess[order] >= floor]:
-            j = int(near[k])
-            a, b = top(i), top(j)
-            if a == b:
+        for j in near[order[guess[order] >= floor]]:
+            if self.top(i) == self.top(j):
                 continue
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
-                root[max(a, b)] = min(a, b)
-                yield nodes[i], nodes[j]
-
-
-def _link_blocks(size: int, percent: int):
-    """Rows sorted by (rep, block_i, block_j); one block pair in memory at a time."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def out(links):
-        links = list(links)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())],
-            schema=schema,
-        )
+            shared = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+            if 100 * shared >= percent * (len(self.sets[i]) + len(self.sets[j]) - shared):
+                self.join(i, j)
+                yield int(self.nodes[i]), int(self.nodes[j])
+
+
+def _within(key: tuple, rows: list, size: int, percent: int) -> Iterator[tuple]:
+    """Links inside a block that holds its group's smallest member; (rep, node, null) for
+    members that are not joined with it, if the group has other blocks."""
+    rep, _, blocks = key
+    members = _Members(rows, size)
+    for i in range(1, len(members.nodes)):
+        for a, b in members.links(i, np.arange(i), percent):
+            yield rep, a, b
+    if blocks > 1:
+        joined = {members.top(int(i)) for i in np.flatnonzero(members.nodes == rep)}
+        for i, node in enumerate(members.nodes):
+            if members.top(i) not in joined:
+                yield rep, int(node), None
+
+
+def _across(key: tuple, rows: list, size: int, percent: int) -> Iterator[tuple]:
+    """Links of searching members into a block. Those with the smallest member are one tree already."""
+    members = _Members(rows, size)
+    settled = np.flatnonzero(members.marks == WITH_REP)
+    for i in settled[1:]:
+        members.join(int(settled[0]), int(i))
+    for i in np.flatnonzero(members.marks == SEARCHING):
+        # two members that both search meet twice: one of the times is enough
+        again = (members.marks == APART) & (members.nodes > members.nodes[i])
+        for a, b in members.links(int(i), np.flatnonzero(again | (members.marks == WITH_REP)), percent):
+            yield key[0], a, b
+
+
+_UNIT = ["rep", "k", "m", "node", "text", "bands", "mark"]
+_LINKS = "rep long, a long, b long"
+
+
+def _linked(unit: DataFrame, links, size: int, percent: int) -> DataFrame:
+    """``links`` of every unit of work (rep, k, m), one of them in memory at a time."""
+    schema = pa.schema([("rep", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def out(key, rows):
+        found = list(links(key, rows, size, percent)) if len(rows) > 1 else []
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members = None, []
+        key, rows = None, []
         for batch in batches:
             keys = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
-            nodes = batch.column(3).to_pylist()
+            nodes, marks = batch.column(3).to_pylist(), batch.column(6).to_pylist()
             texts = texts_of(batch.column(4))
             bands = batch.column(5)
             for at, now in enumerate(keys):
                 if now != key:
-                    if len(members) > 1:
-                        yield out(_links_within(members, size, percent))
-                    key, members = now, []
-                members.append((nodes[at], texts[at], bands[at].values.to_numpy()))
-        if len(members) > 1:
-            yield out(_links_within(members, size, percent))
+                    yield out(key, rows)
+                    key, rows = now, []
+                rows.append((nodes[at], texts[at], bands[at].values.to_numpy(), marks[at]))
+        yield out(key, rows)
+
+    return (
+        unit.select(_UNIT)
+        .repartition("rep", "k", "m")
+        .sortWithinPartitions("rep", "k", "m", "node")
+        .mapInArrow(run, _LINKS)
+    )
 
-    return run
+
+def _parts(of: DataFrame, name: str) -> DataFrame:
+    """Per group, in how many blocks its members go."""
+    return of.groupBy("rep").agg(
+        F.ceil(
+            F.greatest(F.count("*") / F.lit(BLOCK_MEMBERS), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))
+        ).alias(name)
+    )
+
+
+def _numbers(count: str):
+    return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+
+
+def _group_links(groups: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a``, ``b``: a forest of confirmed links of the members of every group.
+
+    First every block of a group is compared within itself and with the group's smallest
+    member, so that near copies of one text are joined in one pass over them, however many there
+    are. Only members that this leaves apart then look into the group's other blocks.
+    """
+    extent = _parts(groups, "blocks")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    placed = groups.join(extent, "rep").withColumn("own", own)
+    first = written(
+        _linked(
+            placed.withColumn(
+                "k", F.explode(F.when(F.col("node") == F.col("rep"), _numbers("blocks")).otherwise(F.array("own")))
+            )
+            .select("rep", "k", F.col("blocks").alias("m"), "node", F.lit(SEARCHING).alias("mark"))
+            .join(texts, "node"),
+            _within,
+            size,
+            percent,
+        ),
+        "links",
+    )
+    links = first.where("b is not null").select("a", "b")
+    apart = first.where("b is null").select("rep", F.col("a").alias("node")).distinct()
+    if apart.isEmpty():
+        return links
+    left = placed.join(apart, ["rep", "node"])
+    parts = _parts(left, "parts")
+    searching = left.join(parts, "rep").select(
+        "rep",
+        F.pmod(F.xxhash64("node"), F.col("parts")).alias("k"),
+        F.explode(_numbers("blocks")).alias("m"),
+        "node",
+        F.lit(SEARCHING).alias("mark"),
+    )
+    searched = (
+        placed.join(parts, "rep")
+        .join(apart.withColumn("mark", F.lit(APART)), ["rep", "node"], "left")
+        .select(
+            "rep",
+            F.explode(_numbers("parts")).alias("k"),
+            F.col("own").alias("m"),
+            "node",
+            F.coalesce("mark", F.lit(WITH_REP)).alias("mark"),
+        )
+    )
+    more = _linked(searching.unionByName(searched).join(texts, "node"), _across, size, percent)
+    return links.unionByName(written(more, "links").select("a", "b"))
 
 
 def near_duplicates(
@@ -230,9 +333,10 @@ def near_duplicates(
 
     Two texts at the threshold share no band with a chance of (1 - 0.8**4)**32,
     about 5e-8. Candidates of a bucket meet at the bucket's smallest member;
-    large groups are cut into blocks, and each pair of blocks is a task's
-    work, so that no group has to fit in one task. Only a forest of
-    confirmed links leaves a block, never its pairs.
+    large groups are cut into blocks, so that no group has to fit in one task.
+    Every block is compared within itself and with that member; what is not joined
+    with it looks into the other blocks. Only a forest of confirmed links leaves a
+    block, never its pairs.
     """
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
@@ -266,35 +370,9 @@ def near_duplicates(
         .agg(F.first("n_shingles").alias("n_shingles")),
         "candidates",
     )
-    extent = groups.groupBy("rep").agg(
-        F.ceil(
-            F.greatest(
-                F.count("*") / F.lit(BLOCK_MEMBERS), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)
-            )
-        ).alias("blocks")
-    )
     candidates = groups.select("node").distinct().join(nodes.select("node", "bands"), "node")
     texts = source.join(candidates, F.col("doc_id") == F.col("node")).select("node", "text", "bands")
-    blocked = (
-        groups.select("rep", "node")
-        .join(extent, "rep")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select(
-            "rep",
-            F.least("own", "other").alias("block_i"),
-            F.greatest("own", "other").alias("block_j"),
-            "node",
-        )
-    )
-    links = written(
-        blocked.join(texts, "node")
-        .select("rep", "block_i", "block_j", "node", "text", "bands")
-        .repartition("rep", "block_i", "block_j")
-        .sortWithinPartitions("rep", "block_i", "block_j")
-        .mapInArrow(_link_blocks(shingle, percent), "a long, b long"),
-        "links",
-    )
+    links = _group_links(groups, texts, shingle, percent)
     components = connected_components(links)
     labels = (
         nodes.select("set_a", "set_b", "node")

@@ -185,6 +185,39 @@ def test_near_copies_of_one_text_in_several_blocks(spark, monkeypatch):
     assert all(found[100 + i] == 100 + i for i in range(5))
 
 
+def test_members_apart_from_the_smallest_are_linked_across_blocks(spark, monkeypatch):
+    import sluiceway.llm.neardup as n
+
+    # a chain: each text is linked with the next one, few with the group's smallest member
+    rows = [(i, " ".join(f"w{k}" for k in range(3 * i, 3 * i + 80))) for i in range(40)]
+    # a second cluster in the same group of candidates, linked with itself only
+    groups, texts = [(0, i, 76) for i, _ in rows], list(rows)
+    texts += [(100 + i, " ".join(f"v{k}" for k in range(i, i + 80))) for i in range(12)]
+    groups += [(0, i, 76) for i, _ in texts[40:]]
+    sets = [n.shingle_sets([t.encode()], 5)[0] for _, t in texts]
+    sketched = [
+        (i, t, n.registers(s).view(np.int64).tolist()) for (i, t), s in zip(texts, sets, strict=True)
+    ]
+
+    def found():
+        links = n._group_links(
+            spark.createDataFrame(groups, "rep long, node long, n_shingles long"),
+            spark.createDataFrame(sketched, "node long, text string, bands array<long>"), 5, 80,
+        )
+        pairs = {(r.a, r.b) for r in links.collect()}
+        where = {i: k for k, (i, _) in enumerate(texts)}
+        for a, b in pairs:
+            shared = len(np.intersect1d(sets[where[a]], sets[where[b]]))
+            assert 100 * shared >= 80 * (2 * 76 - shared)
+        return {r.node: r.component for r in connected_components(
+            spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+
+    whole = found()
+    assert set(whole.values()) == {0, 100} and len(whole) == 52
+    monkeypatch.setattr(n, "BLOCK_MEMBERS", 6)
+    assert found() == whole
+
+
 def test_setsketch_estimates_and_merges():
     a = mix(np.arange(1, 3001, dtype=np.uint64))
     b = mix(np.arange(601, 3601, dtype=np.uint64))
