@@ -248,29 +248,38 @@ def _linked(unit: DataFrame, links, size: int, percent: int) -> DataFrame:
     )
 
 
-def _parts(of: DataFrame, name: str) -> DataFrame:
-    """Per group, in how many blocks its members go."""
-    return of.groupBy("rep").agg(
-        F.ceil(
-            F.greatest(F.count("*") / F.lit(BLOCK_MEMBERS), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))
-        ).alias(name)
+def _parts(of: DataFrame, name: str, least: int) -> DataFrame:
+    """Groups whose members in ``of`` go in ``least`` blocks or more, and in how many.
+
+    Written, so that a join of a group with a large part of all members can be split.
+    """
+    count = F.ceil(
+        F.greatest(F.count("*") / F.lit(BLOCK_MEMBERS), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))
     )
+    return written(of.groupBy("rep").agg(count.alias(name)).where(F.col(name) >= least), "blocks")
 
 
 def _numbers(count: str):
     return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
 
 
-def _group_links(groups: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _group_links(
+    groups: DataFrame, nodes: DataFrame, source: DataFrame, size: int, percent: int
+) -> DataFrame:
     """``a``, ``b``: a forest of confirmed links of the members of every group.
 
     First every block of a group is compared within itself and with the group's smallest
     member, so that near copies of one text are joined in one pass over them, however many there
     are. Only members that this leaves apart then look into the group's other blocks.
     """
-    extent = _parts(groups, "blocks")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    placed = groups.join(extent, "rep").withColumn("own", own)
+    # groups of one block, by far the most, are not listed
+    placed = (
+        groups.join(_parts(groups, "blocks", 2), "rep", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    )
+    candidates = groups.select("node").distinct().join(nodes.select("node", "bands"), "node")
+    texts = source.join(candidates, F.col("doc_id") == F.col("node")).select("node", "text", "bands")
     first = written(
         _linked(
             placed.withColumn(
@@ -289,7 +298,7 @@ def _group_links(groups: DataFrame, texts: DataFrame, size: int, percent: int) -
     if apart.isEmpty():
         return links
     left = placed.join(apart, ["rep", "node"])
-    parts = _parts(left, "parts")
+    parts = _parts(left, "parts", 1)
     searching = left.join(parts, "rep").select(
         "rep",
         F.pmod(F.xxhash64("node"), F.col("parts")).alias("k"),
@@ -308,7 +317,15 @@ def _group_links(groups: DataFrame, texts: DataFrame, size: int, percent: int) -
             F.coalesce("mark", F.lit(WITH_REP)).alias("mark"),
         )
     )
-    more = _linked(searching.unionByName(searched).join(texts, "node"), _across, size, percent)
+    unit = written(searching.unionByName(searched), "apart")
+    # the texts of these groups only: while they are few, no other text is shuffled again
+    needed = written(unit.select("node").distinct(), "needed")
+    again = (
+        source.join(needed, F.col("doc_id") == F.col("node"))
+        .select("node", "text")
+        .join(nodes.select("node", "bands").join(needed, "node", "left_semi"), "node")
+    )
+    more = _linked(unit.join(again, "node"), _across, size, percent)
     return links.unionByName(written(more, "links").select("a", "b"))
 
 
@@ -358,21 +375,21 @@ def near_duplicates(
         "classes",
     )
     banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "value"))
-    shared = (
+    # written, so that the join below can split a bucket with a large part of all texts
+    shared = written(
         banded.groupBy("band", "value")
         .agg(F.min("node").alias("rep"), F.max("node").alias("last"))
         .where("rep <> last")
-        .drop("last")
+        .drop("last"),
+        "buckets",
     )
     groups = written(
-        banded.join(shared, ["band", "value"])
+        banded.join(shared.hint("merge"), ["band", "value"])
         .groupBy("rep", "node")
         .agg(F.first("n_shingles").alias("n_shingles")),
         "candidates",
     )
-    candidates = groups.select("node").distinct().join(nodes.select("node", "bands"), "node")
-    texts = source.join(candidates, F.col("doc_id") == F.col("node")).select("node", "text", "bands")
-    links = _group_links(groups, texts, shingle, percent)
+    links = _group_links(groups, nodes, source, shingle, percent)
     components = connected_components(links)
     labels = (
         nodes.select("set_a", "set_b", "node")

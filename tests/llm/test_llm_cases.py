@@ -202,7 +202,8 @@ def test_members_apart_from_the_smallest_are_linked_across_blocks(spark, monkeyp
     def found():
         links = n._group_links(
             spark.createDataFrame(groups, "rep long, node long, n_shingles long"),
-            spark.createDataFrame(sketched, "node long, text string, bands array<long>"), 5, 80,
+            spark.createDataFrame([(i, b) for i, _, b in sketched], "node long, bands array<long>"),
+            spark.createDataFrame(texts, "doc_id long, text string"), 5, 80,
         )
         pairs = {(r.a, r.b) for r in links.collect()}
         where = {i: k for k, (i, _) in enumerate(texts)}
