@@ -263,6 +263,14 @@ def test_secret_cases(spark, docs, none):
     assert redact_secrets(docs).columns == docs.columns
 
 
+def test_key_words_have_ascii_letters_only(spark):
+    """A long s and a Kelvin sign are no cases of s and k, whatever else the text holds."""
+    odd = "to\u212aen=abcdefgh1 pa\u017fsword=abcdefgh2"
+    docs = spark.createDataFrame([(1, odd), (2, odd + " Token=abcdefgh3")], "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.start) for s in r.secrets] for r in find_secrets(docs).collect()}
+    assert found == {1: [], 2: [("assign", len(odd) + 1)]}
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [
         (5, "http://a/", "<p>é</p>", 1), (2, None, "<p>é</p>", 1), (3, "http://b/", None, 1), (4, "http://c/", "", 1),
