@@ -14,6 +14,10 @@ from sluiceway.operators.keys import (
     reference_check,
 )
 from sluiceway.operators.profile import table_profile
+from sluiceway.plans.flow import Flow
+from sluiceway.plans.steps import Source, Target
+from sluiceway.session import new_scratch_path
+from sluiceway.sinks.files import ReplaceFiles
 
 
 @query(
@@ -367,6 +371,36 @@ def contract_lossy(spark, sf_dir):
     return contract_checks(table(spark, sf_dir, "part").select("p_retailprice", "p_size"), contract)
 
 
+@query(
+    """
+    SELECT 'lacking' AS run, 'failed' AS status,
+           'Column ''c_acctbal'' not found in pipeline output' AS error, count(*) AS rows_held
+    FROM customer WHERE c_acctbal >= 0
+    UNION ALL
+    SELECT 'unfit', 'failed',
+           'c_acctbal: ' || (SELECT count(*) FROM customer WHERE c_acctbal < 0) || ' values do not convert', count(*)
+    FROM customer WHERE c_acctbal >= 0
+    UNION ALL
+    SELECT 'whole', 'completed', NULL, count(*) FROM customer WHERE c_acctbal < 0
+    """
+)
+def contract_from_target(spark, sf_dir):
+    """Runs into a table that declares nothing but its own columns, and what it holds after each."""
+    path = new_scratch_path(spark, "held")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    customer.where("c_acctbal >= 0").write.parquet(path)
+    marked = F.concat(F.col("c_acctbal").cast("string"), F.when(F.col("c_acctbal") < 0, "?").otherwise(""))
+    told = []
+    for name, rows in (
+        ("lacking", customer.drop("c_acctbal")),
+        ("unfit", customer.withColumn("c_acctbal", marked)),
+        ("whole", customer.where("c_acctbal < 0")),
+    ):
+        report = Flow(spark, [Source("rows", rows)], [Target(ReplaceFiles(path))]).run(check_data=True)
+        told.append((name, report.status, report.error, spark.read.parquet(path).count()))
+    return spark.createDataFrame(told, "run string, status string, error string, rows_held bigint")
+
+
 def _profile_sql(table_name, position, column, type_name, kind, as_text=None):
     shown = as_text or "CAST({} AS VARCHAR)"
     low, high = (shown.format(f"{f}({column})") for f in ("min", "max"))
@@ -413,25 +447,44 @@ def profile_documents(spark, sf_dir):
 
 @query(
     """
-    SELECT position, "column", type, category, n_rows, n_null, has_null,
-           CAST(NULL AS BOOLEAN) AS is_unique FROM (
-      SELECT 1 AS position, 'l_orderkey' AS "column", 'int8' AS type, 'number' AS category,
-             count(*) AS n_rows, count(*) FILTER (l_orderkey IS NULL) AS n_null,
-             false AS has_null FROM lineitem
-      UNION ALL
-      SELECT 2, 'l_returnflag', 'text', 'text', count(*),
-             count(*) FILTER (l_returnflag = 'N'), true FROM lineitem
-      UNION ALL
-      SELECT 3, 'l_shipdate', 'timestamp', 'datetime', count(*), 0, false FROM lineitem
-    ) AS t
+    SELECT position, "column", type, category, n_rows, n_null, n_null > 0 AS has_null,
+           true AS close FROM (
     """
+    + " UNION ALL ".join(
+        f"""
+        SELECT {i} AS position, '{name}' AS "column", '{kind}' AS type, '{group}' AS category,
+               count(*) AS n_rows, count(*) FILTER ({absent}) AS n_null FROM lineitem
+        """
+        for i, (name, kind, group, absent) in enumerate(
+            [
+                ("l_orderkey", "int8", "number", "l_orderkey IS NULL"),
+                ("l_partkey", "int8", "number", "l_partkey IS NULL"),
+                ("l_suppkey", "int8", "number", "l_suppkey IS NULL"),
+                ("l_linenumber", "int4", "number", "l_linenumber IS NULL"),
+                ("l_quantity", "float8", "number", "l_quantity IS NULL"),
+                ("l_extendedprice", "float8", "number", "l_extendedprice IS NULL"),
+                ("l_discount", "float8", "number", "l_discount IS NULL"),
+                ("l_tax", "float8", "number", "l_tax IS NULL"),
+                ("l_returnflag", "text", "text", "l_returnflag = 'N'"),
+                ("l_linestatus", "text", "text", "l_linestatus IS NULL"),
+                ("l_shipdate", "timestamp", "datetime", "l_shipdate IS NULL"),
+            ],
+            start=1,
+        )
+    )
+    + ") AS t"
 )
 def profile_approximate(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        F.nullif(F.col("l_returnflag"), F.lit("N")).alias("l_returnflag"),
-        "l_shipdate",
-    )
-    return table_profile(lines, distinct="approx").drop(
-        "n_distinct", "min_value", "max_value", "is_key"
+    """Every column; ``close`` tells that the estimate is within 5 % of the exact count."""
+    flag = F.nullif(F.col("l_returnflag"), F.lit("N"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("l_returnflag", flag)
+    exact = table_profile(lines).select("position", F.col("n_distinct").alias("n_exact"))
+    close = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 0.05 * F.col("n_exact")
+    return (
+        table_profile(lines, distinct="approx", relative_error=0.01)
+        .join(exact, "position")
+        .select(
+            "position", "column", "type", "category", "n_rows", "n_null", "has_null",
+            close.alias("close"),
+        )
     )

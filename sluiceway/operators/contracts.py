@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from enum import Enum
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sluiceway.functions.conversion import converted
 from sluiceway.functions.expression import quoted
@@ -33,11 +33,17 @@ class TargetColumn:
     is_primary_key: bool = False
     foreign_key: str | None = None  # "table.column"
     is_unique: bool = False
+    # the Spark type itself, where it was read from a Spark table and not told by name
+    exact: T.DataType | None = field(default=None, compare=False, repr=False)
 
     @property
     def category(self) -> str:
         return category(self.type)
 
+    @property
+    def spark_type(self) -> T.DataType:
+        return self.exact if self.exact is not None else spark_type(self.type)
+
 
 @dataclass(frozen=True)
 class Check:
@@ -58,9 +64,17 @@ CHECK_COLUMNS = (
 )
 
 
+def columns_of(schema: T.StructType) -> list[TargetColumn]:
+    """The contract that an existing table states: its names, types and nullability."""
+    return [
+        TargetColumn(f.name, catalog_name(f.dataType), f.nullable, exact=f.dataType)
+        for f in schema.fields
+    ]
+
+
 def declared_columns(df: DataFrame) -> list[TargetColumn]:
-    """The contract that a frame itself satisfies: its names and types."""
-    return [TargetColumn(f.name, catalog_name(f.dataType), f.nullable) for f in df.schema.fields]
+    """The contract that a frame itself satisfies."""
+    return columns_of(df.schema)
 
 
 def missing_columns(columns: Sequence[str], contract: Iterable[TargetColumn]) -> list[Check]:
@@ -116,7 +130,7 @@ def schema_findings(
 
 def _converted(df: DataFrame, target: TargetColumn) -> Column:
     current = df.schema[target.name].dataType
-    value = converted(quoted(target.name), current, spark_type(target.type))
+    value = converted(quoted(target.name), current, target.spark_type)
     try:
         df.select(value)
     except AnalysisException:  # no cast between these types at all
@@ -178,7 +192,7 @@ def contract_checks(
             field = df.schema[target.name]
             actual = field.dataType.simpleString()
             try:
-                wanted = spark_type(target.type)
+                wanted = target.spark_type
             except ValueError as error:  # a type that no column here can have
                 told = f"{target.name}: not compared, {error}"
                 rows.append(

@@ -14,6 +14,7 @@ def table_profile(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     distinct: str = "exact",
+    relative_error: float = 0.05,
 ) -> DataFrame:
     """One row per column, in table order.
 
@@ -23,7 +24,8 @@ def table_profile(
 
     ``distinct`` is ``exact`` or ``approx``; the latter keeps a fixed-size
     sketch per column and shuffles no values, for tables where counting every
-    value is too dear. ``is_unique`` and ``is_key`` (unique without nulls) are
+    value is too dear; ``relative_error`` is the standard deviation of its estimates.
+    ``is_unique`` and ``is_key`` (unique without nulls) are
     known only for exact counts and are null otherwise.
     """
     if distinct not in ("exact", "approx"):
@@ -46,7 +48,7 @@ def table_profile(
             bounds += [F.min(name).alias(f"_lo{i}"), F.max(name).alias(f"_hi{i}")]
             low, high = F.col(f"_lo{i}").cast("string"), F.col(f"_hi{i}").cast("string")
             if distinct == "approx":
-                bounds.append(F.approx_count_distinct(name).alias(f"_d{i}"))
+                bounds.append(F.approx_count_distinct(name, relative_error).alias(f"_d{i}"))
                 estimate = F.col(f"_d{i}")
         rows.append(
             F.struct(

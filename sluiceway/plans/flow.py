@@ -19,13 +19,14 @@ from sluiceway.operators.contracts import (
     Check,
     Status,
     TargetColumn,
+    columns_of,
     full_checks,
     schema_findings,
 )
 from sluiceway.operators.sqlsteps import StepError, relation_name
 from sluiceway.plans.steps import Given, Source, Step, Target
 from sluiceway.session import new_scratch_path
-from sluiceway.sinks.base import Folder, Pending
+from sluiceway.sinks.base import Folder, Pending, held_columns
 from sluiceway.sinks.files import DryRun
 from sluiceway.sources.tables import guard_row_count
 
@@ -295,6 +296,7 @@ class Flow:
         each: ``written``, ``skipped``, ``unchanged`` or ``restored``. Rows that were
         inserted into a target before another one failed stay and are told as written.
         ``row_limit`` holds for every source that leads to a target.
+        A target without a declared contract must get the columns that it already has.
         ``check_data`` also counts nulls, lost values, broken keys and orphans.
         ``metrics`` counts the rows of each step during the write; the counters
         stop filters from moving past a step, so they are off by default.
@@ -331,12 +333,15 @@ class Flow:
             if row_limit is not None:
                 sources = [i for i in wanted if isinstance(self.steps[i], Source)]
                 total = sum(guard_row_count(built[i], row_limit) for i in sources)
-            self._check_schemas(built)
+            contracts = {
+                t.name: self._contract_of(t, built[self._place_of(t)]) for t in self.targets
+            }
+            self._check_schemas(built, contracts)
             if check_data:
                 # computed once; the counts and the write then read the copy
-                for i in {self._place_of(t) for t in self.targets if t.contract}:
+                for i in {self._place_of(t) for t in self.targets if contracts[t.name]}:
                     built[i] = self._kept(built[i], "table", kept, scratch)
-                self._check_rows(built, strict_types, tables or {})
+                self._check_rows(built, contracts, strict_types, tables or {})
             for target in self.targets:
                 pending.append((target, target.sink.stage(built[self._place_of(target)])))
             # inserts can still fail and go first; the switches follow
@@ -379,7 +384,7 @@ class Flow:
 
     def dry_run(self, **options) -> RunReport:
         """Everything a run does but the write; the targets are told as skipped."""
-        skipping = [replace(target, sink=DryRun()) for target in self.targets]
+        skipping = [replace(target, sink=DryRun(target.sink)) for target in self.targets]
         return Flow(self.spark, self.steps, skipping).run(**options)
 
     def _put_back(
@@ -428,10 +433,22 @@ class Flow:
             return self.spark.read.schema(frame.schema).parquet(folder.path)
         raise FlowError(f"share must be persist, table or None, got: {share}")
 
-    def _check_schemas(self, built: Mapping[int, DataFrame]) -> None:
+    def _contract_of(self, target: Target, frame: DataFrame) -> Sequence[TargetColumn]:
+        """What the target declares, else the columns that it has by now."""
+        if target.contract:
+            return target.contract
+        held = held_columns(target.sink, self.spark)
+        columns = [] if held is None else columns_of(held)
+        if getattr(target.sink, "fill_missing", False):
+            return [c for c in columns if c.name in frame.columns]
+        return columns
+
+    def _check_schemas(
+        self, built: Mapping[int, DataFrame], contracts: Mapping[str, Sequence[TargetColumn]]
+    ) -> None:
         for target in self.targets:
-            if target.contract:
-                findings = schema_findings(built[self._place_of(target)], target.contract)
+            if contracts[target.name]:
+                findings = schema_findings(built[self._place_of(target)], contracts[target.name])
                 failed = [c.message for c in findings if c.status is Status.FAILED]
                 if failed:
                     raise StepError("; ".join(failed))
@@ -439,13 +456,14 @@ class Flow:
     def _check_rows(
         self,
         built: Mapping[int, DataFrame],
+        contracts: Mapping[str, Sequence[TargetColumn]],
         strict_types: bool,
         tables: Mapping[str, DataFrame],
     ) -> None:
         for target in self.targets:
-            if target.contract:
+            if contracts[target.name]:
                 frame = built[self._place_of(target)]
-                checks = full_checks(frame, target.contract, tables, strict_types)
+                checks = full_checks(frame, contracts[target.name], tables, strict_types)
                 # at most one row per rule and column
                 bad = checks.where(F.col("status") == Status.FAILED.value).collect()
                 if bad:

@@ -37,9 +37,18 @@ class Pending:
 
 
 class Sink(Protocol):
+    """Where rows go. A sink may also have ``held(spark)``: the columns that an existing
+    target has, or None. They are the target's contract where none is declared.
+    """
+
     def stage(self, df: DataFrame) -> Pending: ...
 
 
+def held_columns(sink: Sink, spark: SparkSession) -> T.StructType | None:
+    held = getattr(sink, "held", None)
+    return None if held is None else held(spark)
+
+
 def write(df: DataFrame, sink: Sink) -> int:
     """Stage and commit in one go; the number of rows written."""
     pending = sink.stage(df)

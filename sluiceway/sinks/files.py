@@ -5,9 +5,24 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sluiceway.sinks.base import Folder, Pending, WriteError, aligned, counted
+from sluiceway.sinks.base import (
+    Folder,
+    Pending,
+    Sink,
+    WriteError,
+    aligned,
+    counted,
+    held_columns,
+)
+
+
+def folder_columns(spark: SparkSession, path: str, file_format: str) -> T.StructType | None:
+    """The columns of the files in a folder, None if there is no such folder."""
+    if not Folder(spark, path).exists():
+        return None
+    return spark.read.format(file_format).load(path).schema
 
 
 @dataclass(frozen=True)
@@ -18,11 +33,13 @@ class AppendFiles:
     file_format: str = "parquet"
     fill_missing: bool = False
 
+    def held(self, spark: SparkSession) -> T.StructType | None:
+        return folder_columns(spark, self.path, self.file_format)
+
     def stage(self, df: DataFrame) -> Pending:
-        spark = df.sparkSession
-        if not Folder(spark, self.path).exists():
+        target = self.held(df.sparkSession)
+        if target is None:
             raise WriteError(f"target does not exist: {self.path}")
-        target = spark.read.format(self.file_format).load(self.path).schema
         rows, count = counted(aligned(df, target, self.fill_missing))
 
         def commit() -> int:
@@ -46,11 +63,13 @@ class ReplaceFiles:
     create: bool = True
     fill_missing: bool = False
 
+    def held(self, spark: SparkSession) -> T.StructType | None:
+        return folder_columns(spark, self.path, self.file_format)
+
     def stage(self, df: DataFrame) -> Pending:
         spark = df.sparkSession
-        target = Folder(spark, self.path)
-        if target.exists():
-            held = spark.read.format(self.file_format).load(self.path).schema
+        target, held = Folder(spark, self.path), self.held(spark)
+        if held is not None:
             df = aligned(df, held, self.fill_missing)
         elif not self.create:
             raise WriteError(f"target does not exist: {self.path}")
@@ -112,9 +131,11 @@ class AppendTable:
     table: str
     fill_missing: bool = False
 
+    def held(self, spark: SparkSession) -> T.StructType:
+        return spark.table(self.table).schema
+
     def stage(self, df: DataFrame) -> Pending:
-        held = df.sparkSession.table(self.table).schema
-        rows, count = counted(aligned(df, held, self.fill_missing))
+        rows, count = counted(aligned(df, self.held(df.sparkSession), self.fill_missing))
 
         def commit() -> int:
             rows.write.insertInto(self.table)
@@ -135,6 +156,9 @@ class ReplaceTable:
     drop_old: bool = False
     fill_missing: bool = False
 
+    def held(self, spark: SparkSession) -> T.StructType:
+        return spark.table(self.table).schema
+
     def stage(self, df: DataFrame) -> Pending:
         spark = df.sparkSession
         if any(column.isPartition for column in spark.catalog.listColumns(self.table)):
@@ -145,7 +169,7 @@ class ReplaceTable:
             .where(F.col("col_name").isin("Location", "Provider"))
             .collect()
         }
-        rows = aligned(df, spark.table(self.table).schema, self.fill_missing)
+        rows = aligned(df, self.held(spark), self.fill_missing)
         base = detail["Location"].split(".version-")[0].rstrip("/")
         fresh = Folder(spark, f"{base}.version-{uuid.uuid4().hex}")
         total = write_and_verify(rows, fresh, detail["Provider"])
@@ -175,7 +199,16 @@ class ReplaceTable:
 
 @dataclass(frozen=True)
 class DryRun:
-    """Run everything but the write."""
+    """Run everything but the write, against the columns of ``of`` if it is given."""
+
+    of: Sink | None = None
+
+    @property
+    def fill_missing(self) -> bool:
+        return getattr(self.of, "fill_missing", False)
+
+    def held(self, spark: SparkSession) -> T.StructType | None:
+        return held_columns(self.of, spark)
 
     def stage(self, df: DataFrame) -> Pending:
         rows, count = counted(df)

@@ -17,13 +17,19 @@ def read_text_table(
 
     A missing value reads as ``null_text``; give ``None`` to read null. Quotes
     inside a quoted value are doubled. ``multiline`` allows line breaks inside
-    quotes, at the price of one task per file.
+    quotes, at the price of one task per file, so give it many files.
+
+    A record with fewer or more values than the header fails the read, whichever columns
+    are asked for; none is padded. So a record that a line break tears fails as well,
+    unless all its pieces happen to have as many values as the header.
     """
     df = (
         spark.read.option("header", True)
         .option("inferSchema", False)
         .option("escape", '"')
         .option("multiLine", multiline)
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)
         .csv(path)
     )
     if null_text is None:

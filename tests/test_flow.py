@@ -343,6 +343,29 @@ def test_a_failure_after_the_writes_leaves_them(spark, users, tmp_path, monkeypa
     assert spark.read.parquet(path).count() == 3
 
 
+def test_a_target_states_its_own_columns(spark, users, tmp_path):
+    path = str(tmp_path / "held")
+    users.write.parquet(path)
+
+    def run(rows_, sink, **options):
+        return Flow(spark, [Source("rows", rows_)], [Target(sink)]).run(**options)
+
+    lacking = users.select("id", F.col("name").alias("nmae"), "email")
+    for sink in (AppendFiles(path), ReplaceFiles(path), DryRun(AppendFiles(path))):
+        report = run(lacking, sink)
+        assert (report.status, report.error) == (
+            "failed", "Column 'name' not found in pipeline output"
+        )
+    # null filling is asked for, a new folder states nothing
+    assert run(users.drop("name"), AppendFiles(path, fill_missing=True)).status == "completed"
+    assert run(lacking, ReplaceFiles(str(tmp_path / "new"))).status == "completed"
+    # types are those of the table, also in strict checks
+    assert run(users, ReplaceFiles(path), check_data=True, strict_types=True).status == "completed"
+    wide = users.withColumn("id", F.lit(2**40))
+    assert "do not convert" in run(wide, ReplaceFiles(path), check_data=True).error
+    assert rows(spark.read.parquet(path)) == rows(users)
+
+
 def test_prev_beside_named_inputs_counts_as_read(spark, users, people):
     flow = Flow(
         spark,

@@ -68,6 +68,18 @@ def test_text_tables_with_line_breaks(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text('id,note\n1,"two\nlines"\n')
     assert rows(read_text_table(spark, str(path), multiline=True)) == [("1", "two\nlines")]
+    torn = read_text_table(spark, str(path))
+    for read in (torn.collect, torn.select("id").collect):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read()
+
+
+def test_text_tables_refuse_records_of_another_width(spark, tmp_path):
+    for record in ("1", "1,2,3"):
+        path = tmp_path / f"{len(record)}.csv"
+        path.write_text(f"a,b\n{record}\n")
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read_text_table(spark, str(path)).collect()
 
 
 def test_database_reader_options():
