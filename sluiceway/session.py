@@ -29,29 +29,44 @@ SPREAD = {
 }
 
 CLUSTER_PARTITIONS = 10_000
+PART_BYTES = 1 << 30
+
+
+def shuffle_settings(
+    master: str | None = None,
+    shuffle_partitions: int | None = None,
+    largest_shuffle: int | None = None,
+) -> dict[str, str]:
+    """How many parts shuffles start with. AQE merges parts that turn out small, but does not
+    split all of them when there are too few.
+
+    A fixed number goes before the bytes of the largest shuffle, which get a part for every
+    PART_BYTES. Without either a cluster starts with CLUSTER_PARTITIONS.
+    """
+    if shuffle_partitions:
+        return {"spark.sql.shuffle.partitions": str(shuffle_partitions)}
+    start = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if largest_shuffle:
+        return {start: str(max(200, -(-largest_shuffle // PART_BYTES)))}
+    return {} if (master or "").startswith("local") else {start: str(CLUSTER_PARTITIONS)}
 
 
 def build_session(
     app_name: str = "sluiceway",
     master: str | None = None,
     shuffle_partitions: int | None = None,
+    largest_shuffle: int | None = None,
     **extra: str,
 ) -> SparkSession:
     """A session with the settings above; ``extra`` keys use ``__`` for dots.
 
-    Off a local master shuffles start with ``CLUSTER_PARTITIONS`` parts unless
-    told otherwise: AQE can merge parts that turn out small, but not split all
-    of them when there are too few.
+    Tell the bytes of the largest shuffle (about the input of the widest join or sort) where
+    it is beyond CLUSTER_PARTITIONS times PART_BYTES, 10 TB.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    settings = {**MEANING, **SPREAD}
-    if shuffle_partitions:
-        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    elif not (master or "").startswith("local"):
-        start = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-        settings[start] = str(CLUSTER_PARTITIONS)
+    settings = {**MEANING, **SPREAD, **shuffle_settings(master, shuffle_partitions, largest_shuffle)}
     settings.update({key.replace("__", "."): str(value) for key, value in extra.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)

@@ -13,9 +13,21 @@ from sluiceway.sources.tables import (
     row_count_report,
     sample,
 )
+from sluiceway.session import shuffle_settings
 from sluiceway.sources.text_tables import read_text_table
 
 
+def test_shuffles_start_with_parts_for_their_bytes():
+    def parts(*given, **named):
+        return list(shuffle_settings(*given, **named).values())
+
+    assert parts("local[4]") == []
+    assert parts("local[4]", 4) == parts("yarn", 4, largest_shuffle=10**14) == ["4"]
+    assert parts("yarn") == ["10000"]
+    assert parts("yarn", largest_shuffle=100 << 40) == ["102400"]
+    assert parts("yarn", largest_shuffle=1) == ["200"]
+
+
 def test_tables_by_path_and_by_name(spark, users, tmp_path):
     path = str(tmp_path / "users")
     users.write.parquet(path)
