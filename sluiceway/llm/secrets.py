@@ -45,8 +45,20 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]", least=16),
     Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{32}", least=32),
 )
+# what stands between the pieces of a key's body: white space, escaped line ends, marks of quotations and strings
+_GAP = r"""(?:[\s>#*|"'`,;]|\\+[nrt]|<br ?/?>)"""
+# a key runs from its BEGIN to the next END line, whatever the body looks like. If another marker or the end of
+# the text comes first: over header lines and base64 pieces of 20 letters, and a shorter one that
+# ends its line; words that follow stay
+_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:(?:[^-]|-(?!----(?:BEGIN|END)\x20))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}*+(?:[A-Z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+|Comment|Version|Subject):[^\r\n\\]*+)*+"
+    rf"(?:(?:{_GAP}*+[A-Za-z0-9+/=]{{20,}}+)++|(?=[^\S\n]*[\n\\]))"
+    rf"(?:{_GAP}*+[A-Za-z0-9+/=]{{1,19}}+(?=[^\S\n]*(?:[\n\\\"'`.,;…]|\Z)))?|)"
+)
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _KEY, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", r"gh[pousr]_[A-Za-z0-9]"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-[A-Za-z0-9-]"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", r"AIza[A-Za-z0-9_-]"),

@@ -263,6 +263,33 @@ def test_secret_cases(spark, docs, none):
     assert redact_secrets(docs).columns == docs.columns
 
 
+def test_no_line_of_a_private_key_survives(spark):
+    body = [("Q7x+/" * 13)[k : k + 64] for k in range(5)] + ["pZ9w=="]
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    headers = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,A1B2C3D4", ""]
+    cut = "before [private_key removed]\nand then some words"
+    cases = [
+        ("\n".join(["before", head, *body, tail, "after"]), "before\n[private_key removed]\nafter"),
+        ("\r\n".join(["é", head, *headers, *body, tail, "after"]), "é\r\n[private_key removed]\r\nafter"),
+        ("\\n".join([f'"{head}', *body, f'{tail}"']), '"[private_key removed]"'),
+        ("\n> ".join(["a", head, *body, tail, "b"]), "a\n> [private_key removed]\n> b"),
+        (" ".join(["a", head, *body, tail, "b"]), "a [private_key removed] b"),
+        # no END line: the base64 lines go, the words after them stay
+        ("\n".join([f"before {head}", *body, "and then some words"]), cut),
+        ("\n".join([f"before {head}", *headers, *body[:3], "and then some words"]), cut),
+        ("\n".join([head, *body[:2], body[2][:11]]), "[private_key removed]"),
+        (f"{head} starts a key, after the {head} line.", "[private_key removed] starts a key, after the [private_key removed] line."),
+        # two keys, the first without END, and another kind of block between
+        ("\n".join([head, *body, head, *body, tail, "x"]), "[private_key removed]\n[private_key removed]\nx"),
+        ("\n".join([head, *body, "-----BEGIN CERTIFICATE-----", "MIIB", "-----END CERTIFICATE-----"]),
+         "[private_key removed]\n-----BEGIN CERTIFICATE-----\nMIIB\n-----END CERTIFICATE-----"),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
+    assert [clean[k] for k in range(len(cases))] == [wanted for _, wanted in cases]
+    assert not any(line in text for text in clean.values() for line in [*body, tail])
+
+
 def test_key_words_have_ascii_letters_only(spark):
     """A long s and a Kelvin sign are no cases of s and k, whatever else the text holds."""
     odd = "to\u212aen=abcdefgh1 pa\u017fsword=abcdefgh2"
