@@ -24,7 +24,7 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5 for toxicity; rows with a rejected id go together."""
-    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), both_orders=True)
     return _without(docs, score_toxicity(docs, model).where("score >= 0.5"))
 
 

@@ -48,7 +48,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document, learned from labels outside the held-out part."""
     docs = _table(spark, sf_dir, "documents")
-    scored = score_toxicity(docs, learn(docs, _table(spark, sf_dir, "labels")))
+    scored = score_toxicity(docs, learn(docs, _table(spark, sf_dir, "labels"), both_orders=True))
     return scored.select(
         "doc_id",
         held_out("doc_id").alias("held_out"),

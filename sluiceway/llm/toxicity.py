@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become symbols (insult, threat, target, negation, report, end of clause).
-Four small transducers read them side by side and each multiplies the weight of
-a matched word: an insult near a target counts more, a negated one or one in a
+Small transducers read them side by side, on and back, and each multiplies the weight
+of a matched word: an insult near a target counts more, a negated one or one in a
 clause of reported speech counts less, a threat counts only with its target. The
 composed transducer is one table. A clause scores the sum of its matches, a
 document its clauses. Insult words and stems, and the curve from evidence to
@@ -55,57 +55,102 @@ TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 
 @dataclass(frozen=True)
 class Transducer:
-    """``moves[state][symbol]`` is the next state; ``gain[state][symbol]`` multiplies a match."""
+    """``before[state][symbol]`` is the next state reading on, ``after`` the one reading back.
 
-    moves: tuple[tuple[int, ...], ...]
-    gain: tuple[tuple[float, ...], ...]
+    ``gain[i][j][symbol]`` multiplies a match that is reached in state i from the left and in
+    state j from the right. State 0 is the start of both, and where a stop leads.
+    """
 
+    before: tuple[tuple[int, ...], ...]
+    after: tuple[tuple[int, ...], ...]
+    gain: tuple[tuple[tuple[float, ...], ...], ...]
+
+
+NOWHERE = ((0,) * 7,)  # a side that is not looked at
+
+
+def _window(opener: int, reach: int) -> tuple[tuple[int, ...], ...]:
+    """Moves with states above 0 for ``reach`` words after ``opener``; a stop closes them."""
+    return tuple(
+        tuple(reach if s == opener else 0 if s == STOP else max(0, state - 1) for s in range(7))
+        for state in range(reach + 1)
+    )
+
+
+def _held(opener: int) -> tuple[tuple[int, ...], ...]:
+    """Moves with state 1 from ``opener`` to the next stop."""
+    return tuple(tuple(1 if s == opener else 0 if s == STOP else state for s in range(7)) for state in range(2))
+
+
+def _sided(before, after, gain) -> Transducer:
+    """``gain`` of a symbol, whether something stands before it and whether something stands after it."""
+    return Transducer(
+        before,
+        after,
+        tuple(
+            tuple(tuple(gain(s, i > 0, j > 0) for s in range(7)) for j in range(len(after)))
+            for i in range(len(before))
+        ),
+    )
 
-def _window(opener: int, reach: int, gains: dict[int, float], outside: dict[int, float]) -> Transducer:
-    """Symbols up to ``reach`` words after ``opener`` are inside; a stop closes it."""
-    moves, gain = [], []
-    for state in range(reach + 1):
-        inside = gains if state else outside
-        moves.append(
-            tuple(
-                reach if s == opener else 0 if s == STOP else max(0, state - 1)
-                for s in range(7)
-            )
-        )
-        gain.append(tuple(inside.get(s, 1.0) for s in range(7)))
-    return Transducer(tuple(moves), tuple(gain))
+
+def _side(a, b):
+    n = len(b)
+    return tuple(tuple(x[s] * n + y[s] for s in range(7)) for x in a for y in b)
 
 
 def compose(a: Transducer, b: Transducer) -> Transducer:
     """Both transducers reading the same symbols, gains multiplied."""
-    n = len(b.moves)
     return Transducer(
+        _side(a.before, b.before),
+        _side(a.after, b.after),
         tuple(
-            tuple(a.moves[i][s] * n + b.moves[j][s] for s in range(7))
-            for i in range(len(a.moves))
-            for j in range(n)
+            tuple(tuple(x[s] * y[s] for s in range(7)) for x in left for y in right)
+            for left in a.gain
+            for right in b.gain
         ),
-        tuple(
-            tuple(a.gain[i][s] * b.gain[j][s] for s in range(7))
-            for i in range(len(a.moves))
-            for j in range(n)
+    )
+
+
+def _negated(s: int, before: bool, after: bool) -> float:
+    return 0.3 if before and s in (INSULT, THREAT) else 1.0
+
+
+def _targeted(s: int, before: bool, after: bool) -> float:
+    if s == THREAT:
+        return 1.0 if before or after else 0.0
+    return 1.25 if before and s == INSULT else 1.0
+
+
+def _reported(s: int, before: bool, after: bool) -> float:
+    return 0.5 if (before or after) and s in (INSULT, THREAT) else 1.0
+
+
+def _grammar(both_orders: bool) -> Transducer:
+    return compose(
+        compose(
+            _sided(_window(NEGATION, 2), NOWHERE, _negated),
+            _sided(_window(TARGET, 4), _held(TARGET) if both_orders else NOWHERE, _targeted),
         ),
+        _sided(_window(REPORT, 12), _window(REPORT, 12) if both_orders else NOWHERE, _reported),
     )
 
 
-NEGATED = _window(NEGATION, 2, {INSULT: 0.3, THREAT: 0.3}, {})
-TARGETED = _window(TARGET, 4, {INSULT: 1.25}, {THREAT: 0.0})
-REPORTED = _window(REPORT, 12, {INSULT: 0.5, THREAT: 0.5}, {})
-GRAMMAR = compose(compose(NEGATED, TARGETED), REPORTED)
+GRAMMARS = {both_orders: _grammar(both_orders) for both_orders in (False, True)}
 
 
 @dataclass
 class Model:
-    """``words`` and ``stems`` (proper prefixes) to weights, and the curve's coefficients."""
+    """``words`` and ``stems`` (proper prefixes) to weights, and the curve's coefficients.
+
+    With ``both_orders`` a threat counts with a target before or after it in the clause, and a
+    report discounts from either side; without, targets and reports count only before the match.
+    """
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     curve: tuple[float, ...] = (-3.0, 2.0, 0.5, -0.1)
+    both_orders: bool = False
 
     def weight(self, word: str) -> float:
         """Of the word itself, else of its longest known stem, else of the list."""
@@ -146,24 +191,37 @@ class _Lexicon(dict):
 _STOPS = frozenset(".!?;:\n")
 
 
+def _clause(symbols, matches, stop: int, grammar: Transducer) -> list[float]:
+    """Scores of a clause's matches: read back from its stop, each match meets the state kept for it."""
+    scores, state, at = [], 0, stop - 1
+    for place, before in reversed(matches):
+        while at > place:
+            state = grammar.after[state][symbols[at][0]]
+            at -= 1
+        symbol, weight = symbols[place]
+        scores.append(weight * grammar.gain[before][state][symbol])
+    return scores[::-1]
+
+
 def evidence(text: str, lexicon: _Lexicon) -> tuple[float, int, int, list[float]]:
     """Evidence, matches and words of a text, and the scores of its clauses with a match."""
     tokens = TOKEN.findall(text.lower())
     symbols = [(STOP, 0.0) if t in _STOPS else lexicon[t] for t in tokens]
     total, hits, clauses = 0.0, 0, []
     if any(weight for _, weight in symbols):
-        state, clause = 0, 0.0
-        for symbol, weight in symbols:
+        grammar = GRAMMARS[lexicon.model.both_orders]
+        state, matches = 0, []
+        # a stop at the end closes the last clause
+        for at, (symbol, weight) in enumerate([*symbols, (STOP, 0.0)]):
             if weight:
-                score = weight * GRAMMAR.gain[state][symbol]
-                clause += score
-                hits += score > 0
-            elif symbol == STOP and clause:
-                clauses.append(clause)
-                clause = 0.0
-            state = GRAMMAR.moves[state][symbol]
-        if clause:
-            clauses.append(clause)
+                matches.append((at, state))
+            elif symbol == STOP and matches:
+                scores = _clause(symbols, matches, at, grammar)
+                hits += sum(score > 0 for score in scores)
+                if clause := sum(scores):
+                    clauses.append(clause)
+                matches = []
+            state = grammar.before[state][symbol]
         total = math.fsum(clauses)
     return total, hits, len(symbols), clauses
 
@@ -276,9 +334,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return signed.join(first.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def learn(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    both_orders: bool = False,
+) -> Model:
     """Insult words, stems and the score's curve, from the labelled sample.
 
+    The query and the pipeline learn and score with ``both_orders`` (see Model).
+
     Without labels of both kinds the listed words and a fixed curve are the model.
     """
     sample = written(labelled_sample(docs, labels, id_col, text_col), "learned-from")
@@ -286,7 +352,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .withColumnRenamed("(toxic = 1)", "toxic").collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic or not clean:
-        return Model()
+        return Model(both_orders=both_orders)
     counts = (
         sample.select("doc_id", "text", (F.col("toxic") == 1).alias("toxic"))
         .mapInArrow(_counted, "feature string, toxic long, clean long")
@@ -316,6 +382,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = Model(
         {r.feature[:-1]: r.odds for r in chosen if r.feature.endswith("$")},
         {r.feature: r.odds for r in chosen if not r.feature.endswith("$")},
+        both_orders=both_orders,
     )
     # four numbers for each row of the bounded sample
     rows = sorted(

@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import tempfile
 from datetime import date
 from pathlib import Path
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sluiceway.llm import toxicity
 from sluiceway.llm.chat import PART, format_conversations, parse_conversations, text_part
 from sluiceway.llm.components import connected_components
 from sluiceway.llm.decontaminate import contamination
@@ -156,6 +158,31 @@ def test_toxicity_cases(spark, docs, none):
     assert len(one("stupid. moron! fine").clauses) == 2
 
 
+def test_threats_and_reports_in_both_orders(spark):
+    from sluiceway.llm import queries
+
+    lexicon = toxicity._Lexicon(Model(both_orders=True))
+    one = lambda text: toxicity.evidence(text, lexicon)[0]
+    assert one("i will kill you") == one("kill them all") == one("you i kill") == 3
+    # held to the end of the clause, however many words stand between
+    assert one("destroy every last one of those awful rotten things that are yours") == 3
+    assert one("kill the process") == one("kill the process. you restart") == one("kill it; they agree") == 0
+    assert one("never kill you") == pytest.approx(0.9)
+    assert one("an idiot, he said") == one("said an idiot") == one("said an idiot, he said") == 1.5
+    assert one("an idiot. he said") == 3
+    assert one(f"an idiot {'x ' * 12} said") == 3
+    assert toxicity.evidence("kill you. idiot! kill it", lexicon)[1:] == (2, 7, [3.0, 3.0])
+    # the query and the pipeline's stage
+    rows = [(1, "i will kill you"), (2, "kill the process")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with tempfile.TemporaryDirectory() as folder:
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+        found = {r.doc_id: r.predicted for r in queries.op4_toxicity(spark, folder).collect()}
+        assert found == {1: 1, 2: 0}
+        assert [r.doc_id for r in corpus_pipeline.toxicity(spark, docs, folder).collect()] == [2]
+
+
 def test_near_duplicate_cases(docs, none):
     found = {}
     for r in near_duplicates(docs).collect():
