@@ -1,4 +1,4 @@
-"""License scans: winnowed fingerprints find candidates, banded alignment measures them."""
+"""License scans: counted word fingerprints find candidates, banded alignment measures them."""
 
 from __future__ import annotations
 
@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm.decontaminate import _FOLD
-from sluiceway.llm.textbatch import Words, mix, pieces, texts_of
+from sluiceway.llm.textbatch import Words, pieces, texts_of
 
-GRAM = 3  # words of a fingerprint
-WINDOW = 3  # consecutive grams of which the least is kept
+LEAST_WORDS = 3  # of a template
 LEAST_COVERAGE = 0.8
 
 # fixed values: short forms of public licenses and notices
@@ -52,72 +51,73 @@ TEMPLATES = {
 }
 
 
-def _grams(hashed: np.ndarray) -> np.ndarray:
-    n = max(0, len(hashed) - GRAM + 1)
-    grams = np.zeros(n, dtype=np.uint64)
-    for k in range(GRAM):
-        grams = mix(grams + hashed[k : k + n] * np.uint64(2 * k + 3))
-    return grams
-
-
-def winnow(grams: np.ndarray) -> np.ndarray:
-    """Places of the kept fingerprints: the least (rightmost of equals) of every window.
+class Index:
+    """Word fingerprints of the templates to the templates that have them, and how often.
 
-    Two texts that share GRAM + WINDOW - 1 words in a row share one.
+    Inside the band an alignment skips words of both sides, so an accepted place need not share two
+    words in a row with its template. It shares LEAST_COVERAGE of the template's words, though,
+    within the stretch of text that the alignment reads. Every such stretch is a candidate.
     """
-    n = len(grams) - WINDOW + 1
-    if n < 1:
-        return np.array([int(np.argmin(grams))]) if len(grams) else np.zeros(0, dtype=np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    return np.unique(np.arange(n) + WINDOW - 1 - np.argmin(windows[:, ::-1], axis=1))
-
-
-class Index:
-    """Fingerprints of the templates to (template, place in the template)."""
 
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
         self.words: list[np.ndarray] = []
-        self.entries: dict[int, list[tuple[int, int]]] = {}
-        for number, text in enumerate(templates.values()):
+        for text in templates.values():
             hashed = Words([text.encode("utf-8").translate(_FOLD)], lower=False).hashes()
-            if len(hashed) < GRAM:
-                raise ValueError(f"a template has at least {GRAM} words: {text!r}")
+            if len(hashed) < LEAST_WORDS:
+                raise ValueError(f"a template has at least {LEAST_WORDS} words: {text!r}")
             self.words.append(hashed)
-            # every gram of a template is indexed, the winnowed ones of a text are looked up
-            for place, gram in enumerate(_grams(hashed)):
-                self.entries.setdefault(int(gram), []).append((number, place))
-        self.prints = np.array(sorted(self.entries), dtype=np.uint64)
+        self.prints = np.unique(np.concatenate(self.words))
+        # how often each template has each fingerprint; the last row is for other words
+        self.counts = np.zeros((len(self.prints) + 1, len(self.words)), dtype=np.int64)
+        for number, hashed in enumerate(self.words):
+            np.add.at(self.counts[:, number], np.searchsorted(self.prints, hashed), 1)
+        self.bands = [max(2, len(w) // 5) for w in self.words]
+        # the least number of words with the coverage
+        self.least = [next(m for m in range(len(w) + 1) if m / len(w) >= LEAST_COVERAGE) for w in self.words]
+
+    def numbered(self, hashed: np.ndarray) -> np.ndarray:
+        """The row of ``counts`` of each word."""
+        at = np.searchsorted(self.prints, hashed)
+        at[at == len(self.prints)] = 0
+        return np.where(self.prints[at] == hashed, at, len(self.prints))
+
+    def dense(self, numbers: np.ndarray, number: int) -> np.ndarray:
+        """Words w for which the stretch that begins there has enough words of the template."""
+        reach = len(self.words[number]) + 2 * self.bands[number]
+        total = np.concatenate(([0], np.cumsum(self.counts[:, number].astype(bool)[numbers])))
+        ends = np.minimum(np.arange(len(numbers)) + reach, len(numbers))
+        return np.flatnonzero(total[ends] - total[:-1] >= self.least[number])
 
     def matches(self, hashed: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(template, coverage, first word, end word) of the accepted places, best first where they overlap."""
-        grams = _grams(hashed)
-        kept = winnow(grams)
-        kept = kept[np.isin(grams[kept], self.prints)]
-        # one candidate per template and place where the template would begin
-        starts: dict[int, list[int]] = {}
-        for place in kept:
-            for number, at in self.entries[int(grams[place])]:
-                starts.setdefault(number, []).append(int(place) - at)
-        found = []
-        for number, places in starts.items():
-            template = self.words[number]
-            band = max(2, len(template) // 5)
-            last = None
-            for start in sorted(set(places)):
-                if last is not None and start - last <= band:
-                    continue  # within the band of the one before
-                last = start
+        numbers = self.numbered(hashed)
+        found = set()
+        for number, template in enumerate(self.words):
+            band, least = self.bands[number], self.least[number]
+            reach, has = len(template) + 2 * band, self.counts[:, number]
+            firsts = self.dense(numbers, number)
+            # equal words count as often as the template has them
+            firsts = [
+                w
+                for w in firsts.tolist()
+                if np.minimum(np.bincount(numbers[w : w + reach], minlength=len(has)), has).sum() >= least
+            ]
+            # a stretch can begin before the first word it shares
+            starts = sorted({w + band - k for w in firsts if has[numbers[w]] for k in range(reach - least + 1)})
+            for start in starts:
                 score, a, b = align(template, hashed, start, band)
-                coverage = score / len(template)
-                if coverage >= LEAST_COVERAGE:
-                    found.append((number, coverage, a, b))
-        found.sort(key=lambda m: (-m[1] * len(self.words[m[0]]), m[2], m[0]))
-        taken: list[tuple[int, float, int, int]] = []
-        for match in found:
+                if score >= least:
+                    found.add((number, score, a, b))
+        taken: list[tuple[int, int, int, int]] = []
+        # of equal scores the shortest span, then the first
+        for match in sorted(found, key=lambda m: (-m[1], m[3] - m[2], m[2], m[0])):
             if all(match[3] <= t[2] or match[2] >= t[3] for t in taken):
                 taken.append(match)
-        return sorted(taken, key=lambda m: (m[2], m[0]))
+        return [
+            (number, score / len(self.words[number]), a, b)
+            for number, score, a, b in sorted(taken, key=lambda m: (m[2], m[0]))
+        ]
 
 
 def align(template: np.ndarray, text: np.ndarray, start: int, band: int) -> tuple[int, int, int]:
@@ -170,11 +170,10 @@ def _scan(templates: tuple[tuple[str, str], ...]):
             for begin, end in pieces(texts):
                 words = Words([t.translate(_FOLD) for t in texts[begin:end]], lower=False)
                 hashed = words.hashes()
-                known = np.isin(_grams(hashed), index.prints)
-                for k in range(end - begin):
+                numbers = index.numbered(hashed)
+                firsts = np.concatenate([index.dense(numbers, t) for t in range(len(index.names))])
+                for k in np.unique(np.searchsorted(words.first, firsts, side="right") - 1).tolist():
                     a, b = words.first[k], words.first[k + 1]
-                    if not known[a : max(a, b - GRAM + 1)].any():
-                        continue
                     text, base = texts[begin + k], words.text_start[k]
                     for number, coverage, first, stop in index.matches(hashed[a:b]):
                         span = (words.start[a + first] - base, words.end[a + stop - 1] - base)
@@ -205,7 +204,8 @@ def find_licenses(
 
     ``licenses`` is an array of structs ``license``, ``coverage`` (matched template words over
     template words, at least LEAST_COVERAGE), ``start``, ``stop`` (code points of the matched words, end
-    exclusive), in text order. Of overlapping matches the one with most matched words stays.
+    exclusive), in text order. Every place where the alignment reaches that coverage is found. Of overlapping
+    matches the one with most matched words stays, of equal ones the shortest.
     Words are as in decontamination. Null and empty texts have none; repeated rows are
     scanned one by one; an empty table gives no rows.
     """

@@ -14,13 +14,13 @@ import corpus_pipeline
 from sluiceway.llm import toxicity
 from sluiceway.llm.chat import PART, format_conversations, parse_conversations, text_part
 from sluiceway.llm.components import connected_components
-from sluiceway.llm.decontaminate import contamination
+from sluiceway.llm.decontaminate import _FOLD, contamination
 from sluiceway.llm.licenses import TEMPLATES, find_licenses
 from sluiceway.llm.mixing import mixed_documents, mixture
 from sluiceway.llm.neardup import likely_similarity, merged, near_duplicates, registers
 from sluiceway.llm.neighbours import chi_square_cdf, chi_square_quantile, nearest_neighbours
 from sluiceway.llm.secrets import find_secrets, redact_secrets
-from sluiceway.llm.textbatch import mix
+from sluiceway.llm.textbatch import Words, mix
 from sluiceway.llm.toxicity import Model, learn, score_toxicity
 from sluiceway.llm.urlfilter import filter_urls, validity_intervals
 from sluiceway.llm.warc import DamagedArchive, archived_pages, read_archives, read_records, response_record, write_archives
@@ -277,6 +277,42 @@ def test_license_cases(spark, docs, none):
     assert found[1].licenses == []
 
 
+def test_licenses_with_one_word_edits_are_those_of_alignment_everywhere(spark):
+    from sluiceway.llm.licenses import LEAST_COVERAGE, _index, align
+
+    def everywhere(text, index):
+        hashed, found = words_of(text), []
+        for number, template in enumerate(index.words):
+            band = max(2, len(template) // 5)
+            for start in range(-len(template) - band, len(hashed) + band + 1):
+                score, a, b = align(template, hashed, start, band)
+                if score / len(template) >= LEAST_COVERAGE:
+                    found.append((-score, b - a, a, number, b))
+        taken = []
+        for score, _, a, number, b in sorted(found):
+            if all(b <= t[2] or a >= t[3] for t in taken):
+                taken.append((number, -score / len(index.words[number]), a, b))
+        return sorted(taken, key=lambda m: (m[2], m[0]))
+
+    words_of = lambda text: Words([text.encode().translate(_FOLD)], lower=False).hashes()
+    # a long template is compared at one place only, as alignment everywhere takes long
+    short = {name: t for name, t in TEMPLATES.items() if len(t.split()) < 20}
+    several, all_of_them = _index(tuple(short.items())), _index(tuple(TEMPLATES.items()))
+    texts = ["Released x under y the z MIT w License", "the MIT License. Released under the MIT License. Released under"]
+    for name, template in TEMPLATES.items():
+        plain = template.split()
+        for k in range(len(plain)) if name in short else [len(plain) // 2]:
+            for middle in (["other"], [], [plain[k], "more"]) if name in short else (["other"],):
+                texts.append(" ".join(["a", "work", *plain[:k], *middle, *plain[k + 1 :], "the", "end"]))
+    for text in texts:
+        index = several if len(text.split()) < 25 else all_of_them
+        assert index.matches(words_of(text)) == everywhere(text, index), text
+    rows = [(1, "Released under a MIT License."), (2, texts[0]), (3, "Released under some other license")]
+    found = find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names = {r.doc_id: [(m.license, m.coverage, m.start, m.stop) for m in r.licenses] for r in found}
+    assert names == {1: [("mit-line", 0.8, 0, 28)], 2: [("mit-line", 1.0, 0, len(texts[0]))], 3: []}
+
+
 def test_secret_cases(spark, docs, none):
     assert find_secrets(docs).where("size(secrets) > 0").count() == 0
     assert find_secrets(none).count() == 0
