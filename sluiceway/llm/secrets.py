@@ -1,4 +1,7 @@
-"""Secret scans: all rules in one automaton, one pass over the bytes of each text."""
+"""Secret scans: one automaton passes once over the bytes of each text and tells which rules it triggers.
+
+The spans of those rules come from Python's ``re``, one search of the whole text for each rule.
+"""
 
 from __future__ import annotations
 
