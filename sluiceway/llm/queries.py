@@ -10,11 +10,14 @@ from sluiceway.llm.decontaminate import contamination
 from sluiceway.llm.licenses import find_licenses
 from sluiceway.llm.mixing import mixed_documents
 from sluiceway.llm.neardup import near_duplicates
+from sluiceway.llm.negatives import hard_negatives
 from sluiceway.llm.neighbours import nearest_neighbours
+from sluiceway.llm.personal import KINDS, find_personal_data
 from sluiceway.llm.secrets import find_secrets
 from sluiceway.llm.toxicity import held_out, learn, score_toxicity
 from sluiceway.llm.urlfilter import filter_urls, host_of
 from sluiceway.llm.warc import archived_pages, read_archives, write_archives
+from sluiceway.llm.whitening import whiten
 from sluiceway.session import new_scratch_path
 
 
@@ -183,11 +186,42 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every vector."""
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten hardest negatives of every hundredth vector and each of its five positives."""
+    label = F.col("label").cast("long")
+    return hard_negatives(
+        _table(spark, sf_dir, "embeddings"),
+        label_col=F.when(F.pmod("vec_id", F.lit(7)) == 0, (label + 1) % 10).otherwise(label),
+    )
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
+    text = F.array_join(
+        F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ","
+    )
+    return found.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in KINDS),
+        F.sha2(text.cast("binary"), 256).alias("base_sha256"),
+        _joined("spans", "kind", "start", "stop").alias("spans"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_neighbours, op3_decontaminate, op4_toxicity, op5_near_duplicates,
-        op6_licenses, op7_secrets, op8_warc, op9_url_filter, op10_chat,
+        op6_licenses, op7_secrets, op8_warc, op9_url_filter, op10_chat, op11_whitening, op12_hard_negatives,
+        op13_personal_data,
     )
 }
 
@@ -323,4 +357,24 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(chars)::BIGINT AS formatted_chars
 FROM n GROUP BY conv_id""",
+    "op12_hard_negatives": r"""
+WITH e AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+           list_inner_product(a.x, r.x)::BIGINT AS score
+    FROM e a JOIN e r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""",
 }
