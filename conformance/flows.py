@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from conformance import query, table
+from sluiceway.operators.codesteps import batches
 from sluiceway.plans.flow import Flow
 from sluiceway.plans.steps import Code, Columns, Source, Sql, Target
 from sluiceway.session import new_scratch_path
@@ -298,3 +299,66 @@ def step_metrics_failed(spark, sf_dir):
         [Target(DryRun())],
     ).run()
     return report.metrics(spark).select("position", "step", "status")
+
+
+@query(
+    """
+    WITH kept AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 0),
+    bad AS (SELECT count(*) AS n FROM kept WHERE l_linenumber = 3)
+    SELECT 0 AS position, 'lines' AS step, 'ok' AS status, 11::BIGINT AS col_count, NULL AS condition
+    UNION ALL SELECT 1, 'kept', 'ok', 3, NULL
+    UNION ALL SELECT 2, 'per line', CASE WHEN n > 0 THEN 'error' ELSE 'ok' END, CASE WHEN n > 0 THEN 0 ELSE 4 END,
+                     CASE WHEN n > 0 THEN 'DIVIDE_BY_ZERO' END FROM bad
+    UNION ALL SELECT 3, 'rounded', 'ok', 5, NULL FROM bad WHERE n = 0
+    """
+)
+def step_metrics_data_error(spark, sf_dir):
+    """A value in the rows stops the third of four steps while all of them run as one job."""
+    report = Flow(
+        spark,
+        [
+            Source("lines", table(spark, sf_dir, "lineitem")),
+            Sql("kept", "SELECT l_orderkey, l_linenumber, l_quantity FROM {prev} WHERE l_quantity > 0"),
+            Sql("per line", "SELECT *, l_quantity / (l_linenumber - 3) AS share FROM {prev}"),
+            Sql("rounded", "SELECT *, round(share / (l_linenumber + 1), 2) AS half FROM {prev}"),
+        ],
+        [Target(DryRun())],
+    ).run(metrics=True)
+    condition = F.when(F.col("message").isNotNull(), F.regexp_extract("message", r"^\[([A-Z_]+)\]", 1))
+    return report.metrics(spark).select(
+        "position", "step", "status", "col_count", condition.alias("condition")
+    )
+
+
+@query(
+    """
+    SELECT position, step, status, told FROM (
+      SELECT 0 AS position, 'events' AS step, 'ok' AS status, NULL AS told, 0 AS least
+      UNION ALL SELECT 1, 'numbered', 'ok', NULL, 0
+      UNION ALL SELECT 2, 'parsed', 'error', 'ValueError: a user is there', 1)
+    WHERE (SELECT count(*) FROM events WHERE user_id >= 0) >= least
+    """
+)
+def step_metrics_python_error(spark, sf_dir):
+    """An exception on the executors leads back to its step."""
+
+    def numbered(part):
+        return part.assign(n=part["event_id"] + 1)[["event_id", "user_id", "n"]]
+
+    def parsed(part):
+        if (part["user_id"] >= 0).any():
+            raise ValueError("a user is there")
+        return part
+
+    schema = "event_id bigint, user_id bigint, n bigint"
+    report = Flow(
+        spark,
+        [
+            Source("events", table(spark, sf_dir, "events")),
+            Code("numbered", batches(numbered, schema)),
+            Code("parsed", batches(parsed, schema)),
+        ],
+        [Target(DryRun())],
+    ).run()
+    told = F.when(F.col("message").isNotNull(), F.regexp_extract("message", "ValueError: [a-z ]+", 0))
+    return report.metrics(spark).select("position", "step", "status", told.alias("told"))

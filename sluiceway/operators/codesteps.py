@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sluiceway.functions.expression import quoted
 from sluiceway.operators.columns import TableStep
 from sluiceway.operators.sqlsteps import StepError
+from sluiceway.plans.blame import marked
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -51,7 +52,7 @@ def batches(
         for part in parts:
             yield fn(part)
 
-    return lambda df: df.mapInPandas(each, schema)
+    return lambda df: df.mapInPandas(marked(each), schema)
 
 
 def gated(step: TableStep, enabled: bool) -> TableStep:
@@ -187,9 +188,9 @@ def group_fold(
 
     def apply(df: DataFrame) -> DataFrame:
         columns = [quoted(k) for k in keys]
-        states = df.mapInArrow(_over_frames(fold_rows, schema), schema)
+        states = df.mapInArrow(marked(_over_frames(fold_rows, schema)), schema)
         met = states.repartition(*columns).sortWithinPartitions(*columns)
-        return met.mapInArrow(_over_frames(fold_states, schema), schema)
+        return met.mapInArrow(marked(_over_frames(fold_states, schema)), schema)
 
     return apply
 

@@ -9,6 +9,8 @@ from collections.abc import Mapping
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
+from sluiceway.plans.blame import remembered
+
 _MAX_NAME = 63  # Postgres identifier limit
 _COMMENTS = re.compile(r"--[^\n]*|/\*.*?\*/", re.DOTALL)
 
@@ -65,8 +67,10 @@ def run_select(
         visible[name].createOrReplaceTempView(view)
     heads = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
     statement = f"SELECT * FROM (\n{text}\n) AS _step"
+    if heads:
+        statement = f"WITH {heads}\n{statement}"
     try:
-        return spark.sql(f"WITH {heads}\n{statement}" if heads else statement)
+        return spark.sql(remembered(statement))
     except ParseException as error:
         if ";" in text:
             raise StepError(

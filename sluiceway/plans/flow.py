@@ -24,7 +24,8 @@ from sluiceway.operators.contracts import (
     schema_findings,
 )
 from sluiceway.operators.sqlsteps import StepError, relation_name
-from sluiceway.plans.steps import Given, Source, Step, Target
+from sluiceway.plans.blame import Trace, building, culprit
+from sluiceway.plans.steps import Code, Given, Source, Step, Target
 from sluiceway.session import new_scratch_path
 from sluiceway.sinks.base import Folder, Pending, held_columns
 from sluiceway.sinks.files import DryRun
@@ -116,6 +117,7 @@ class Flow:
         self.steps = list(steps)
         self.targets = list(targets)
         self._place = {step.name: i for i, step in enumerate(self.steps)}
+        self._traces: dict[int, Trace] = {}
         self._relations = [relation_name(s.name, i) for i, s in enumerate(self.steps)]
         self._inputs = [self._named_inputs(i) for i in range(len(self.steps))]
         self._reads = [self._read_by(i) for i in range(len(self.steps))]
@@ -191,9 +193,10 @@ class Flow:
         bound = {name: self._relations[j] for name, j in named.items()}
         if "prev" not in bound and i > 0:
             bound["prev"] = bound.get("default", self._relations[i - 1])
-        return step.build(
-            Given(self.spark, {n: frames[j] for n, j in named.items()}, bound, relations)
-        )
+        given = Given(self.spark, {n: frames[j] for n, j in named.items()}, bound, relations)
+        self._traces[i] = Trace(f"[flow step {i}: {step.name}]", i)
+        with building(self.spark, self._traces[i]):
+            return step.build(given)
 
     def frames(self) -> dict[str, DataFrame]:
         """Every step's lazy frame by step name. No job runs."""
@@ -293,8 +296,11 @@ class Flow:
 
         Nothing is written if a step, the row limit or a check fails. If a write
         fails, targets that were already switched are put back; the report tells the state of
-        each: ``written``, ``skipped``, ``unchanged`` or ``restored``. Rows that were
+        each: ``written``, ``skipped``, ``unchanged`` or ``restored``, with the reason after it where putting back or
+        cleaning up failed. Rows that were
         inserted into a target before another one failed stay and are told as written.
+        The report's steps end with the one that failed, also where it did so in a running
+        job, if the error leads back to one (see ``plans/blame.py``); ``locate_failure`` finds the others.
         ``row_limit`` holds for every source that leads to a target.
         A target without a declared contract must get the columns that it already has.
         ``check_data`` also counts nulls, lost values, broken keys and orphans.
@@ -352,6 +358,8 @@ class Flow:
                 )
         except Exception as error:  # a step's own function may raise anything
             self._put_back(pending, rows, told)
+            if at is None:
+                at = self._culprit(error)
             return RunReport(
                 "failed",
                 sum(rows.values()),
@@ -361,8 +369,11 @@ class Flow:
                 steps=self._steps_before(at, built, str(error), _ms(began)),
             )
         else:
-            for _, ready in pending:
-                ready.finish()
+            for target, ready in pending:
+                try:
+                    ready.finish()
+                except Exception as error:  # the rows are in; only leftovers stay
+                    told[target.name] += f", leftovers stay: {error}"
             written = sum(rows.values())
             try:
                 steps = self._metrics(counters, built, _ms(began))
@@ -390,13 +401,23 @@ class Flow:
     def _put_back(
         self, pending: list[tuple[Target, Pending]], rows: dict[str, int], told: dict[str, str]
     ) -> None:
-        """After a failed write: drop what is not committed, undo the switches that are."""
+        """After a failed write: drop what is not committed, undo the switches that are.
+
+        A target where that fails is told with the reason, and the others go on.
+        """
         for target, ready in pending:
             if target.name not in told:
-                ready.discard()
                 told[target.name] = "unchanged"
+                try:
+                    ready.discard()
+                except Exception as error:
+                    told[target.name] = f"unchanged, leftovers stay: {error}"
             elif ready.undo is not None and told[target.name] == "written":
-                ready.undo()
+                try:
+                    ready.undo()
+                except Exception as error:
+                    told[target.name] = f"written, could not be put back: {error}"
+                    continue
                 told[target.name] = "restored"
                 rows[target.name] = 0
         for target in self.targets:
@@ -405,15 +426,38 @@ class Flow:
     def _steps_before(
         self, at: int | None, built: Mapping[int, DataFrame], message: str, spent: int
     ) -> list[StepMetric]:
-        """The step that failed while it was built, after those that did not."""
+        """The step that failed, after those before it. Empty if the error tells of no step."""
         if at is None:
             return []
         before = [
             StepMetric(i, self.steps[i].name, "ok", spent, None, len(frame.columns))
             for i, frame in built.items()
+            if i < at
         ]
         return [*before, StepMetric(at, self.steps[at].name, "error", spent, None, 0, message)]
 
+    def _culprit(self, error: Exception) -> int | None:
+        functions = {i: s.fn for i, s in enumerate(self.steps) if isinstance(s, Code) and i in self._traces}
+        return culprit(error, self._traces, functions)
+
+    def locate_failure(self) -> list[StepMetric]:
+        """Run the steps one after another, each from the sources, up to the first that fails.
+
+        For failures whose error tells of no step, such as a raised error or one in the rows of a given frame: it
+        costs a pass over the sources for every step before the failing one.
+        """
+        built: dict[int, DataFrame] = {}
+        for i in range(len(self.steps)):
+            began = time.monotonic()
+            try:
+                built[i] = self._build(i, built)
+                built[i].write.format("noop").mode("overwrite").save()
+            except Exception as error:  # a step's own function may raise anything
+                return self._steps_before(i, built, str(error), _ms(began))
+        return [
+            StepMetric(i, self.steps[i].name, "ok", None, None, len(frame.columns)) for i, frame in built.items()
+        ]
+
     def _consumers(self, i: int, wanted: Sequence[int]) -> int:
         """Steps and targets that read step ``i`` on the way to a target."""
         return sum(i in self._reads[j] for j in wanted) + sum(
@@ -485,10 +529,19 @@ class Flow:
         return entries
 
 
+_COSTLY = re.compile(r"Join|Aggregate|Window|Sort|Distinct|Repartition|Python|Pandas|Arrow|FlatMap")
+
+
 def costly(df: DataFrame) -> bool:
-    """True if the frame's plan holds a shuffle or Python."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return re.search(r"Join|Aggregate|Window|Sort|Distinct|Repartition|Python|Pandas|Arrow", plan) is not None
+    """True if the frame's plan holds a shuffle or Python, by the names of its nodes."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if _COSTLY.search(node.nodeName()):
+            return True
+        below = node.children()
+        todo.extend(below.apply(k) for k in range(below.length()))
+    return False
 
 
 def _ms(began: float) -> int:

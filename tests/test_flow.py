@@ -402,3 +402,126 @@ def test_filters_reach_the_files_of_plain_shared_steps(spark, users, tmp_path, m
     users.write.parquet(path)
     plain = spark.read.parquet(path).select("id", "name")
     assert not module.costly(plain) and module.costly(plain.groupBy("name").count())
+
+
+# -- failures while the rows flow -----------------------------------------------------------------
+
+
+def _run(spark, steps):
+    return Flow(spark, steps, [Target(DryRun())]).run()
+
+
+def _states(report):
+    return [(m.step, m.status) for m in report.steps]
+
+
+def test_a_failing_expression_names_its_sql_step(spark, users):
+    report = _run(spark, [
+        Source("s", users),
+        Sql("kept", "SELECT id, 10 / (id + 1) AS share FROM {prev}"),
+        Sql("broken", "SELECT id, 10 / (id - 2) AS share FROM {prev}"),
+        Sql("never", "SELECT id, share, 10 / (id + 3) AS other FROM {prev}"),
+    ])
+    assert report.status == "failed"
+    assert _states(report) == [("s", "ok"), ("kept", "ok"), ("broken", "error")]
+    assert "DIVIDE_BY_ZERO" in report.steps[-1].message
+
+
+def test_equal_text_in_two_steps_is_told_apart(spark, users):
+    # the relations have names of one length, so the divisions stand at the same places
+    text = "SELECT id - 1 AS id, 10 / id AS share FROM {prev}"
+    report = _run(spark, [Source("aa", users), Sql("bb", text), Sql("cc", text)])
+    assert _states(report) == [("aa", "ok"), ("bb", "ok"), ("cc", "error")]
+
+
+def test_a_failing_code_step_is_named(spark, users):
+    def cast(df):
+        return df.withColumn("n", F.col("name").cast("int"))
+
+    report = _run(spark, [Source("s", users), Code("fine", upper_name), Code("cast", cast), Code("after", upper_name)])
+    assert _states(report) == [("s", "ok"), ("fine", "ok"), ("cast", "error")]
+
+    def text(df):
+        return df.selectExpr("id", "1 / (id - 3) AS r")
+
+    assert _states(_run(spark, [Source("s", users), Code("text", text), Code("after", lambda df: df.limit(2_000_000))]))[-1] == (
+        "text", "error"
+    )
+
+
+def test_a_failing_python_step_is_named_with_its_exception(spark, users):
+    from sluiceway.operators.codesteps import batches, group_fold
+
+    def fine(part):
+        return part[["id"]]
+
+    def bad(part):
+        raise ValueError("no such thing")
+
+    steps = [Source("s", users), Code("fine", batches(fine, "id int")), Code("bad", batches(bad, "id int"))]
+    report = _run(spark, steps)
+    assert _states(report) == [("s", "ok"), ("fine", "ok"), ("bad", "error")]
+    assert "ValueError: no such thing" in report.steps[-1].message
+    folded = Code("fold", group_fold(["id"], bad, bad, "id int"))
+    assert _states(_run(spark, [Source("s", users), folded]))[-1] == ("fold", "error")
+
+    def direct(df):
+        def each(parts):
+            for part in parts:
+                raise KeyError("inside")
+                yield part
+
+        return df.mapInPandas(each, df.schema)
+
+    report = _run(spark, [Source("s", users), Code("fine", upper_name), Code("direct", direct)])
+    assert _states(report)[-1] == ("direct", "error") and "KeyError" in report.error
+
+
+def test_an_error_without_a_step_is_located_by_running_the_steps(spark, users):
+    raised = users.withColumn("id", F.when(F.col("id") > 2, F.raise_error(F.lit("row"))).otherwise(F.col("id")))
+    flow = Flow(spark, [Source("s", raised), Sql("n", "SELECT id FROM {prev}")], [Target(DryRun())])
+    report = flow.run()
+    assert report.status == "failed" and report.steps == []
+    assert [(m.step, m.status) for m in flow.locate_failure()] == [("s", "error")]
+    fine = Flow(spark, [Source("s", users), Sql("n", "SELECT id FROM {prev}")], [Target(DryRun())])
+    assert [m.status for m in fine.locate_failure()] == ["ok", "ok"]
+
+
+class _Stubborn:
+    """A target whose parts fail as told."""
+
+    def __init__(self, *fails):
+        self.fails = fails
+
+    def stage(self, df):
+        def part(name, result=None):
+            def run():
+                if name in self.fails:
+                    raise OSError(f"{name} refused")
+                return result
+
+            return run
+
+        return Pending(part("commit", 1), part("discard"), part("undo"), part("finish"), quick=True)
+
+
+def test_put_back_goes_on_when_a_part_of_it_fails(spark, users):
+    def run(*sinks):
+        return Flow(spark, [Source("s", users)], [Target(s, name=str(i)) for i, s in enumerate(sinks)]).run()
+
+    report = run(_Stubborn("undo"), _Stubborn(), _Stubborn("commit", "discard"), _Stubborn())
+    assert report.status == "failed" and "commit refused" in report.error
+    assert report.targets == {
+        "0": "written, could not be put back: undo refused", "1": "restored",
+        "2": "unchanged, leftovers stay: discard refused", "3": "unchanged",
+    }
+    report = run(_Stubborn("finish"), _Stubborn())
+    assert report.status == "completed"
+    assert report.targets == {"0": "written, leftovers stay: finish refused", "1": "written"}
+
+
+def test_costly_goes_by_nodes_not_by_names(spark, users):
+    from sluiceway.plans.flow import costly
+
+    assert not costly(users.select(F.col("id").alias("JoinDate"), F.lit("Sort").alias("Window")))
+    assert costly(users.groupBy("id").count()) and costly(users.mapInPandas(lambda parts: parts, users.schema))
