@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -108,21 +109,72 @@ def _whole_value(df: DataFrame, target: T.StructField) -> Column:
 
 
 class Folder:
-    """A path on whatever file system the session reaches."""
+    """A path, of a folder or a file, on whatever file system the session reaches."""
 
     def __init__(self, spark: SparkSession, path: str):
+        self._spark = spark
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path(path)
         self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._new_path = jvm.org.apache.hadoop.fs.Path
         self.path = path
 
+    @property
+    def name(self) -> str:
+        return self._path.getName()
+
     def exists(self) -> bool:
         return self._fs.exists(self._path)
 
     def is_directory(self) -> bool:
         return self.exists() and self._fs.getFileStatus(self._path).isDirectory()
 
+    def age_hours(self) -> float:
+        """Hours since the last change of the folder itself."""
+        return (time.time() - self._fs.getFileStatus(self._path).getModificationTime() / 1000) / 3600
+
+    def _entries(self, path, folders: bool) -> list[Folder]:
+        if not self._fs.exists(path):
+            return []
+        found = [status for status in self._fs.listStatus(path) if status.isDirectory() or not folders]
+        return [Folder(self._spark, status.getPath().toString()) for status in found]
+
+    def folders(self) -> list[Folder]:
+        """The folders directly below."""
+        return self._entries(self._path, True)
+
+    def siblings(self) -> list[Folder]:
+        """Everything in the same folder, this included."""
+        return self._entries(self._path.getParent(), False)
+
+    def files(self) -> list[str]:
+        """Relative paths of all data files below; names that begin with ``_`` or ``.`` are none."""
+        found = self._fs.listFiles(self._path, True)
+        base = self._fs.makeQualified(self._path).toString().rstrip("/")
+        out = []
+        while found.hasNext():
+            path = found.next().getPath()
+            if not path.getName().startswith(("_", ".")):
+                out.append(self._fs.makeQualified(path).toString()[len(base) + 1 :])
+        return sorted(out)
+
+    def make_parent(self) -> None:
+        self._fs.mkdirs(self._path.getParent())
+
+    def write_text(self, text: str) -> None:
+        stream = self._fs.create(self._path, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def read_text(self) -> str:
+        stream = self._fs.open(self._path)
+        try:
+            return self._spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def move_to(self, path: str) -> None:
         if not self._fs.rename(self._path, self._new_path(path)):
             raise WriteError(f"could not rename {self.path} to {path}")
