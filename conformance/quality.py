@@ -1,10 +1,12 @@
 """Contracts, keys, references and profiles."""
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
 from conformance import query, table
+from sluiceway.operators.candidates import key_candidates
 from sluiceway.operators.contracts import TargetColumn, contract_checks, full_checks
 from sluiceway.operators.keys import (
     discover_references,
@@ -335,6 +337,96 @@ def reference_discovery_shared(spark, sf_dir):
     return discover_references({name: table(spark, sf_dir, name) for name in columns}, columns)
 
 
+_ALL_SITES = {
+    "integer": [
+        *(("lineitem", c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")),
+        ("orders", "o_orderkey"), ("orders", "o_custkey"), ("customer", "c_custkey"), ("customer", "c_nationkey"),
+        ("supplier", "s_suppkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey"), ("nation", "n_regionkey"),
+    ],
+    "text": [
+        ("lineitem", "l_returnflag"), ("lineitem", "l_linestatus"), ("orders", "o_orderstatus"),
+        ("orders", "o_orderpriority"), ("customer", "c_name"), ("customer", "c_mktsegment"), ("supplier", "s_name"),
+        ("nation", "n_name"),
+    ],
+    "time": [("lineitem", "l_shipdate"), ("orders", "o_orderdate")],
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT * FROM ({_pair_sql(child, parent)}) WHERE contained_values >= 0.9 * distinct_values"
+        for sites in _ALL_SITES.values() for child in sites for parent in sites if child != parent
+    )
+)
+def reference_discovery_all(spark, sf_dir):
+    """All columns of whole numbers, text and time of five tables."""
+    names = ("lineitem", "orders", "customer", "supplier", "nation")
+    return discover_references({name: table(spark, sf_dir, name) for name in names}, min_inclusion=0.9)
+
+
+def _keys_sql(source, columns, width=3):
+    """Minimal unique sets of columns that are never null, level by level."""
+    sets = [s for k in range(1, width + 1) for s in combinations(columns, k)]
+    counted = ", ".join(
+        f"count(DISTINCT ({', '.join(s)})) = count(*) AND {' AND '.join(f'count({c}) = count(*)' for c in s)} AS u{i}"
+        for i, s in enumerate(sets)
+    )
+    told = " UNION ALL ".join(
+        f"SELECT '{','.join(s)}' AS key_columns, {len(s)} AS width, n AS n_rows FROM u WHERE n > 0 AND u{i}"
+        + "".join(f" AND NOT u{j}" for j, smaller in enumerate(sets) if set(smaller) < set(s))
+        for i, s in enumerate(sets)
+    )
+    return f"WITH u AS (SELECT count(*) AS n, {counted} FROM {source}) {told}"
+
+
+_LINES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"]
+_SUPPLIED = """(SELECT l_partkey, l_suppkey, count(*) AS n_lines, max(l_linenumber) AS last, min(l_returnflag) AS flag
+                FROM lineitem GROUP BY l_partkey, l_suppkey)"""
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
+
+
+@query(_keys_sql("lineitem", _LINES))
+def key_candidates_lines(spark, sf_dir):
+    """No single column of the lines is a key; the sets that are one, up to three columns."""
+    return key_candidates(table(spark, sf_dir, "lineitem"))
+
+
+@query(_keys_sql(_SUPPLIED, ["l_partkey", "l_suppkey", "n_lines", "last", "flag"]))
+def key_candidates_pairs(spark, sf_dir):
+    """A table whose key has two columns."""
+    supplied = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(
+        F.count("*").alias("n_lines"), F.max("l_linenumber").alias("last"), F.min("l_returnflag").alias("flag")
+    )
+    return key_candidates(supplied)
+
+
+@query(
+    _keys_sql("orders", _ORDERS)
+    + " UNION ALL " + "SELECT * FROM (" + _keys_sql("(SELECT *, nullif(s_suppkey, 3) AS gap FROM supplier)", ["s_suppkey", "s_name", "s_nationkey", "gap"]) + ")"
+)
+def key_candidates_single(spark, sf_dir):
+    """Tables without repeats: single columns, and never one with a null."""
+    supplier = table(spark, sf_dir, "supplier").withColumn("gap", F.nullif(F.col("s_suppkey"), F.lit(3).cast("bigint")))
+    return key_candidates(table(spark, sf_dir, "orders")).unionAll(key_candidates(supplier))
+
+
+@query(
+    """
+    SELECT child, count(*) AS n_rows FROM (
+      SELECT CASE WHEN o_orderkey % 5 = 0 THEN 1e25 + o_orderkey % 2 * 1e24 ELSE o_orderkey % 40 END AS child FROM orders)
+    WHERE child NOT IN (SELECT n_nationkey::DOUBLE FROM nation) GROUP BY child
+    """
+)
+def reference_large_fractions(spark, sf_dir):
+    """Values beyond any whole number beside whole-number parents: they have none."""
+    key = F.col("o_orderkey")
+    child = table(spark, sf_dir, "orders").select(
+        F.when(key % 5 == 0, F.lit(1e25) + (key % 2) * F.lit(1e24)).otherwise((key % 40).cast("double")).alias("child")
+    )
+    parent = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("key"))
+    return orphans(child, ["child"], parent, ["key"])
+
+
 @query(
     """
     SELECT CAST(o_orderkey % 7 AS VARCHAR) AS child, count(*) AS n_rows

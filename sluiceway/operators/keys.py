@@ -14,10 +14,11 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sluiceway.functions.expression import quoted
+from sluiceway.operators.candidates import KEY_FAMILIES, column_sketches, possible_inclusions
 from sluiceway.operators.values import comparable, tagged_values
 
 _WORD = 63  # usable bits of one bigint mask
-_KEY_FAMILIES = ("integer", "text", "date")  # what keys are made of
+_WIDE = T.DecimalType(38, 18)  # where a whole number and a fraction meet
 
 
 def _any_null(names: Sequence[str]) -> Column:
@@ -79,7 +80,7 @@ def _shared_type(left: T.DataType, right: T.DataType) -> T.DataType:
     if all_of(T.IntegralType, T.DoubleType, T.FloatType):
         small = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
         # a bigint and a double meet where neither is rounded: as decimals
-        return T.DoubleType() if all_of(*small) else T.DecimalType(38, 18)
+        return T.DoubleType() if all_of(*small) else _WIDE
     if all_of(T.DateType, T.TimestampNTZType):
         return T.TimestampNTZType()
     if all_of(T.DateType, T.TimestampType):
@@ -89,6 +90,16 @@ def _shared_type(left: T.DataType, right: T.DataType) -> T.DataType:
     raise ValueError(f"a reference cannot compare {left.simpleString()} with {right.simpleString()}")
 
 
+def _key_parts(df: DataFrame, name: str, kind: T.DataType, alias: str) -> list[Column]:
+    """The value as ``kind``. A fraction too large for it stays beside it as it is, and equals nothing."""
+    value = quoted(name)
+    if kind == _WIDE and isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        fitting = value.try_cast(kind)
+        beyond = F.when(fitting.isNull(), value.cast("double"))
+        return [fitting.alias(alias), beyond.alias(f"{alias}_beyond")]
+    return [value.cast(kind).alias(alias)]
+
+
 def _counted_references(
     child: DataFrame,
     child_columns: Sequence[str],
@@ -97,19 +108,26 @@ def _counted_references(
 ) -> tuple[DataFrame, DataFrame, Column]:
     if len(child_columns) != len(parent_columns):
         raise ValueError("a reference needs as many parent columns as child columns")
-    child_keys, parent_keys = [], []
+    child_keys, parent_keys, same = [], [], []
     for i, (ours, theirs) in enumerate(zip(child_columns, parent_columns)):
         kind = _shared_type(child.schema[ours].dataType, parent.schema[theirs].dataType)
-        child_keys.append(quoted(ours).cast(kind).alias(f"_c{i}"))
-        parent_keys.append(quoted(theirs).cast(kind).alias(f"_p{i}"))
-    references = child.select(*child_keys).groupBy(
-        *[f"_c{i}" for i in range(len(child_keys))]
-    ).agg(F.count(F.lit(1)).alias("n_rows"))
-    keys = parent.select(*parent_keys).distinct()
-    same = reduce(
-        and_, [F.col(f"_c{i}") == F.col(f"_p{i}") for i in range(len(child_keys))]
-    )
-    return references, keys, same
+        child_keys += _key_parts(child, ours, kind, f"_c{i}")
+        parent_keys.append(_key_parts(parent, theirs, kind, f"_p{i}")[0])
+        same.append(F.col(f"_c{i}") == F.col(f"_p{i}"))
+    named = child.select(*child_keys)
+    references = named.groupBy(*named.columns).agg(F.count(F.lit(1)).alias("n_rows"))
+    return references, parent.select(*parent_keys).distinct(), reduce(and_, same)
+
+
+def _refers_to_nothing(references: DataFrame, n: int) -> Column:
+    """True where a part of the reference is null."""
+
+    def null(i: int) -> Column:
+        beyond = f"_c{i}_beyond"
+        missing = F.col(f"_c{i}").isNull()
+        return missing & F.col(beyond).isNull() if beyond in references.columns else missing
+
+    return reduce(or_, [null(i) for i in range(n)])
 
 
 def orphans(
@@ -123,11 +141,18 @@ def orphans(
     A reference with a null part refers to nothing and passes.
     """
     references, keys, same = _counted_references(child, child_columns, parent, parent_columns)
-    names = [f"_c{i}" for i in range(len(child_columns))]
+
+    def shown(i: int, name: str) -> Column:
+        beyond = f"_c{i}_beyond"
+        value = F.col(f"_c{i}")
+        if beyond in references.columns:
+            value = F.coalesce(value.cast("double"), F.col(beyond))
+        return value.alias(name)
+
     return (
-        references.where(~_any_null(names))
+        references.where(~_refers_to_nothing(references, len(child_columns)))
         .join(keys, same, "left_anti")
-        .select(*[F.col(c).alias(name) for c, name in zip(names, child_columns)], "n_rows")
+        .select(*[shown(i, name) for i, name in enumerate(child_columns)], "n_rows")
     )
 
 
@@ -140,10 +165,9 @@ def reference_check(
 ) -> DataFrame:
     """One row: references, orphans, and the share of values that have a parent."""
     references, keys, same = _counted_references(child, child_columns, parent, parent_columns)
-    names = [f"_c{i}" for i in range(len(child_columns))]
     n, null, lone = F.col("n_rows"), F.col("has_null"), F.col("lone")
     joined = references.join(keys, same, "left").select(
-        n, _any_null(names).alias("has_null"), F.col("_p0").isNull().alias("lone")
+        n, _refers_to_nothing(references, len(child_columns)).alias("has_null"), F.col("_p0").isNull().alias("lone")
     )
     zero = F.lit(0).cast("bigint")
     values, orphan_values = F.count_if(~null), F.count_if(~null & lone)
@@ -171,37 +195,62 @@ def _masks(sites: int) -> list[tuple[str, Column]]:
     return words
 
 
+_REFERENCES = (
+    "child_table string, child_column string, parent_table string, parent_column string, "
+    "distinct_values bigint, contained_values bigint, inclusion double, holds boolean"
+)
+
+
 def discover_references(
     tables: Mapping[str, DataFrame],
     columns: Mapping[str, Sequence[str]] | None = None,
     all_pairs: bool = False,
+    min_inclusion: float | None = None,
 ) -> DataFrame:
     """Ordered pairs of columns with the share of values the first has in the second.
 
     Pairs that share no value are left out unless ``all_pairs`` asks for them, so that the
-    result does not grow with the square of the columns. Without ``columns`` the whole-number, text and
-    date columns are compared, else the named ones; a named column that cannot be compared is refused.
+    result does not grow with the square of the columns. Without ``columns`` the columns of whole numbers, texts,
+    dates and times are compared, else the named ones; a named column that cannot be compared is refused.
+    With ``min_inclusion`` only pairs with at least that share are told. Sketches of the columns then rule out
+    most pairs before any value is shuffled, and the values of columns that are in no
+    possible pair are not shuffled at all.
     Each distinct value is marked with the set of columns it occurs in (one bit
     per column), in one aggregation over all tables. Only these few distinct
     sets, not the values, are then spread into column pairs.
     """
+    if all_pairs and min_inclusion is not None:
+        raise ValueError("give either all_pairs or min_inclusion")
     sites: list[tuple[str, str, str]] = []
-    parts: dict[str, list[DataFrame]] = {}
+    forms: dict[str, dict[int, Column]] = {}
     for table, df in tables.items():
-        values: dict[str, list[tuple[int, Column]]] = {}
         for field in df.schema.fields:
             form = comparable(field)
             wanted = columns is None or field.name in columns.get(table, ())
             named = columns is not None and wanted
             if named and form is None:
                 raise ValueError(f"{table}.{field.name} cannot be compared")
-            if wanted and form is not None and (named or form[0] in _KEY_FAMILIES):
-                values.setdefault(form[0], []).append((len(sites), form[1]))
+            if wanted and form is not None and (named or form[0] in KEY_FAMILIES):
+                forms.setdefault(table, {})[len(sites)] = form[1]
                 sites.append((table, field.name, form[0]))
-        for family, found in values.items():
-            parts.setdefault(family, []).append(tagged_values(df, found))
     if not sites:
         raise ValueError("no columns to compare")
+    possible: set[tuple[int, int]] | None = None
+    if min_inclusion is not None:
+        sketches = reduce(DataFrame.unionAll, [column_sketches(tables[t], found) for t, found in forms.items()])
+        possible = possible_inclusions(sketches, [site[2] for site in sites], min_inclusion)
+    looked_at = set(range(len(sites))) if possible is None else {i for pair in possible for i in pair}
+    parts: dict[str, list[DataFrame]] = {}
+    for table, found in forms.items():
+        values: dict[str, list[tuple[int, Column]]] = {}
+        for i, form in found.items():
+            if i in looked_at:
+                values.setdefault(sites[i][2], []).append((i, form))
+        for family, tagged in values.items():
+            parts.setdefault(family, []).append(tagged_values(tables[table], tagged))
+    if not parts:
+        spark = next(iter(tables.values())).sparkSession
+        return spark.createDataFrame([], _REFERENCES)
 
     masks = _masks(len(sites))
     names = [name for name, _ in masks]
@@ -243,9 +292,13 @@ def discover_references(
     others = F.sequence(F.lit(0), F.lit(len(sites) - 1)) if all_pairs else F.map_keys("shared")
     contained = F.coalesce(F.col("shared")[other], F.lit(0).cast("bigint"))
     distinct = F.col("shared")[own]
+    pairs = shared.select("own", "shared", F.explode(others).alias("other")).where(
+        (own != other) & (family_of[own] == family_of[other])
+    )
+    if min_inclusion is not None:
+        pairs = pairs.where(contained >= F.lit(min_inclusion) * distinct)
     return (
-        shared.select("own", "shared", F.explode(others).alias("other"))
-        .where((own != other) & (family_of[own] == family_of[other]))
+        pairs
         .select(
             table_of[own].alias("child_table"),
             column_of[own].alias("child_column"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sluiceway.functions.expression import quoted
 from sluiceway.functions.types import catalog_name, category
-from sluiceway.operators.values import comparable, is_whole, orderable, tagged_values
+from sluiceway.operators.values import comparable, distinct_estimate, is_whole, orderable, tagged_values
 
 def table_profile(
     df: DataFrame,
@@ -48,7 +48,8 @@ def table_profile(
             bounds += [F.min(name).alias(f"_lo{i}"), F.max(name).alias(f"_hi{i}")]
             low, high = F.col(f"_lo{i}").cast("string"), F.col(f"_hi{i}").cast("string")
             if distinct == "approx":
-                bounds.append(F.approx_count_distinct(name, relative_error).alias(f"_d{i}"))
+                value = comparable(field)[1]
+                bounds.append(F.coalesce(distinct_estimate(value, relative_error), F.lit(0).cast("bigint")).alias(f"_d{i}"))
                 estimate = F.col(f"_d{i}")
         rows.append(
             F.struct(

@@ -7,6 +7,7 @@ the number of the column it comes from.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -60,6 +61,15 @@ def orderable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
+def distinct_estimate(value: Column, relative_error: float) -> Column:
+    """Estimated distinct values of a ``bigint`` or text column; ``relative_error`` is the standard deviation.
+
+    One sketch of a few thousand bytes per column; Spark's older estimate carries a row as wide as all its registers.
+    """
+    size = max(4, min(21, math.ceil(2 * math.log2(1.04 / relative_error))))
+    return F.hll_sketch_estimate(F.hll_sketch_agg(value, F.lit(size)))
+
+
 def is_whole(family: str) -> bool:
     """True for the families whose values are ``bigint``; the others are text."""
     return family in ("integer", "date", "instant")

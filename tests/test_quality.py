@@ -224,3 +224,77 @@ def test_profile_carries_single_values_through_its_shuffles(spark):
     df = spark.range(100).select(*[(F.col("id") % i).alias(f"c{i}") for i in range(1, 41)])
     plan = table_profile(df)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "hashpartitioning(site" in plan
+
+
+# -- keys and references that nobody declared ------------------------------------------------------
+
+
+def _keys(df, **options):
+    from sluiceway.operators.candidates import key_candidates
+
+    return sorted(r["key_columns"] for r in key_candidates(df, **options).collect())
+
+
+def test_minimal_keys_are_found_level_by_level(spark):
+    df = spark.range(3000).selectExpr(
+        "id % 30 AS a", "id div 30 AS b", "cast(id % 7 AS string) AS c", "cast(id AS double) AS d", "nullif(id, 5) AS gap",
+    )
+    assert _keys(df) == ["a,b"]
+    assert _keys(df, max_width=1) == []
+    assert _keys(df, columns=["a", "b", "d"]) == ["a,b", "d"]
+    assert _keys(df.unionAll(df.limit(1))) == []
+    assert _keys(df.limit(0)) == [] and _keys(df.limit(1)) == ["a", "b", "c", "gap"]
+    with pytest.raises(ValueError, match="nope"):
+        _keys(df, columns=["nope"])
+
+
+def test_a_key_of_three_columns_beside_nearly_unique_ones(spark):
+    df = spark.range(8000).selectExpr("id % 20 AS x", "id div 20 % 20 AS y", "id div 400 AS z", "CASE WHEN id = 1 THEN 0 ELSE id END AS nearly")
+    assert _keys(df) == ["x,nearly", "x,y,z"]
+
+
+def test_key_sets_agree_with_brute_force(spark):
+    import random
+    from itertools import combinations
+
+    rng = random.Random(3)
+    for _ in range(4):
+        data = [tuple(rng.randrange(k) for k in (3, 6, 9, 12)) for _ in range(25)]
+        names = "abcd"
+        expected = []
+        for width in (1, 2, 3):
+            for s in combinations(range(4), width):
+                if len({tuple(r[i] for i in s) for r in data}) == len(data) and not any(set(k) <= set(s) for k in expected):
+                    expected.append(s)
+        found = _keys(spark.createDataFrame(data, "a int, b int, c int, d int"))
+        assert found == sorted(",".join(names[i] for i in s) for s in expected)
+
+
+def test_sketches_rule_out_pairs_but_no_reference(spark):
+    from sluiceway.operators.candidates import column_sketches, possible_inclusions
+
+    wide = spark.range(60_000).selectExpr("id", "id * 3 AS triple", "id + 50000 AS shifted", "id % 900 AS small")
+    part = spark.range(20_000).selectExpr("id * 2 AS even", "id - 100 AS below")
+    forms = {0: F.col("id"), 1: F.col("triple"), 2: F.col("shifted"), 3: F.col("small")}
+    sketches = column_sketches(wide, forms).unionAll(column_sketches(part, {4: F.col("even"), 5: F.col("below")}))
+    possible = possible_inclusions(sketches, ["integer"] * 6, 0.9)
+    assert {(3, 0), (4, 0), (5, 0)} <= possible  # what holds, or holds to 99.5 %
+    assert not {(0, 1), (1, 0), (0, 2), (2, 0), (0, 4)} & possible
+    found = discover_references({"wide": wide, "part": part}, min_inclusion=0.9)
+    pairs = {(r["child_column"], r["parent_column"]): r["inclusion"] for r in found.collect()}
+    assert pairs == {("small", "id"): 1.0, ("even", "id"): 1.0, ("below", "id"): 0.995, ("small", "below"): 1.0}
+    none = discover_references({"a": wide.select("id"), "b": part.selectExpr("cast(even AS string) AS e")}, min_inclusion=0.5)
+    assert none.collect() == []
+    with pytest.raises(ValueError, match="either"):
+        discover_references({"a": wide}, all_pairs=True, min_inclusion=0.5)
+
+
+def test_values_beyond_the_shared_type_have_no_parent(spark):
+    child = spark.createDataFrame([(1.0,), (1e25,), (1e25,), (None,), (2.5,), (float("nan"),)], "v double")
+    parent = spark.createDataFrame([(1,), (2,)], "k bigint")
+    found = orphans(child, ["v"], parent, ["k"]).collect()
+    assert sorted(map(repr, ((r["v"], r["n_rows"]) for r in found))) == ["(1e+25, 2)", "(2.5, 1)", "(nan, 1)"]
+    told = reference_check(child, ["v"], parent, ["k"]).first()
+    assert (told["total_rows"], told["null_rows"], told["orphan_rows"], told["orphan_values"]) == (6, 1, 4, 3)
+    back = orphans(parent, ["k"], child, ["v"]).collect()
+    assert [(int(r["k"]), r["n_rows"]) for r in back] == [(2, 1)]
