@@ -19,7 +19,7 @@ KEY_FAMILIES = ("integer", "text", "date", "instant", "timestamp_ntz")  # what k
 _SALTS = 64  # sketches of the tasks are merged in two steps
 _SKETCH = 12  # binary logarithm of the values that a sketch keeps
 _CERTAIN = math.log(2e9)  # a bound that is passed once in a thousand million times
-_SAMPLE = 1_000_000  # rows that a repeat is looked for in first
+_SAMPLE = 100_000  # rows that a repeat is looked for in first
 _PER_JOB = 200  # sketches in one aggregation
 
 
@@ -120,7 +120,7 @@ def _without_repeats(df: DataFrame, sets: list[tuple[str, ...]], n: int) -> list
                 for i, s in enumerate(some)
             )
         )
-        chosen = df.select(F.inline(F.filter(values, lambda v: F.pmod(v["a"], F.lit(part)) == 0)))
+        chosen = df.select(F.inline(values)).where(F.pmod("a", F.lit(part)) == 0)
         repeated = chosen.groupBy("set", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         ruled_out = {r["set"] for r in repeated.select("set").distinct().collect()}  # a row per set at most
         kept += [s for i, s in enumerate(some) if i not in ruled_out]
