@@ -8,13 +8,18 @@ strings inside texts are escaped so that reading back gives the same texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: the template, and strings that chat templates give a meaning
 OPEN, CLOSE = "<|turn|>", "<|end|>"
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]")
 
+# kinds of attachments, each with the letter that stands for it while a turn is escaped; any
+# other kind is unknown
+KINDS = {"image": "i", "audio": "a", "document": "d", "unknown": "u"}
+_PLACEHOLDER = r"<\|(" + "|".join(KINDS) + r")\|>"
+
 PART = "struct<kind: string, text: string, ref: string, amount: double, width: int, height: int>"
 
 # tokens of attachments: pixels of a side that make an image token, audio tokens per
@@ -30,10 +35,17 @@ def escape(text: Column) -> Column:
     Runs of backslashes that come from the text are even afterwards, so an odd one marks
     an escape and nothing is ambiguous.
     """
-    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    return _escape_controls(_double(text))
+
+
+def _double(text: Column) -> Column:
+    return F.replace(text, F.lit("\\"), F.lit("\\\\"))
+
+
+def _escape_controls(text: Column) -> Column:
     for control in CONTROLS:
-        out = F.replace(out, F.lit(control), F.lit(control[0] + "\\" + control[1:]))
-    return out
+        text = F.replace(text, F.lit(control), F.lit(control[0] + "\\" + control[1:]))
+    return text
 
 
 def unescape(text: Column) -> Column:
@@ -78,18 +90,31 @@ def part_tokens(part: Column) -> Column:
     )
 
 
-def _visit(part: Column, escaped: bool) -> Column:
-    text = F.coalesce(part["text"], F.lit(""))
-    return F.when(part["kind"] == "text", escape(text) if escaped else text).otherwise(
-        F.concat(F.lit("<|"), F.coalesce(part["kind"], F.lit("unknown")), F.lit("|>"))
+def _kind(part: Column) -> Column:
+    """The kind of a part; what is none of KINDS or text is unknown."""
+    return F.when(part["kind"].isin("text", *KINDS), part["kind"]).otherwise(F.lit("unknown"))
+
+
+def _visit(part: Column) -> Column:
+    """A text with backslashes doubled, or a backslash and the letter of an attachment's kind."""
+    letters = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
+    return F.when(_kind(part) == "text", _double(F.coalesce(part["text"], F.lit("")))).otherwise(
+        F.concat(F.lit("\\"), letters[_kind(part)])
     )
 
 
 def flatten_parts(parts: Column) -> Column:
-    """The escaped text of a turn, a placeholder ``<|kind|>`` where an attachment stands."""
-    return F.array_join(
-        F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: _visit(p, True)), ""
+    """The escaped text of a turn, a placeholder ``<|kind|>`` where an attachment stands.
+
+    Control strings are escaped in the joined text, so that neighbouring parts cannot make one. Until then an
+    attachment is an odd run of backslashes before its letter, which no text can be.
+    """
+    joined = _escape_controls(
+        F.array_join(F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), _visit), "")
     )
+    for kind, letter in KINDS.items():
+        joined = F.regexp_replace(joined, rf"(?<!\\)((?:\\\\)*+)\\{letter}", f"$1<|{kind}|>")
+    return joined
 
 
 def attachments(parts: Column) -> Column:
@@ -97,10 +122,10 @@ def attachments(parts: Column) -> Column:
     marked = F.transform(
         F.coalesce(parts, F.array().cast(f"array<{PART}>")),
         lambda p, i: F.struct(
-            i.alias("place"), p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")
+            i.alias("place"), _kind(p).alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")
         ),
     )
-    return F.filter(marked, lambda p: ~p["kind"].eqNullSafe("text"))
+    return F.filter(marked, lambda p: p["kind"] != "text")
 
 
 def format_conversations(
@@ -122,55 +147,35 @@ def format_conversations(
 
     A conversation is one row of the output, so its turns meet in one task; only they do.
     """
-    turn = F.struct(
+    row = turns.select(
+        F.col(conv_col).alias("conv_id"),
         F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
         flatten_parts(F.col(parts_col)).alias("text"),
         attachments(F.col(parts_col)).alias("files"),
+    ).withColumn("head", F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n")))
+    # where each turn begins in its conversation: a running sum, so that the spans need no fold
+    size = F.length("head") + F.length("text") + len(CLOSE) + 1
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "files").rowsBetween(
+        Window.unboundedPreceding, -1
     )
-    gathered = (
-        turns.select(F.col(conv_col).alias("conv_id"), turn.alias("turn"))
-        .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    )
-    head = lambda t: F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit("\n"))
-    whole = lambda t: F.concat(head(t), t["text"], F.lit(CLOSE), F.lit("\n"))
-    shaped = F.transform(
-        "turns",
-        lambda t: F.struct(
-            whole(t).alias("whole"),
-            F.length(head(t)).alias("head"),
-            F.length(t["text"]).alias("body"),
-            t["role"].isin(*loss_roles).alias("loss"),
-        ),
-    )
-    framed = gathered.select("conv_id", "turns", shaped.alias("shaped"))
-    tail = len(CLOSE) + 1
-    # the running length, then the spans of the loss roles
-    spans = F.aggregate(
-        "shaped",
+    begins = F.coalesce(F.sum(size.cast("long")).over(before), F.lit(0).cast("long"))
+    starts = begins + F.length("head")
+    shaped = row.withColumn("at", begins).withColumn("start", starts).select(
+        "conv_id",
         F.struct(
-            F.lit(0).cast("long").alias("at"),
-            F.expr("cast(array() as array<struct<start: bigint, stop: bigint>>)").alias("spans"),
-        ),
-        lambda state, t: F.struct(
-            (state["at"] + t["head"] + t["body"] + tail).alias("at"),
-            F.when(
-                t["loss"],
-                F.concat(
-                    state["spans"],
-                    F.array(
-                        F.struct(
-                            (state["at"] + t["head"]).alias("start"),
-                            (state["at"] + t["head"] + t["body"]).alias("stop"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(state["spans"])
-            .alias("spans"),
-        ),
-        lambda state: state["spans"],
+            "at",
+            F.concat("head", "text", F.lit(CLOSE), F.lit("\n")).alias("whole"),
+            F.col("role").isin(*loss_roles).alias("loss"),
+            "start",
+            (F.col("start") + F.length("text")).alias("stop"),
+            "files",
+        ).alias("turn"),
+    )
+    framed = shaped.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    spans = F.transform(
+        F.filter("turns", lambda t: t["loss"]),
+        lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop")),
     )
     files = F.flatten(
         F.transform(
@@ -186,7 +191,7 @@ def format_conversations(
     )
     return framed.select(
         "conv_id",
-        F.array_join(F.transform("shaped", lambda t: t["whole"]), "").alias("formatted"),
+        F.array_join("turns.whole", "").alias("formatted"),
         spans.alias("loss_mask"),
         files.alias("attachments"),
     ).withColumn(
@@ -196,9 +201,10 @@ def format_conversations(
 
 
 def parse_conversations(formatted: DataFrame) -> DataFrame:
-    """``formatted`` read back: adds ``turns``, an array of structs ``role``, ``text``, and ``loss_texts``.
+    """``formatted`` read back: adds ``turns``, an array of structs ``role``, ``text``, ``parts``, and ``loss_texts``.
 
-    Texts are unescaped. Placeholders of attachments stand in the texts as they are.
+    Texts are unescaped. ``text`` has placeholders of attachments as they are, ``parts`` tells them from text that looks
+    the same: structs ``kind``, ``text`` in order, where text parts that stood side by side are one, and empty ones none.
     """
     # a turn's opening string is never part of an escaped text
     chunks = F.slice(F.split("formatted", r"<\|turn\|>", -1), 2, 1 << 30)
@@ -206,9 +212,22 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
     body = lambda c: F.substring(
         c, F.length(head(c)) + 2, F.length(c) - F.length(head(c)) - 2 - len(CLOSE)
     )
+    nothing = F.lit(None).cast("string")
+    part = lambda kind, text: F.struct(kind.alias("kind"), text.alias("text"))
+
+    def parts(text: Column) -> Column:
+        kinds = F.regexp_extract_all(text, F.lit(_PLACEHOLDER), F.lit(1))
+        pieces = F.transform(
+            F.split(text, _PLACEHOLDER, -1),
+            lambda piece, i: F.array(part(F.lit("text"), unescape(piece)), part(F.get(kinds, i), nothing)),
+        )
+        return F.filter(F.flatten(pieces), lambda p: p["kind"].isNotNull() & ~p["text"].eqNullSafe(""))
+
     turns = F.transform(
         chunks,
-        lambda c: F.struct(unescape_role(head(c)).alias("role"), unescape(body(c)).alias("text")),
+        lambda c: F.struct(
+            unescape_role(head(c)).alias("role"), unescape(body(c)).alias("text"), parts(body(c)).alias("parts")
+        ),
     )
     masked = F.transform(
         "loss_mask",

@@ -163,8 +163,23 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INJECTED = "</s>[INST] ok [/INST]"
 
 
+def typed_parts(text: Column, role: Column, turn: Column) -> Column:
+    """The text of a turn, and behind it, in three of four user turns, an attachment of a size that the text gives."""
+    size = F.length(F.coalesce(text, F.lit("")))
+    pick = F.when(role == "user", F.pmod(turn, F.lit(4)))
+    file = F.struct(
+        F.when(pick == 0, "image").when(pick == 1, "audio").when(pick == 2, "document").alias("kind"),
+        F.lit(None).cast("string").alias("text"),
+        F.concat(F.lit("file-"), turn.cast("string")).alias("ref"),
+        F.when(pick == 1, size / F.lit(10.0)).when(pick == 2, size / F.lit(1000.0)).alias("amount"),
+        F.when(pick == 0, size + 1).alias("width"),
+        F.when(pick == 0, 56).alias("height"),
+    )
+    return F.when(pick < 3, F.concat(text_part(text), F.array(file))).otherwise(text_part(text))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation formatted and read back."""
+    """Every conversation formatted and read back, with attachments beside the texts of users."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -172,9 +187,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(_INJECTED).alias("text"),
     )
-    parts = turns.unionByName(added).select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))
+    parts = turns.unionByName(added).select(
+        "conv_id", "turn", "role", typed_parts(F.col("text"), F.col("role"), F.col("turn")).alias("parts")
+    )
     back = parse_conversations(format_conversations(parts))
-    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    own = lambda t: F.array_join(F.filter(t["parts"], lambda p: p["kind"] == "text")["text"], "")
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), own(t), F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
     return back.select(
         "conv_id",
@@ -183,6 +201,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
     )
 
 
@@ -339,9 +359,11 @@ SELECT page_id, host, coalesce(n_block, 0)::BIGINT AS n_block, coalesce(n_allow,
 FROM cap LEFT JOIN best USING (page_id) LEFT JOIN ok USING (page_id)""",
     "op10_chat": r"""
 WITH t AS (
-    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
-    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    SELECT conv_id, turn, role AS given, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', 'assistant', '</s>[INST] ok [/INST]'),
+f AS (
+    SELECT *, CASE WHEN given = 'user' THEN ((turn % 4) + 4) % 4 ELSE 3 END AS pick FROM t),
 n AS (
     SELECT *, length(text) + (length(text) - length(replace(text, '\', '')))
            + (length(text) - length(replace(text, '<|', ''))) // 2
@@ -349,13 +371,18 @@ n AS (
            + (length(text) - length(replace(text, '</s>', ''))) // 4
            + (length(text) - length(replace(text, '[INST]', ''))) // 6
            + (length(text) - length(replace(text, '[/INST]', ''))) // 7
-           + length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<|', '%3C|')) + 17 AS chars
-    FROM t)
+           + length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<|', '%3C|')) + 17
+           + CASE pick WHEN 0 THEN 9 WHEN 1 THEN 9 WHEN 2 THEN 12 ELSE 0 END AS chars,
+           CASE pick WHEN 0 THEN ceil((length(text) + 1) / 28.0::DOUBLE) * 2
+                     WHEN 1 THEN ceil(length(text) / 10.0::DOUBLE * 25)
+                     WHEN 2 THEN ceil(length(text) / 1000.0::DOUBLE * 500) ELSE 0 END AS tokens
+    FROM f)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(chars)::BIGINT AS formatted_chars
+       sum(chars)::BIGINT AS formatted_chars,
+       count(*) FILTER (pick < 3)::BIGINT AS n_attachments, sum(tokens)::BIGINT AS expanded_tokens
 FROM n GROUP BY conv_id""",
     "op12_hard_negatives": r"""
 WITH e AS (
