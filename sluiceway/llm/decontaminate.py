@@ -1,9 +1,15 @@
-"""Benchmark decontamination: one automaton over all test windows, one pass over each text."""
+"""Benchmark decontamination: one automaton over all test windows, one pass over each text.
+
+The automaton reads words: every word of the benchmark has a number, written as two letters, so that a state
+has few successors and a window of ten words twenty states at most. Words that no item has are one letter pair that
+leads back to the start.
+"""
 
 from __future__ import annotations
 
+import math
 import re
-from bisect import bisect_left
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -14,8 +20,8 @@ from pyspark.sql import functions as F
 from sluiceway.llm.staging import written
 from sluiceway.llm.textbatch import texts_of
 
-# bytes of benchmark text in one automaton; more text is scanned in several passes
-SHARD_BYTES = 8 << 20
+# states of one automaton, about 55 bytes each while it is built; more windows are scanned in several passes
+STATES = 10_000_000
 
 WINDOW = 10
 
@@ -25,33 +31,58 @@ _FOLD = bytes(
     for b in range(256)
 )
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-
-
-def normalised(text: bytes) -> str:
-    """The words of a text, with one blank before, between and after them."""
-    return (b" " + b" ".join(text.translate(_FOLD).split()) + b" ").decode("utf-8")
-
-
-def window_patterns(items: list[tuple[str | None, bytes]], window: int = WINDOW):
-    """Pattern text to (word count, ids of the items that hold it)."""
-    patterns: dict[str, tuple[int, set]] = {}
-    for item_id, text in items:
-        words = normalised(text).split(" ")[1:-1]
-        if words == [""]:
-            continue
-        for at in range(max(1, len(words) - window + 1)):
-            part = words[at : at + window]
-            key = f" {' '.join(part)} "
-            patterns.setdefault(key, (len(part), set()))[1].add(item_id)
-    return patterns
-
-
-def _automaton(items, window):
-    automaton = ahocorasick.Automaton()
-    for key, value in window_patterns(items, window).items():
-        automaton.add_word(key, value)
-    automaton.make_automaton()
-    return automaton
+_FIRST, _SECOND = 0x10000, 0x80000  # letters of the first and second place, so that no match is off by one
+_UNKNOWN = "  "
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(_FOLD).split()
+
+
+class Windows:
+    """The windows of items as an Aho-Corasick automaton over numbered words."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
+        split = [(item_id, words_of(text)) for item_id, text in items]
+        number = {w: k for k, w in enumerate(dict.fromkeys(w for _, words in split for w in words))}
+        base = max(1, math.isqrt(len(number)) + 1)
+        self.letters = {w: chr(_FIRST + k // base) + chr(_SECOND + k % base) for w, k in number.items()}
+        self.automaton = ahocorasick.Automaton()
+        for item_id, words in split:
+            coded = "".join(map(self.letters.__getitem__, words))
+            for at in range(max(1, len(words) - window + 1) if words else 0):
+                part = coded[2 * at : 2 * (at + window)]
+                held = self.automaton.get(part, None)
+                if held is None:
+                    self.automaton.add_word(part, (len(part) // 2, {item_id}))
+                else:
+                    held[1].add(item_id)
+        self.some = len(self.automaton) > 0
+        if self.some:
+            self.automaton.make_automaton()
+
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        """Word ranges (end exclusive) inside window occurrences, and the items hit."""
+        if not self.some:
+            return [], set()
+        get = self.letters.get
+        ranges, items = [], set()
+        for end, (length, ids) in self.automaton.iter("".join([get(w, _UNKNOWN) for w in words])):
+            stop = (end + 1) // 2
+            ranges.append((stop - length, stop))
+            items |= ids
+        return _merge(ranges), items
+
+
+# the automaton that this Python worker built last, under the name of its benchmark part
+_built: dict[str, Windows] = {}
+
+
+def _windows(name: str, items: list[tuple[str | None, bytes]], window: int) -> Windows:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Windows(items, window)
+    return _built[name]
 
 
 def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -64,18 +95,6 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _hits(automaton, norm: str) -> tuple[list[tuple[int, int]], set]:
-    """Word ranges (end exclusive) inside window occurrences, and the items hit."""
-    ranges, items, blanks = [], set(), None
-    for end, (length, ids) in automaton.iter(norm):
-        if blanks is None:
-            blanks = [k for k, c in enumerate(norm) if c == " "]
-        stop = bisect_left(blanks, end)
-        ranges.append((stop - length, stop))
-        items |= ids
-    return _merge(ranges), items
-
-
 _SCHEMA = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -88,22 +107,19 @@ _SCHEMA = pa.schema(
 
 
 def _scan(items, window: int, last: bool):
-    """Adds a shard's hits; the last pass maps word ranges to spans of the original."""
-    built: list = []
+    """Adds the hits of one automaton; the last pass maps word ranges to spans of the original."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(_automaton(items.value, window))
-        automaton = built[0]
-        has_words = len(automaton) > 0
+        windows = _windows(name, items.value, window)
         for batch in batches:
             counts, found, named = [], [], []
             texts = texts_of(batch.column(1))
             earlier = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
             for text, (flat, names) in zip(texts, earlier, strict=True):
-                norm = normalised(text)
-                counts.append(norm.count(" ") - 1 if norm != "  " else 0)
-                ranges, ids = _hits(automaton, norm) if has_words else ([], set())
+                words = words_of(text)
+                counts.append(len(words))
+                ranges, ids = windows.hits(words)
                 ranges = _merge(ranges + list(zip(flat[::2], flat[1::2], strict=True)))
                 found.append([x for pair in ranges for x in pair])
                 named.append(sorted({name for name in ids if name is not None} | set(names)))
@@ -134,11 +150,58 @@ def _spans(text: bytes, ranges: list[int]) -> list[int]:
     return out
 
 
+def _item_parts(benchmark: DataFrame, window: int, states: int, id_col: str, text_col: str) -> Iterator:
+    """The items as broadcast lists, each with windows of at most about ``states`` states; one at least."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(
+        F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")
+    ).where("text is not null")
+    n_words = F.size(F.regexp_extract_all("text", F.lit(_WORD.pattern), F.lit(0)))
+    windows = F.greatest(n_words - window + 1, F.least(n_words, F.lit(1)))
+    size = items.agg(F.sum((2 * F.least(n_words, F.lit(window)) * windows).cast("long"))).first()[0] or 0
+    count = max(1, -(-int(size) // states))
+    for shard in range(count):
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == shard)
+        yield spark.sparkContext.broadcast([(r.item, r.text.encode("utf-8")) for r in part.toLocalIterator()])
+
+
+def without_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    states: int = STATES,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, in which no word is hit (see ``contamination``).
+
+    Every row is judged by its own text as it streams by, whether it has an id or not; nothing is shuffled.
+    """
+    at = docs.columns.index(text_col)
+    frame = docs
+    for sent in _item_parts(benchmark, window, states, item_id_col, item_text_col):
+        frame = frame.mapInArrow(_clean(sent, window, at), docs.schema)
+    return frame
+
+
+def _clean(items, window: int, at: int):
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _windows(name, items.value, window)
+        for batch in batches:
+            clean = [not windows.hits(words_of(text))[0] for text in texts_of(batch.column(at))]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = WINDOW,
-    shard_bytes: int = SHARD_BYTES,
+    states: int = STATES,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_id_col: str = "item_id",
@@ -154,16 +217,11 @@ def contamination(
 
     Null texts have no words. Repeated rows are judged one by one. An item without an
     id still hits words, but cannot be named. An empty benchmark hits
-    nothing. The benchmark's size is measured first: texts of up to
-    ``shard_bytes`` are sent to the tasks at once, more in as many passes, each
-    over all documents, with one table written in between.
+    nothing. The benchmark's size is measured first: items of up to ``states`` states in all make one automaton, which
+    every Python worker builds once; more items make several, each in a pass over all documents, with one table
+    written in between.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(
-        F.col(item_id_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")
-    ).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-int(size) // shard_bytes))
+    parts = list(_item_parts(benchmark, window, states, item_id_col, item_text_col))
     frame = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
@@ -171,12 +229,8 @@ def contamination(
         F.expr("cast(array() as array<long>)").alias("ranges"),
         F.expr("cast(array() as array<string>)").alias("items"),
     )
-    for shard in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard)
-        sent = spark.sparkContext.broadcast(
-            [(r.item, r.text.encode("utf-8")) for r in part.toLocalIterator()]
-        )
-        last = shard == shards - 1
+    for shard, sent in enumerate(parts):
+        last = shard == len(parts) - 1
         frame = frame.mapInArrow(
             _scan(sent, window, last),
             "doc_id long, text string, n_words long, ranges array<long>, items array<string>",

@@ -126,31 +126,25 @@ def _reported(s: int, before: bool, after: bool) -> float:
     return 0.5 if (before or after) and s in (INSULT, THREAT) else 1.0
 
 
-def _grammar(both_orders: bool) -> Transducer:
-    return compose(
-        compose(
-            _sided(_window(NEGATION, 2), NOWHERE, _negated),
-            _sided(_window(TARGET, 4), _held(TARGET) if both_orders else NOWHERE, _targeted),
-        ),
-        _sided(_window(REPORT, 12), _window(REPORT, 12) if both_orders else NOWHERE, _reported),
-    )
-
-
-GRAMMARS = {both_orders: _grammar(both_orders) for both_orders in (False, True)}
+GRAMMAR = compose(
+    compose(
+        _sided(_window(NEGATION, 2), NOWHERE, _negated),
+        _sided(_window(TARGET, 4), _held(TARGET), _targeted),
+    ),
+    _sided(_window(REPORT, 12), _window(REPORT, 12), _reported),
+)
 
 
 @dataclass
 class Model:
     """``words`` and ``stems`` (proper prefixes) to weights, and the curve's coefficients.
 
-    With ``both_orders`` a threat counts with a target before or after it in the clause, and a
-    report discounts from either side; without, targets and reports count only before the match.
+    A threat counts with a target before or after it in the clause, and a report discounts from either side.
     """
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     curve: tuple[float, ...] = (-3.0, 2.0, 0.5, -0.1)
-    both_orders: bool = False
 
     def weight(self, word: str) -> float:
         """Of the word itself, else of its longest known stem, else of the list."""
@@ -209,7 +203,7 @@ def evidence(text: str, lexicon: _Lexicon) -> tuple[float, int, int, list[float]
     symbols = [(STOP, 0.0) if t in _STOPS else lexicon[t] for t in tokens]
     total, hits, clauses = 0.0, 0, []
     if any(weight for _, weight in symbols):
-        grammar = GRAMMARS[lexicon.model.both_orders]
+        grammar = GRAMMAR
         state, matches = 0, []
         # a stop at the end closes the last clause
         for at, (symbol, weight) in enumerate([*symbols, (STOP, 0.0)]):
@@ -306,8 +300,8 @@ def held_out(id_col: str) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text, toxic`` of a bounded sample of the labelled rows outside the held-out part.
 
-    Up to TOXIC_ROWS toxic and CLEAN_ROWS clean rows, those of the smallest hash; of
-    near copies one stays. Contradicting labels of an id count as toxic.
+    Up to TOXIC_ROWS toxic and CLEAN_ROWS clean rows, those of the ids of smallest hash; of the rows of
+    an id the one with the least text stays, and of near copies one. Contradicting labels of an id count as toxic.
     """
     known = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -330,8 +324,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         ),
         "labelled",
     )
-    first = signed.groupBy("sign").agg(F.min("doc_id").alias("doc_id"))
-    return signed.join(first.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "toxic")
+    # the tasks fold repeats before the shuffle, so a row that is repeated often travels once a task
+    row = F.struct("doc_id", "text", "toxic", "sign")
+    one = signed.groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
+    return one.groupBy("sign").agg(F.min(row).alias("row")).select("row.doc_id", "row.text", "row.toxic")
 
 
 def learn(
@@ -339,12 +335,10 @@ def learn(
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    both_orders: bool = False,
+    **unused,
 ) -> Model:
     """Insult words, stems and the score's curve, from the labelled sample.
 
-    The query and the pipeline learn and score with ``both_orders`` (see Model).
-
     Without labels of both kinds the listed words and a fixed curve are the model.
     """
     sample = written(labelled_sample(docs, labels, id_col, text_col), "learned-from")
@@ -352,7 +346,7 @@ def learn(
              .withColumnRenamed("(toxic = 1)", "toxic").collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic or not clean:
-        return Model(both_orders=both_orders)
+        return Model()
     counts = (
         sample.select("doc_id", "text", (F.col("toxic") == 1).alias("toxic"))
         .mapInArrow(_counted, "feature string, toxic long, clean long")
@@ -382,26 +376,43 @@ def learn(
     model = Model(
         {r.feature[:-1]: r.odds for r in chosen if r.feature.endswith("$")},
         {r.feature: r.odds for r in chosen if not r.feature.endswith("$")},
-        both_orders=both_orders,
-    )
-    # four numbers for each row of the bounded sample
-    rows = sorted(
-        tuple(r)
-        for r in sample.select("doc_id", "text")
-        .mapInArrow(_scored(model, raw=True), _RAW)
-        .join(sample.select("doc_id", "toxic"), "doc_id")
-        .select("doc_id", "evidence", "hits", "words", (F.col("toxic") == 1).cast("int"))
-        .collect()
     )
-    _, total, hits, words, label = zip(*rows, strict=True)
+    # five numbers for each row of the bounded sample
+    known = sample.select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic"))
+    found = known.mapInArrow(_told(model), "doc_id long, evidence double, hits long, words long, toxic int")
+    _, total, hits, words, label = zip(*sorted(tuple(r) for r in found.collect()), strict=True)
     model.curve = _fit_curve(total, hits, words, label)
     return model
 
 
+def _told(model: Model):
+    """What the curve is fitted to: each text's evidence beside its label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = _Lexicon(model)
+        for batch in batches:
+            found = [evidence(t.decode("utf-8"), lexicon) for t in texts_of(batch.column(1))]
+            total, hits, words = ([f[k] for f in found] for k in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array(total, pa.float64()), pa.array(hits, pa.int64()),
+                    pa.array(words, pa.int64()), batch.column(2),
+                ],
+                names=["doc_id", "evidence", "hits", "words", "toxic"],
+            )
+
+    return run
+
+
 _RAW = "doc_id long, evidence double, hits long, words long, clauses array<double>, score double"
 
 
-def _scored(model: Model, raw: bool = False):
+def _curve(model: Model, total: list[float], hits: list[int], words: list[int]) -> np.ndarray:
+    line = _inputs(total, hits, words) @ np.array(model.curve) if total else np.zeros(0)
+    return 1 / (1 + np.exp(-np.clip(line, -700, 700)))
+
+
+def _scored(model: Model):
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
@@ -418,15 +429,14 @@ def _scored(model: Model, raw: bool = False):
         for batch in batches:
             found = [evidence(t.decode("utf-8"), lexicon) for t in texts_of(batch.column(1))]
             total, hits, words = ([f[k] for f in found] for k in range(3))
-            line = _inputs(total, hits, words) @ np.array(model.curve) if found else np.zeros(0)
-            score = 1 / (1 + np.exp(-np.clip(line, -700, 700)))
+            score = _curve(model, total, hits, words)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(total, pa.float64()),
                     pa.array(hits, pa.int64()),
                     pa.array(words, pa.int64()),
-                    pa.array([[] if raw else f[3] for f in found], pa.list_(pa.float64())),
+                    pa.array([f[3] for f in found], pa.list_(pa.float64())),
                     pa.array(score, pa.float64()),
                 ],
                 schema=schema,
@@ -447,3 +457,20 @@ def score_toxicity(
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     ).mapInArrow(_scored(model), _RAW)
+
+
+def without_toxic(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that score below ``least``.
+
+    Every row is judged by its own text as it streams by, whether it has an id or not; nothing is shuffled.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = _Lexicon(model)
+        for batch in batches:
+            found = [evidence(t.decode("utf-8"), lexicon) for t in texts_of(batch.column(at))]
+            score = _curve(model, *([f[k] for f in found] for k in range(3)))
+            yield batch.filter(pa.array(score < least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

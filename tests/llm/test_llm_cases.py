@@ -137,7 +137,7 @@ def test_contamination_in_several_passes_is_the_same(spark):
         [(1, " ".join(f"W{i} x{i}-y{i}" for i in range(30))), (2, "w1 x1")], "doc_id long, text string"
     )
     rows = lambda **o: sorted(map(tuple, contamination(docs, items, **o).collect()))
-    assert rows(shard_bytes=60) == rows()
+    assert rows(states=60) == rows()
 
 
 def test_toxicity_cases(spark, docs, none):
@@ -152,16 +152,68 @@ def test_toxicity_cases(spark, docs, none):
     ).first()
     assert one("you are an idiot").evidence > one("an idiot").evidence > one("he is not an idiot").evidence
     assert one("they said he was an idiot").evidence < one("he was an idiot").evidence
-    assert one("i will kill you").evidence == 0  # the target follows: no threat was matched before it
-    assert one("you i kill").evidence > 0
+    assert one("i will kill you").evidence == one("you i kill").evidence > 0
     assert one("kill the process").evidence == 0
     assert len(one("stupid. moron! fine").clauses) == 2
 
 
+def test_repeated_rows_are_learned_from_once(spark):
+    texts = {i: f"{'idiot moron' if i % 2 else 'fine words'} number{i} stands here {i * 7} times" for i in range(60)}
+    rows = [(i, t) for i, t in texts.items()]
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    once = toxicity.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, "doc_id", "text")
+    again = spark.createDataFrame(rows + [rows[7]] * 500 + [(7, f"other text {k}") for k in range(300)], "doc_id long, text string")
+    many = toxicity.labelled_sample(again, labels, "doc_id", "text")
+    found = [r.doc_id for r in many.collect()]
+    assert len(found) == len(set(found)) == once.count()
+    model = learn(again, labels)
+    assert model.curve != Model().curve
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    from sluiceway.llm.decontaminate import without_contaminated
+    from sluiceway.llm.toxicity import without_toxic
+
+    schema = "n_chars long, doc_id long, text string, score string"
+    rows = [(1, None, "you idiot", "a"), (2, 5, "i will kill you", "b"), (3, 5, "a fine day", "c"), (4, None, None, "d"), (5, 6, "", "e")]
+    docs = spark.createDataFrame(rows, schema)
+    clean = without_toxic(docs, Model())
+    assert clean.schema == docs.schema and sorted(r.n_chars for r in clean.collect()) == [3, 4, 5]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(["A fine!", "will kill"])], "item_id long, text string")
+    for states in (1, 1_000):
+        kept = without_contaminated(docs, items, states=states)
+        assert sorted(r.n_chars for r in kept.collect()) == [1, 4, 5]
+    assert without_contaminated(docs, items.where("false")).count() == 5
+
+
+def test_windows_agree_with_a_plain_search():
+    import random
+
+    from sluiceway.llm.decontaminate import Windows, words_of
+
+    rng = random.Random(8)
+    word = lambda n: rng.choice(["a", "b", "é", "C1", "dd", "zz9"][:n])
+    for _ in range(200):
+        items = [(str(k), " ".join(word(4) for _ in range(rng.randint(0, 9))).encode()) for k in range(4)]
+        text = "-".join(word(6) for _ in range(60)).encode()
+        words, window = words_of(text), 4
+        hit, named = set(), set()
+        for name, item in items:
+            own = words_of(item)
+            for at in range(max(1, len(own) - window + 1) if own else 0):
+                part = own[at : at + window]
+                for k in range(len(words) - len(part) + 1):
+                    if words[k : k + len(part)] == part:
+                        hit |= set(range(k, k + len(part)))
+                        named.add(name)
+        ranges, found = Windows(items, window).hits(words)
+        assert {k for a, b in ranges for k in range(a, b)} == hit and found == named
+
+
 def test_threats_and_reports_in_both_orders(spark):
     from sluiceway.llm import queries
 
-    lexicon = toxicity._Lexicon(Model(both_orders=True))
+    lexicon = toxicity._Lexicon(Model())
     one = lambda text: toxicity.evidence(text, lexicon)[0]
     assert one("i will kill you") == one("kill them all") == one("you i kill") == 3
     # held to the end of the clause, however many words stand between
