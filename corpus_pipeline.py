@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm.decontaminate import contamination
+from sluiceway.llm.decontaminate import without_contaminated
 from sluiceway.llm.mixing import mixed_documents
 from sluiceway.llm.neardup import near_duplicates
 from sluiceway.llm.secrets import redact_secrets
 from sluiceway.llm.staging import written
-from sluiceway.llm.toxicity import learn, score_toxicity
+from sluiceway.llm.toxicity import learn, without_toxic
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -23,9 +23,8 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5 for toxicity; rows with a rejected id go together."""
-    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), both_orders=True)
-    return _without(docs, score_toxicity(docs, model).where("score >= 0.5"))
+    """Documents that score below 0.5 for toxicity, each row by its own text."""
+    return without_toxic(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +44,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a benchmark window."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("n_hit > 0"))
+    """Documents without a word inside a benchmark window, each row by its own text."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
