@@ -335,7 +335,6 @@ def learn(
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    **unused,
 ) -> Model:
     """Insult words, stems and the score's curve, from the labelled sample.
 
