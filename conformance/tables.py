@@ -172,6 +172,23 @@ def text_table_documents(spark, sf_dir):
     return read_text_table(spark, path, multiline=True)
 
 
+@query(
+    """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
+           coalesce(source, '') AS source, CAST(n_chars AS VARCHAR) AS n_chars
+    FROM documents
+    """
+)
+def text_table_one_file(spark, sf_dir):
+    """As text_table_documents, from one large file that many tasks read."""
+    path = new_scratch_path(spark, "one-text")
+    documents = table(spark, sf_dir, "documents")
+    documents.select("doc_id", "text", "lang", "source", "n_chars").repartition(1).write.options(
+        header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
+    return read_text_table(spark, path, multiline=True)
+
+
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def text_table_typed(spark, sf_dir):
     path = new_scratch_path(spark, "text")

@@ -86,6 +86,55 @@ def test_text_tables_with_line_breaks(spark, tmp_path):
             read()
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Files are read in blocks of a few bytes, each by a task of its own."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(name) for name in names]
+
+    def bytes_(n):
+        for name in names:
+            spark.conf.set(name, str(n))
+
+    yield bytes_
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("size", [7, 40, 1000, 10**6])
+def test_one_file_with_line_breaks_is_read_by_many_tasks(spark, tmp_path, small_blocks, size):
+    import csv
+    import random
+
+    rng = random.Random(size)
+    parts = ["a", '"', "\n", ",", "é", " ", "x" * 30, "\n\n", '""', "1,2"]
+    data = [(str(i), "".join(rng.choice(parts) for _ in range(rng.randint(0, 12))), "end") for i in range(60)]
+    data[30] = ("30", "\n".join(["long value, of many blocks"] * 80), "end")
+    (tmp_path / "in").mkdir()
+    for name, some in (("a.csv", data[:45]), ("b.csv", data[45:])):
+        with open(tmp_path / "in" / name, "w", newline="") as file:
+            writer = csv.writer(file, quoting=csv.QUOTE_ALL, lineterminator="\r\n" if name == "b.csv" else "\n")
+            writer.writerows([("id", "no\nte", "last"), *some])
+    small_blocks(size)
+    df = read_text_table(spark, str(tmp_path / "in"), multiline=True)
+    assert df.columns == ["id", "no\nte", "last"]
+    assert rows(df) == sorted(data, key=repr)
+    if size == 40:
+        assert df.rdd.getNumPartitions() > 50
+
+
+def test_text_tables_with_line_breaks_refuse_what_is_broken(spark, tmp_path, small_blocks):
+    for k, text in enumerate(('a,b\n1,"x\ny\n2,z\n', "a,b\n1\n", 'a,b\n1,"x\ny",3\n')):
+        path = tmp_path / f"{k}.csv"
+        path.write_text(text)
+        for size in (5, 10**6):
+            small_blocks(size)
+            with pytest.raises(Exception, match="(?i)malformed"):
+                read_text_table(spark, str(path), multiline=True).collect()
+    (tmp_path / "gap.csv").write_text("a,b\n\n1,2\n \n")
+    assert rows(read_text_table(spark, str(tmp_path / "gap.csv"), multiline=True)) == [("1", "2")]
+
+
 def test_text_tables_refuse_records_of_another_width(spark, tmp_path):
     for record in ("1", "1,2,3"):
         path = tmp_path / f"{len(record)}.csv"
