@@ -18,7 +18,7 @@ from sluiceway.operators.codesteps import (
     transform,
     with_group_values,
 )
-from sluiceway.operators.stability import schema_stability
+from sluiceway.operators.stability import schema_stability, varied_stability
 from sluiceway.plans.flow import Flow
 from sluiceway.plans.steps import Code, Source, Sql
 
@@ -329,6 +329,28 @@ def schema_stability_batches(spark, sf_dir):
     return schema_stability(events, score)
 
 
+@query(
+    """
+    SELECT * FROM (VALUES ('event_id', 'int64', true, ''), ('kind', 'string', true, ''),
+                          ('grade', 'int64,string', false, 'extremes'), ('share', 'double', false, 'no rows'))
+    AS t("column", types, is_stable, shown_by) WHERE (SELECT count(*) FROM events) > 100
+    """
+)
+def schema_stability_varied(spark, sf_dir):
+    """A step whose columns are steady over all given rows, and what shows that two of them need not be."""
+
+    def graded(rows):
+        out = rows[["event_id"]].assign(kind=rows["event_type"].str.upper())
+        out["grade"] = rows["value"].gt(10).astype(int) if rows["value"].notna().any() or not len(rows) else None
+        if (rows["value"] == float("-inf")).any():
+            out["grade"] = "lowest"
+        if len(rows):  # forgotten for a batch without rows
+            out["share"] = rows["value"].clip(-1e6, 1e6) / 7
+        return out
+
+    return varied_stability(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), graded)
+
+
 @query(
     """
     SELECT CASE WHEN user_id % 5 <> 0 THEN user_id + 9007199254740992 END AS user_id, count(*) AS n_events

@@ -362,3 +362,40 @@ def step_metrics_python_error(spark, sf_dir):
     ).run()
     told = F.when(F.col("message").isNotNull(), F.regexp_extract("message", "ValueError: [a-z ]+", 0))
     return report.metrics(spark).select("position", "step", "status", told.alias("told"))
+
+
+@query(
+    """
+    SELECT 0::BIGINT AS n_wrong, true AS has_rows, true AS is_part, count(*) AS n_whole FROM lineitem
+    JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    """
+)
+def preview_of_joins(spark, sf_dir):
+    """A sample of three sources by their keys has rows, and none that the whole join has not."""
+    flow = Flow(
+        spark,
+        [
+            Source("lines", table(spark, sf_dir, "lineitem")),
+            Source("orders", table(spark, sf_dir, "orders")),
+            Source("customers", table(spark, sf_dir, "customer")),
+            Sql(
+                "joined",
+                """
+                SELECT o.o_orderkey, l.l_linenumber, l.l_shipdate, l.l_extendedprice, c.c_name FROM {lines} l
+                JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customers} c ON o.o_custkey = c.c_custkey
+                """,
+                inputs={"lines": "lines", "orders": "orders", "customers": "customers"},
+            ),
+        ],
+    )
+    columns = flow.result().columns
+    part = flow.key_sample(0.25).result().groupBy(columns).agg(F.count("*").alias("n_part"))
+    whole = flow.result().groupBy(columns).agg(F.count("*").alias("n_all"))
+    both = part.join(whole, columns, "full")
+    sampled, n_all = F.coalesce(F.sum("n_part"), F.lit(0)), F.sum("n_all")
+    return both.agg(
+        F.count_if(F.coalesce("n_part", F.lit(0)) > F.coalesce("n_all", F.lit(0))).alias("n_wrong"),
+        (sampled > 0).alias("has_rows"),
+        (sampled < n_all).alias("is_part"),
+        n_all.alias("n_whole"),
+    )

@@ -25,6 +25,7 @@ from sluiceway.operators.contracts import (
 )
 from sluiceway.operators.sqlsteps import StepError, relation_name
 from sluiceway.plans.blame import Trace, building, culprit
+from sluiceway.plans.joinkeys import in_sample, shared_keys
 from sluiceway.plans.steps import Code, Given, Source, Step, Target
 from sluiceway.session import new_scratch_path
 from sluiceway.sinks.base import Folder, Pending, held_columns
@@ -217,13 +218,17 @@ class Flow:
         contract: Sequence[TargetColumn] = (),
         order_by: str | list[str] | None = None,
         sample_source: int | None = None,
+        sample_keys: float | None = None,
     ) -> list[StepResult]:
         """The first rows of each step, up to the first step that fails.
 
         ``sample_source`` lets every source give only so many rows, for a quick
-        look at flows whose steps need all of their input. The check against
+        look at flows whose steps need all of their input. ``sample_keys`` is for flows that join
+        sources: see ``key_sample``. The check against
         the contract comes last.
         """
+        if sample_keys is not None:
+            return self.key_sample(sample_keys).preview(limit, contract, order_by, sample_source)
         results: list[StepResult] = []
         built: dict[int, DataFrame] = {}
         for i, step in enumerate(self.steps):
@@ -254,6 +259,34 @@ class Flow:
             results.append(self._target_result(built[len(self.steps) - 1], contract))
         return results
 
+    def key_sample(self, share: float) -> Flow:
+        """The flow on a part of its sources that still joins.
+
+        Of every key that sources are joined by, the same ``share`` of its values is taken, by hash, in every source
+        that has it. What stays of one source thus finds its partners in the others, and each row of an inner join
+        over the sample is a row of the whole result. Sources that share no key are taken whole. Groups
+        are complete only where they go by such keys.
+        """
+        built: dict[int, DataFrame] = {}
+        for i in range(len(self.steps)):
+            built[i] = self._build(i, built)
+        sources = {i: built[i] for i, step in enumerate(self.steps) if isinstance(step, Source)}
+        taken = dict(sources)
+        ends = {len(self.steps) - 1} | {self._place_of(t) for t in self.targets}
+        keys = {}
+        for end in sorted(ends):
+            for key in shared_keys(sources, built[end]):
+                keys[tuple(sorted((i, *names) for i, names in key.items()))] = key
+        for key in keys.values():
+            for i, names in key.items():
+                for name in names:
+                    taken[i] = taken[i].where(in_sample(name, share))
+        steps = [
+            replace(step, frame=taken[i], table=None, query=None, columns=None) if i in taken else step
+            for i, step in enumerate(self.steps)
+        ]
+        return Flow(self.spark, steps, self.targets)
+
     @staticmethod
     def _target_result(df: DataFrame, contract: Sequence[TargetColumn]) -> StepResult:
         failed = [c for c in schema_findings(df, contract) if c.status is Status.FAILED]

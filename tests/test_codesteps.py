@@ -165,3 +165,49 @@ def test_schema_stability_finds_a_changing_step(spark):
     lost = {r["column"]: r["is_stable"] for r in schema_stability(df, missing).collect()}
     assert lost == {"id": True, "part": False}
     assert isinstance(steady(pd.DataFrame({"id": [1]})), pd.DataFrame)
+
+
+def _stability(df, fn):
+    from sluiceway.operators.stability import varied_stability
+
+    return {r["column"]: (r["is_stable"], r["shown_by"]) for r in varied_stability(df, fn, samples=3).collect()}
+
+
+def test_varied_input_shows_what_the_rows_do_not(spark):
+    df = spark.range(200).selectExpr("id", "concat('n', id) AS name", "id / 2 AS half")
+
+    def steady(part):
+        return part.assign(size=part["name"].str.len().astype("Int64"))
+
+    assert set(_stability(df, steady).values()) == {(True, "")}
+
+    def ascii_only(part):
+        [n.encode("ascii") for n in part["name"].dropna()]
+        return part
+
+    assert set(_stability(df, ascii_only).values()) == {(False, "non-ASCII")}
+
+    def first(part):
+        return part.assign(first=part["id"].iloc[0])
+
+    assert _stability(df, first)["first"] == (False, "no rows")
+
+    def dropped(part):
+        return part.dropna(axis=1, how="all") if len(part) else part
+
+    assert _stability(df, dropped)["name"] == (False, "all null")
+
+    def moved(part):
+        return part[["name", "id"]] if len(part) == 1 else part[["id", "name"]]
+
+    assert _stability(df, moved)["id"][1].startswith("one row")
+
+
+def test_edge_batches_fit_every_type(spark):
+    schema = (
+        "a byte, b short, c int, d long, e float, f double, g decimal(10,2), h date, i timestamp, j timestamp_ntz, "
+        "k boolean, l string, m binary, n array<int>, o struct<x:int>, p map<string,int>"
+    )
+    df = spark.createDataFrame([], schema)
+    found = _stability(df, lambda part: part)
+    assert len(found) == 16 and {name: how for name, how in found.items() if not how[0]} == {}

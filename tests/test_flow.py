@@ -525,3 +525,51 @@ def test_costly_goes_by_nodes_not_by_names(spark, users):
 
     assert not costly(users.select(F.col("id").alias("JoinDate"), F.lit("Sort").alias("Window")))
     assert costly(users.groupBy("id").count()) and costly(users.mapInPandas(lambda parts: parts, users.schema))
+
+
+# -- previews of joins -----------------------------------------------------------------------------
+
+
+def _joined(spark):
+    people = spark.range(2000).selectExpr("cast(id AS int) AS id", "concat('p', id) AS name")
+    orders = spark.range(6000).selectExpr("id AS no", "id % 2000 AS person", "id % 50 AS item")
+    items = spark.range(50).selectExpr("id AS item", "concat('i', id) AS title")
+    return [
+        Source("people", people),
+        Source("orders", orders),
+        Source("items", items),
+        Sql("named", "SELECT no, person AS who, item AS what FROM {prev}", inputs={"prev": "orders"}),
+        Sql(
+            "joined",
+            "SELECT n.no, p.name, i.title FROM {n} n JOIN {p} p ON n.who = p.id, {i} i WHERE i.item = n.what",
+            inputs={"n": "named", "p": "people", "i": "items"},
+        ),
+    ]
+
+
+def test_a_sample_by_keys_still_joins(spark):
+    flow = Flow(spark, _joined(spark))
+    whole = set(rows(flow.result()))
+    part = set(rows(flow.key_sample(0.3).result()))
+    assert part < whole and 0.03 * len(whole) < len(part) < 0.2 * len(whole)
+    shown = flow.preview(limit=5, sample_keys=0.3)
+    assert [r.status for r in shown] == ["ok"] * 5 and shown[-1].row_count == 5
+    assert {tuple(r) for r in shown[-1].sample_data} <= whole
+    assert set(rows(flow.key_sample(1.0).result())) == whole
+    # every partner of what stays is there: the sample is the whole, filtered by keys
+    people = {r["name"] for r in flow.key_sample(0.3).frames()["people"].collect()}
+    titles = {r["title"] for r in flow.key_sample(0.3).frames()["items"].collect()}
+    assert part == {r for r in whole if r[1] in people and r[2] in titles}
+
+
+def test_a_sample_by_keys_of_code_steps_and_of_no_joins(spark, users):
+    def join(left, right):
+        return left.join(right, left["id"] == right["person"], "left")
+
+    people = spark.range(900).selectExpr("id", "concat('p', id) AS name")
+    orders = spark.range(900).selectExpr("id AS no", "id AS person")
+    flow = Flow(spark, [Source("l", people), Source("r", orders), Code("join", join, inputs={"left": "l", "right": "r"})])
+    part = flow.key_sample(0.2).result().collect()
+    assert 90 < len(part) < 270 and all(r["no"] == r["id"] for r in part)
+    alone = Flow(spark, [Source("s", users), Sql("n", "SELECT id FROM {prev}")])
+    assert rows(alone.key_sample(0.01).result()) == [(1,), (2,), (3,)]
