@@ -97,6 +97,8 @@ def spark_type(name: str) -> T.DataType:
     cleaned = _SIZE.sub("", cleaned)
     if cleaned in _ZONED:
         return T.TimestampType()
+    if cleaned == "float" and not _SIZE.search(clean_name(name)):
+        return T.DoubleType()
     if cleaned == "float" and _SIZE.search(clean_name(name)):
         # float(1) to float(24) are single precision, more is double
         digits = int(_SIZE.search(clean_name(name))[1])
@@ -105,6 +107,11 @@ def spark_type(name: str) -> T.DataType:
     return CANONICAL_TO_SPARK[canonical_type(name)]
 
 
+def is_time_of_day(name: str) -> bool:
+    """True for a time without a date or a zone, with or without the number of its digits."""
+    return _SIZE.sub("", clean_name(name)) in ("time", "time without time zone")
+
+
 def category(name: str) -> str:
     """Display category of a catalog type name; ``_name`` is an array of it."""
     if name.startswith("_"):

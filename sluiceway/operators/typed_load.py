@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sluiceway.functions.conversion import converted
 from sluiceway.functions.expression import quoted
-from sluiceway.functions.types import canonical_type, spark_type
+from sluiceway.functions.types import canonical_type, is_time_of_day, spark_type
 
 # Fixed form of a time of day.
 _TIME = r"^([01]\d|2[0-3]):([0-5]\d)(:([0-5]\d)(\.\d{1,6})?)?$"
@@ -31,8 +31,10 @@ class TypedLoad:
 
 
 def _is_text(type_name: str) -> bool:
-    return canonical_type(type_name) == "utf8" and isinstance(
-        spark_type(type_name), T.StringType
+    return (
+        not is_time_of_day(type_name)
+        and canonical_type(type_name) == "utf8"
+        and isinstance(spark_type(type_name), T.StringType)
     )
 
 
@@ -58,7 +60,7 @@ def typed_value(name: str, type_name: str) -> Column:
         return quoted(name)
     value = F.btrim(quoted(name))
     canonical = canonical_type(type_name)
-    if canonical == "time":
+    if is_time_of_day(type_name):
         return _time_of_day(value)
     if canonical == "binary":
         return F.when(value != "", _bytes(value))

@@ -149,3 +149,14 @@ def test_text_forms(spark, type_name, good, bad):
         *good.values(), *[None] * len(bad)
     ]
     assert [r["value"] for r in loaded.rejects.orderBy("i").collect()] == bad
+
+
+def test_times_with_digits_or_written_out_are_times(spark):
+    df = spark.createDataFrame([("25:99", "25:99", "x1", "2.5"), ("07:30", "07:30:01.5", "23:59", "x")], "a string, b string, c string, d string")
+    types = {"a": "time(3)", "b": "time without time zone", "c": "TIME (0) WITHOUT TIME ZONE", "d": "float"}
+    load = typed_load(df, types)
+    assert sorted((r["column"], r["value"]) for r in load.rejects.collect()) == [
+        ("a", "25:99"), ("b", "25:99"), ("c", "x1"), ("d", "x")
+    ]
+    assert dict(load.rows.dtypes)["d"] == "double"
+    assert [r["b"] for r in load.rows.collect()] == [None, "07:30:01.500000"]
