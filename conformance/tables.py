@@ -137,20 +137,23 @@ def typed_load_counts(spark, sf_dir):
 
 @query(
     f"""
-    SELECT event_id, user_id, TRY_CAST(amount AS DOUBLE) AS amount,
-           CASE WHEN TRY_CAST(amount AS DOUBLE) IS NULL THEN amount END AS refused
-    FROM (SELECT CAST(event_id AS BIGINT) AS event_id,
-                 CAST(nullif(user_id, '') AS BIGINT) AS user_id, amount
-          FROM ({_EVENTS_AS_TEXT}) AS t) AS typed
+    SELECT TRY_CAST(event_id AS BIGINT) AS event_id, ts_value AS ts,
+           TRY_CAST(nullif(user_id, '') AS BIGINT) AS user_id, event_type,
+           TRY_CAST(amount AS DOUBLE) AS amount, TRY_CAST(props AS BIGINT) AS props,
+           concat_ws('|', CASE WHEN user_id <> '' AND TRY_CAST(user_id AS BIGINT) IS NULL THEN user_id END,
+                     CASE WHEN amount <> '' AND TRY_CAST(amount AS DOUBLE) IS NULL THEN amount END,
+                     CASE WHEN props <> '' AND TRY_CAST(props AS BIGINT) IS NULL THEN props END) AS refused
+    FROM ({_EVENTS_AS_TEXT}) AS t
     """
 )
 def typed_load_one_pass(spark, sf_dir):
+    """All columns, loaded once: the rows and what was refused of them are read from one copy."""
     path = new_scratch_path(spark, "marked")
-    text = _events_as_text(spark, sf_dir).select("event_id", "user_id", "amount")
-    typed_load(text, _EVENT_TYPES).marked.write.parquet(path)
+    typed_load(_events_as_text(spark, sf_dir), _EVENT_TYPES).marked.write.parquet(path)
     written = spark.read.parquet(path)
     return written.select(
-        "event_id", "user_id", "amount", F.get("_rejects.value", 0).alias("refused")
+        "event_id", "ts", "user_id", "event_type", "amount", "props",
+        F.coalesce(F.array_join("_rejects.value", "|"), F.lit("")).alias("refused"),
     )
 
 

@@ -153,17 +153,19 @@ def group_fold(
     def fold_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas
 
-        states = None
+        # chunks of states, each at least twice the next, so that a state is merged a few times only
+        chunks: list[pd.DataFrame] = []
         for part in parts:
             if part.empty:
                 continue
-            fresh = partial(part)
-            states = fresh if states is None else merge(pandas.concat([states, fresh]))
-            if len(states) >= state_rows:
-                yield plain(states)
-                states = None
-        if states is not None:
-            yield plain(states)
+            chunks.append(partial(part))
+            while len(chunks) > 1 and len(chunks[-2]) < 2 * len(chunks[-1]):
+                chunks[-2:] = [merge(pandas.concat(chunks[-2:]))]
+            if sum(map(len, chunks)) >= state_rows:
+                yield plain(merge(pandas.concat(chunks)) if len(chunks) > 1 else chunks[0])
+                chunks = []
+        if chunks:
+            yield plain(merge(pandas.concat(chunks)) if len(chunks) > 1 else chunks[0])
 
     def fold_states(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas
