@@ -178,23 +178,22 @@ def without_contaminated(
 
     Every row is judged by its own text as it streams by, whether it has an id or not; nothing is shuffled.
     """
-    at = docs.columns.index(text_col)
-    frame = docs
     for sent in _item_parts(benchmark, window, states, item_id_col, item_text_col):
-        frame = frame.mapInArrow(_clean(sent, window, at), docs.schema)
-    return frame
+        docs = docs.where(_clean(sent, window)(F.col(text_col).cast("string")))
+    return docs
 
 
-def _clean(items, window: int, at: int):
+def _clean(items, window: int):
+    """True for texts in which no word is hit."""
     name = uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         windows = _windows(name, items.value, window)
-        for batch in batches:
-            clean = [not windows.hits(words_of(text))[0] for text in texts_of(batch.column(at))]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+        for column in texts:
+            yield pa.array([not windows.hits(words_of(text))[0] for text in texts_of(column)], pa.bool_())
 
-    return run
+    return clean
 
 
 def contamination(

@@ -463,13 +463,12 @@ def without_toxic(docs: DataFrame, model: Model, least: float = 0.5, text_col: s
 
     Every row is judged by its own text as it streams by, whether it has an id or not; nothing is shuffled.
     """
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lexicon = _Lexicon(model)
-        for batch in batches:
-            found = [evidence(t.decode("utf-8"), lexicon) for t in texts_of(batch.column(at))]
-            score = _curve(model, *([f[k] for f in found] for k in range(3)))
-            yield batch.filter(pa.array(score < least, pa.bool_()))
+        for column in texts:
+            found = [evidence(t.decode("utf-8"), lexicon)[:3] for t in texts_of(column)]
+            yield pa.array(_curve(model, *([f[k] for f in found] for k in range(3))), pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score(F.col(text_col).cast("string")) < F.lit(least))
