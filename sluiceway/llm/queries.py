@@ -387,10 +387,10 @@ FROM n GROUP BY conv_id""",
     "op12_hard_negatives": r"""
 WITH e AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
-           list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS x
+           list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
     FROM embeddings
     WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+      AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 s AS (
     SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
            list_inner_product(a.x, r.x)::BIGINT AS score
