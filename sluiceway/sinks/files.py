@@ -111,7 +111,11 @@ class _Files:
 
 @dataclass(frozen=True)
 class AppendFiles(_Files):
-    """Add files to an existing folder."""
+    """Add files to an existing folder.
+
+    As with other inserts, rows that were added stay when another target of the run fails; a batch
+    that is told in a ledger (``then``) is taken back.
+    """
 
     def stage(self, df: DataFrame) -> Pending:
         spark, held = df.sparkSession, self.held(df.sparkSession)
@@ -120,7 +124,16 @@ class AppendFiles(_Files):
         path, total, _ = self._staged(df, held)
         # the names hold the writing job's id, so they are new in the target
         moved = switch(spark, self.path, path, Folder(spark, path).files() if total else (), then=self.then)
-        return _pending(spark, moved, total, self.then is not None)
+        pending = _pending(spark, moved, total, self.then is not None)
+        if self.then is not None:
+            return pending
+
+        def commit() -> int:
+            added = pending.commit()
+            pending.finish()
+            return added
+
+        return Pending(commit, pending.discard)
 
 
 @dataclass(frozen=True)
