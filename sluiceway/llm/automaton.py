@@ -2,7 +2,8 @@
 
 Regexes become one nondeterministic automaton, subset construction makes it
 deterministic, partition refinement makes it minimal, and a transition array over
-byte classes runs it. The automaton is searching: it may begin a match at any byte.
+byte classes runs it. A searching automaton may begin a match at any byte; a placed one
+reads on from one byte, or back from it.
 """
 
 from __future__ import annotations
@@ -69,6 +70,19 @@ class _Nfa:
         self.edges[start].append((_bytes(op, value, flags), end))
         return end
 
+    def turned(self) -> _Nfa:
+        """The same states, every edge the other way round."""
+        other = _Nfa()
+        for _ in self.edges:
+            other.state()
+        for state, targets in enumerate(self.empty):
+            for to in targets:
+                other.empty[to].append(state)
+        for state, edges in enumerate(self.edges):
+            for found, to in edges:
+                other.edges[to].append((found, state))
+        return other
+
 
 def _bytes(op: str, value, flags: int) -> frozenset:
     if op == "LITERAL":
@@ -106,7 +120,7 @@ class Automaton:
     ``accepts[state]`` has a bit for every rule that has a match ending there.
     """
 
-    def __init__(self, rules: list[str]):
+    def __init__(self, rules: list[str], searching: bool = True, backward: bool = False):
         nfa = _Nfa()
         root = nfa.state()
         finals: dict[int, int] = {}
@@ -114,13 +128,17 @@ class Automaton:
             first = nfa.state()
             nfa.empty[root].append(first)
             finals[nfa.add(parser.parse(rule), first, 0)] = 1 << k
+        if backward:
+            if len(rules) > 1:
+                raise ValueError("one rule is read backward at a time")
+            nfa, root, finals = nfa.turned(), next(iter(finals)), {root: 1}
         # bytes that no edge tells apart are one class
         sets = sorted({s for edges in nfa.edges for s, _ in edges}, key=sorted)
         signature = np.array([[b in s for s in sets] for b in range(256)], dtype=bool)
         _, example, classes = np.unique(signature, axis=0, return_index=True, return_inverse=True)
         self.classes = classes.reshape(-1).astype(np.uint8)
         self.width = len(example)
-        self.table, self.accepts = _minimal(*_subsets(nfa, root, finals, [int(e) for e in example]))
+        self.table, self.accepts = _minimal(*_subsets(nfa, root, finals, [int(e) for e in example], searching))
         # the searching automaton forgets everything at a byte that no rule uses
         self.start = 0
 
@@ -128,6 +146,32 @@ class Automaton:
     def states(self) -> int:
         return len(self.accepts)
 
+    def walk(self, data: bytes, at: int, stop: int) -> tuple[int, int]:
+        """Where the longest match from ``at`` towards ``stop`` ends, and its rules; (-1, 0) without one.
+
+        For a placed automaton. A stop before ``at`` reads backward, the byte before ``at`` first; the end is then
+        the first byte of the match.
+        """
+        steps, accepts, classes = self._steps()
+        state, found, step = 0, (-1, 0), 1 if stop >= at else -1
+        while at != stop:
+            state = steps[state][classes[data[at if step > 0 else at - 1]]]
+            if state < 0:
+                break
+            at += step
+            if accepts[state]:
+                found = (at, accepts[state])
+        return found
+
+    def _steps(self) -> tuple[list[list[int]], list[int], bytes]:
+        """The arrays as lists, which single steps read faster; the state from which no match comes is -1."""
+        if not hasattr(self, "_lists"):
+            rows = self.table.reshape(-1, self.width) // self.width
+            dead = (self.accepts == 0) & (rows == np.arange(len(rows))[:, None]).all(axis=1)
+            rows = np.where(dead[rows], -1, rows)
+            self._lists = (rows.tolist(), self.accepts.tolist(), self.classes.tobytes())
+        return self._lists
+
     def events(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
         """(text, end, rules) wherever a match of some rule ends; end is exclusive, in bytes.
 
@@ -198,9 +242,10 @@ def _closure(nfa: _Nfa, states) -> frozenset:
     return frozenset(seen)
 
 
-def _subsets(nfa: _Nfa, root: int, finals: dict[int, int], example: list[int]):
-    """Subset construction; the root's closure is added to every set, so it searches."""
+def _subsets(nfa: _Nfa, root: int, finals: dict[int, int], example: list[int], searching: bool):
+    """Subset construction; a searching automaton has the root's closure in every set."""
     begin = _closure(nfa, [root])
+    always = begin if searching else frozenset()
     index, order, rows = {begin: 0}, [begin], []
     step: dict[tuple[int, int], frozenset] = {}
 
@@ -214,7 +259,7 @@ def _subsets(nfa: _Nfa, root: int, finals: dict[int, int], example: list[int]):
         live = [s for s in current if nfa.edges[s]]
         row = []
         for byte in example:
-            nxt = begin.union(*(targets(s, byte) for s in live))
+            nxt = always.union(*(targets(s, byte) for s in live))
             if nxt not in index:
                 index[nxt] = len(order)
                 order.append(nxt)
