@@ -1,4 +1,4 @@
-"""License scans: counted word fingerprints find candidates, banded alignment measures them."""
+"""License scans: winnowed fingerprints in an inverted index find candidates, banded alignment measures them."""
 
 from __future__ import annotations
 
@@ -15,6 +15,13 @@ from sluiceway.llm.textbatch import Words, pieces, texts_of
 
 LEAST_WORDS = 3  # of a template
 LEAST_COVERAGE = 0.8
+WINDOW = 2  # of winnowing: one word of every two in a row is kept at least
+
+# starts that are aligned together have this many cells in a row of the table
+_CELLS = 1 << 20
+# an alignment's state in one number: matched words, then the shorter span, then the earlier first word
+_BITS = 21
+_MOST = (1 << _BITS) - 1
 
 # fixed values: short forms of public licenses and notices
 TEMPLATES = {
@@ -52,11 +59,13 @@ TEMPLATES = {
 
 
 class Index:
-    """Word fingerprints of the templates to the templates that have them, and how often.
+    """Winnowed word fingerprints of the templates, each with the places at which templates have it.
 
-    Inside the band an alignment skips words of both sides, so an accepted place need not share two
-    words in a row with its template. It shares LEAST_COVERAGE of the template's words, though,
-    within the stretch of text that the alignment reads. Every such stretch is a candidate.
+    Fingerprints are of single words, because an alignment may skip words of both sides between any two that
+    match. Of every WINDOW words in a row of a template the rarest is kept: the one that fewest
+    templates have, of equal ones the one with the least hash. An accepted place misses at most ``missed`` words of
+    its template, so it shares at least ``kept - missed`` kept ones, all inside the alignment's band. No accepted
+    place lacks them, and a place that lacks them is never aligned.
     """
 
     def __init__(self, templates: dict[str, str]):
@@ -67,48 +76,75 @@ class Index:
             if len(hashed) < LEAST_WORDS:
                 raise ValueError(f"a template has at least {LEAST_WORDS} words: {text!r}")
             self.words.append(hashed)
-        self.prints = np.unique(np.concatenate(self.words))
-        # how often each template has each fingerprint; the last row is for other words
-        self.counts = np.zeros((len(self.prints) + 1, len(self.words)), dtype=np.int64)
-        for number, hashed in enumerate(self.words):
-            np.add.at(self.counts[:, number], np.searchsorted(self.prints, hashed), 1)
         self.bands = [max(2, len(w) // 5) for w in self.words]
         # the least number of words with the coverage
         self.least = [next(m for m in range(len(w) + 1) if m / len(w) >= LEAST_COVERAGE) for w in self.words]
+        having, templates_of = np.unique(np.concatenate([np.unique(w) for w in self.words]), return_counts=True)
+        kept = [self._winnowed(w, templates_of[np.searchsorted(having, w)]) for w in self.words]
+        # how many kept words an accepted place shares at least
+        self.shared = [len(k) - (len(w) - m) for k, w, m in zip(kept, self.words, self.least, strict=True)]
+        if min(self.shared) < 1:
+            raise ValueError("the window is too long for the coverage")
+        # posting lists: the places (template, word) of fingerprint k are at lists[k]:lists[k + 1]
+        hashes = np.concatenate([w[k] for w, k in zip(self.words, kept, strict=True)])
+        order = np.argsort(hashes, kind="stable")
+        self.prints, first = np.unique(hashes[order], return_index=True)
+        self.lists = np.append(first, len(hashes))
+        self.post_template = np.repeat(np.arange(len(kept)), [len(k) for k in kept])[order]
+        self.post_word = np.concatenate(kept)[order]
+
+    @staticmethod
+    def _winnowed(words: np.ndarray, templates_of: np.ndarray) -> np.ndarray:
+        """The places of the words that are kept."""
+        rank = np.empty(len(words), dtype=np.int64)
+        rank[np.lexsort((words, templates_of))] = np.arange(len(words))
+        windows = np.lib.stride_tricks.sliding_window_view(rank, min(WINDOW, len(words)))
+        return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+
+    def candidates(self, hashed: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(template, firsts, lasts): ranges of starts whose band holds enough kept words.
 
-    def numbered(self, hashed: np.ndarray) -> np.ndarray:
-        """The row of ``counts`` of each word."""
-        at = np.searchsorted(self.prints, hashed)
-        at[at == len(self.prints)] = 0
-        return np.where(self.prints[at] == hashed, at, len(self.prints))
+        ``at`` is the place of each word. Places of different texts lie farther apart than any alignment reaches.
+        """
+        found = np.minimum(np.searchsorted(self.prints, hashed), len(self.prints) - 1)
+        hit = np.flatnonzero(self.prints[found] == hashed)
+        begin = self.lists[found[hit]]
+        many = self.lists[found[hit] + 1] - begin
+        posting = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+        start = np.repeat(at[hit], many) - self.post_word[posting]
+        template = self.post_template[posting]
+        order = np.lexsort((start, template))
+        edges = np.searchsorted(template[order], np.arange(len(self.words) + 1))
+        for number, shared in enumerate(self.shared):
+            places = start[order[edges[number] : edges[number + 1]]]
+            if len(places) < shared:
+                continue
+            low, high = places[: len(places) - shared + 1], places[shared - 1 :]
+            near = high - low <= 2 * self.bands[number]
+            if near.any():
+                yield number, high[near] - self.bands[number], low[near] + self.bands[number]
 
-    def dense(self, numbers: np.ndarray, number: int) -> np.ndarray:
-        """Words w for which the stretch that begins there has enough words of the template."""
-        reach = len(self.words[number]) + 2 * self.bands[number]
-        total = np.concatenate(([0], np.cumsum(self.counts[:, number].astype(bool)[numbers])))
-        ends = np.minimum(np.arange(len(numbers)) + reach, len(numbers))
-        return np.flatnonzero(total[ends] - total[:-1] >= self.least[number])
+    @property
+    def reach(self) -> int:
+        """No alignment that begins at a word reads farther than this from it, on either side."""
+        return max(len(w) + 2 * b for w, b in zip(self.words, self.bands, strict=True))
 
     def matches(self, hashed: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(template, coverage, first word, end word) of the accepted places, best first where they overlap."""
-        numbers = self.numbered(hashed)
         found = set()
-        for number, template in enumerate(self.words):
-            band, least = self.bands[number], self.least[number]
-            reach, has = len(template) + 2 * band, self.counts[:, number]
-            firsts = self.dense(numbers, number)
-            # equal words count as often as the template has them
-            firsts = [
-                w
-                for w in firsts.tolist()
-                if np.minimum(np.bincount(numbers[w : w + reach], minlength=len(has)), has).sum() >= least
-            ]
-            # a stretch can begin before the first word it shares
-            starts = sorted({w + band - k for w in firsts if has[numbers[w]] for k in range(reach - least + 1)})
-            for start in starts:
-                score, a, b = align(template, hashed, start, band)
-                if score >= least:
-                    found.add((number, score, a, b))
+        for number, firsts, lasts in self.candidates(hashed, np.arange(len(hashed))):
+            # ranges overlap; they ascend, so each adds what lies beyond the ones before
+            begins = np.maximum(firsts, np.concatenate(([firsts[0]], np.maximum.accumulate(lasts)[:-1] + 1)))
+            many = np.maximum(lasts - begins + 1, 0)
+            starts = np.repeat(begins - np.cumsum(many) + many, many) + np.arange(many.sum())
+            template, band = self.words[number], self.bands[number]
+            block = max(1, _CELLS // (2 * band + 1))
+            for k in range(0, len(starts), block):
+                matched, a, b = align(template, hashed, starts[k : k + block], band)
+                good = matched >= self.least[number]
+                found.update(
+                    zip([number] * int(good.sum()), *(x[good].tolist() for x in (matched, a, b)), strict=True)
+                )
         taken: list[tuple[int, int, int, int]] = []
         # of equal scores the shortest span, then the first
         for match in sorted(found, key=lambda m: (-m[1], m[3] - m[2], m[2], m[0])):
@@ -120,31 +156,35 @@ class Index:
         ]
 
 
-def align(template: np.ndarray, text: np.ndarray, start: int, band: int) -> tuple[int, int, int]:
-    """Most template words found in order near ``start``, and the text words they span.
+def align(
+    template: np.ndarray, text: np.ndarray, starts: np.ndarray, band: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Most template words found in order near each start, and the first and end text word they span.
 
     A longest common subsequence within ``band`` of the diagonal: word i of the template is
-    looked for at start + i - band to start + i + band. Of equal scores the shortest span wins.
+    looked for at start + i - band to start + i + band. Of equal scores the shortest span wins, then the earlier one.
+    One row of the table for all starts at a time; within a row the best so far is a running maximum.
     """
-    n = len(template)
     width = 2 * band + 1
-    # best[j]: (matched, -words spanned so far, first word) with the text read up to start + i - band + j
-    best = [(0, 0, -1, -1)] * (width + 1)
-    for i in range(n):
-        row: list[tuple[int, int, int, int]] = []
-        for j in range(width):
-            at = start + i - band + j
-            options = [best[j + 1] if j + 1 < len(best) else best[-1]]
-            if row:
-                options.append(row[-1])
-            if 0 <= at < len(text) and text[at] == template[i]:
-                m, _, a, _ = best[j]
-                a = at if m == 0 else a
-                options.append((m + 1, a - at, a, at + 1))
-            row.append(max(options, key=lambda o: (o[0], o[1])))
-        best = [*row, row[-1]]
-    matched, _, a, b = max(best, key=lambda o: (o[0], o[1]))
-    return matched, a, b
+    places = (starts - band)[:, None] + np.arange(width)
+    # a first word is counted from the start of the band
+    base = (starts - band)[:, None]
+    nothing = (_MOST << _BITS) | _MOST
+    best = np.full(places.shape, nothing, dtype=np.int64)
+    for i in range(len(template)):
+        at = places + i
+        inside = (at >= 0) & (at < len(text))
+        equal = inside & (text[np.clip(at, 0, len(text) - 1)] == template[i])
+        matched = best >> (2 * _BITS)
+        first = np.where(matched == 0, at, _MOST - (best & _MOST) + base)
+        more = ((matched + 1) << (2 * _BITS)) | ((_MOST - (at - first)) << _BITS) | (_MOST - (first - base))
+        row = np.where(equal, more, 0)
+        row[:, :-1] = np.maximum(row[:, :-1], best[:, 1:])
+        row[:, -1] = np.maximum(row[:, -1], best[:, -1])
+        best = np.maximum.accumulate(row, axis=1)
+    last = best[:, -1]
+    first = _MOST - (last & _MOST) + base[:, 0]
+    return last >> (2 * _BITS), first, first + _MOST - ((last >> _BITS) & _MOST) + 1
 
 
 @lru_cache(maxsize=4)
@@ -170,9 +210,14 @@ def _scan(templates: tuple[tuple[str, str], ...]):
             for begin, end in pieces(texts):
                 words = Words([t.translate(_FOLD) for t in texts[begin:end]], lower=False)
                 hashed = words.hashes()
-                numbers = index.numbered(hashed)
-                firsts = np.concatenate([index.dense(numbers, t) for t in range(len(index.names))])
-                for k in np.unique(np.searchsorted(words.first, firsts, side="right") - 1).tolist():
+                counts = np.diff(words.first)
+                owner = np.repeat(np.arange(end - begin), counts)
+                at = np.arange(len(hashed)) + owner * (3 * index.reach)
+                # the first place of each text, less than half the gap before it
+                edges = words.first[:-1] + np.arange(end - begin) * (3 * index.reach) - index.reach
+                middles = [(a + b) // 2 for _, a, b in index.candidates(hashed, at)]
+                near = np.searchsorted(edges, np.concatenate(middles), side="right") - 1 if middles else []
+                for k in np.unique(near).tolist():
                     a, b = words.first[k], words.first[k + 1]
                     text, base = texts[begin + k], words.text_start[k]
                     for number, coverage, first, stop in index.matches(hashed[a:b]):

@@ -330,7 +330,26 @@ def test_license_cases(spark, docs, none):
 
 
 def test_licenses_with_one_word_edits_are_those_of_alignment_everywhere(spark):
-    from sluiceway.llm.licenses import LEAST_COVERAGE, _index, align
+    from sluiceway.llm.licenses import LEAST_COVERAGE, _index
+
+    def align(template, text, start, band):
+        """A longest common subsequence within the band, one cell after the other."""
+        width = 2 * band + 1
+        # (matched words, -words spanned so far, -first word) with the text read up to the cell
+        best = [(0, 0, 0)] * (width + 1)
+        for i in range(len(template)):
+            row = []
+            for j in range(width):
+                at = start + i - band + j
+                options = [best[min(j + 1, width - 1)], *row[-1:]]
+                if 0 <= at < len(text) and text[at] == template[i]:
+                    m, _, a = best[j]
+                    a = -at if m == 0 else a
+                    options.append((m + 1, -at - a, a))
+                row.append(max(options))
+            best = row
+        m, span, a = best[-1]
+        return m, -a, -a - span + 1
 
     def everywhere(text, index):
         hashed, found = words_of(text), []
