@@ -19,6 +19,7 @@ WINDOW = 2  # of winnowing: one word of every two in a row is kept at least
 
 # starts that are aligned together have this many cells in a row of the table
 _CELLS = 1 << 20
+_STEPS = 32
 # an alignment's state in one number: matched words, then the shorter span, then the earlier first word
 _BITS = 21
 _MOST = (1 << _BITS) - 1
@@ -138,6 +139,11 @@ class Index:
             many = np.maximum(lasts - begins + 1, 0)
             starts = np.repeat(begins - np.cumsum(many) + many, many) + np.arange(many.sum())
             template, band = self.words[number], self.bands[number]
+            # a wide band moves in steps and is wider by one, which holds all alignments between; templates of
+            # fewer than 5 * _STEPS words are aligned at every start
+            step = 1 + band // _STEPS
+            if step > 1:
+                starts, band = np.unique(starts // step * step), band + step
             block = max(1, _CELLS // (2 * band + 1))
             for k in range(0, len(starts), block):
                 matched, a, b = align(template, hashed, starts[k : k + block], band)

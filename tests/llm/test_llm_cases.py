@@ -384,6 +384,18 @@ def test_licenses_with_one_word_edits_are_those_of_alignment_everywhere(spark):
     assert names == {1: [("mit-line", 0.8, 0, 28)], 2: [("mit-line", 1.0, 0, len(texts[0]))], 3: []}
 
 
+def test_a_long_license_is_found_with_its_edits():
+    from sluiceway.llm.licenses import _index
+
+    words = [f"w{k * k % 1013}" for k in range(1500)]
+    changed = [w for k, w in enumerate(words) if k % 10] + ["more"] * 3
+    index = _index(tuple({**TEMPLATES, "long": " ".join(words)}.items()))
+    hashes = lambda text: Words([" ".join(text).encode()], lower=False).hashes()
+    (found,) = index.matches(hashes(["before"] * 40 + changed + ["after"] * 40))
+    assert found == (len(TEMPLATES), 0.9, 40, 40 + len(changed) - 3)
+    assert index.matches(hashes([w for k, w in enumerate(words) if k % 4])) == []
+
+
 def test_secret_cases(spark, docs, none):
     assert find_secrets(docs).where("size(secrets) > 0").count() == 0
     assert find_secrets(none).count() == 0
