@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import time
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 from py4j.protocol import Py4JError
@@ -30,6 +30,7 @@ from sluiceway.plans.steps import Code, Given, Source, Step, Target
 from sluiceway.session import new_scratch_path
 from sluiceway.sinks.base import Folder, Pending, held_columns
 from sluiceway.sinks.files import DryRun
+from sluiceway.sinks.progress import watched
 from sluiceway.sources.tables import guard_row_count
 
 METRIC_COLUMNS = (
@@ -324,6 +325,7 @@ class Flow:
         tables: Mapping[str, DataFrame] | None = None,
         metrics: bool = False,
         share: str | None = "table",
+        progress: Callable[[str, str, int], None] | None = None,
     ) -> RunReport:
         """Check every target, then write every target.
 
@@ -344,6 +346,8 @@ class Flow:
         folder), ``persist``, or None (computed again for each). Steps made of
         scans, filters and expressions alone are computed again in any case, so that
         filters and columns reach the files.
+        ``progress`` is called with a target, ``staged`` or ``written``, and the rows that finished tasks
+        have written so far, while jobs are running. Files are staged and then moved; inserts are written.
         """
         if not self.targets:
             raise FlowError("A run needs a target")
@@ -382,10 +386,12 @@ class Flow:
                     built[i] = self._kept(built[i], "table", kept, scratch)
                 self._check_rows(built, contracts, strict_types, tables or {})
             for target in self.targets:
-                pending.append((target, target.sink.stage(built[self._place_of(target)])))
+                with watched(self.spark, _teller(progress, target.name, "staged")):
+                    pending.append((target, target.sink.stage(built[self._place_of(target)])))
             # inserts can still fail and go first; the switches follow
             for target, ready in sorted(pending, key=lambda pair: pair[1].quick):
-                n = rows[target.name] = ready.commit()
+                with watched(self.spark, _teller(progress, target.name, "written")):
+                    n = rows[target.name] = ready.commit()
                 told[target.name] = (
                     "skipped" if ready.skipped else "written" if n else "unchanged"
                 )
@@ -577,5 +583,11 @@ def costly(df: DataFrame) -> bool:
     return False
 
 
+def _teller(
+    progress: Callable[[str, str, int], None] | None, target: str, phase: str
+) -> Callable[[int], None] | None:
+    return None if progress is None else lambda rows: progress(target, phase, rows)
+
+
 def _ms(began: float) -> int:
     return round((time.monotonic() - began) * 1000)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from sluiceway.functions.conversion import loses_fraction
 from sluiceway.functions.expression import quoted
+from sluiceway.sinks.progress import watched
 
 
 class WriteError(RuntimeError):
@@ -50,11 +51,17 @@ def held_columns(sink: Sink, spark: SparkSession) -> T.StructType | None:
     return None if held is None else held(spark)
 
 
-def write(df: DataFrame, sink: Sink) -> int:
-    """Stage and commit in one go; the number of rows written."""
-    pending = sink.stage(df)
+def write(df: DataFrame, sink: Sink, progress: Callable[[int], None] | None = None) -> int:
+    """Stage and commit in one go; the number of rows written.
+
+    ``progress`` is told the rows of finished tasks while they are staged, and again from
+    0 while a database or table takes them.
+    """
+    with watched(df.sparkSession, progress):
+        pending = sink.stage(df)
     try:
-        total = pending.commit()
+        with watched(df.sparkSession, progress):
+            total = pending.commit()
     except Exception:
         pending.discard()
         raise

@@ -6,7 +6,7 @@ from sluiceway.operators.contracts import TargetColumn
 from sluiceway.plans.flow import Flow, FlowError
 from sluiceway.plans.steps import Code, Columns, Source, Sql, Target
 from sluiceway.sinks.base import Pending
-from sluiceway.sinks.files import AppendFiles, DryRun, ReplaceFiles, ReplaceTable
+from sluiceway.sinks.files import AppendFiles, AppendTable, DryRun, ReplaceFiles, ReplaceTable
 
 
 def upper_name(df):
@@ -573,3 +573,17 @@ def test_a_sample_by_keys_of_code_steps_and_of_no_joins(spark, users):
     assert 90 < len(part) < 270 and all(r["no"] == r["id"] for r in part)
     alone = Flow(spark, [Source("s", users), Sql("n", "SELECT id FROM {prev}")])
     assert rows(alone.key_sample(0.01).result()) == [(1,), (2,), (3,)]
+
+
+def test_a_run_tells_the_rows_of_each_target(spark, users, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS told_rows")
+    users.limit(0).write.saveAsTable("told_rows")
+    told = []
+    flow = Flow(
+        spark,
+        [Source("s", users), Sql("n", "SELECT * FROM {prev} WHERE id > 1")],
+        [Target(ReplaceFiles(str(tmp_path / "a")), name="a"), Target(AppendTable("told_rows"), name="b")],
+    )
+    assert flow.run(progress=lambda *event: told.append(event)).rows == {"a": 2, "b": 2}
+    assert told == sorted(told) and {("a", "staged", 2), ("b", "written", 2)} <= set(told)
+    spark.sql("DROP TABLE told_rows")

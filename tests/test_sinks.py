@@ -1,4 +1,5 @@
 import glob
+import time
 
 import pytest
 from conftest import rows
@@ -365,3 +366,31 @@ def test_text_files_of_others_need_their_schema(spark, tmp_path):
     sink = AppendFiles(str(path), "csv", options=options, schema="id int, name string")
     assert write(spark.createDataFrame([("z", 3)], "name string, id int"), sink) == 1
     assert rows(spark.read.schema("id int, name string").options(**options).csv(str(path))) == [(1, "x"), (2, "y"), (3, "z")]
+
+
+@pytest.mark.parametrize("file_format", ["parquet", "csv", "json"])
+def test_rows_are_told_while_they_are_written(spark, tmp_path, file_format):
+    def slowly(batches):
+        for batch in batches:
+            time.sleep(0.1 if batch["id"].max() < 12_000 else 2)
+            yield batch
+
+    slow = spark.range(0, 24_000, 1, 24).mapInPandas(slowly, "id long")
+    told = []
+    sink = ReplaceFiles(str(tmp_path / "out"), file_format=file_format)
+    assert write(slow, sink, told.append) == 24_000
+    assert len(told) > 1 and told == sorted(set(told)) and told[-1] == 24_000
+
+
+def test_a_listener_that_fails_leaves_the_write_alone(spark, target, users):
+    def refuse(rows):
+        raise ValueError(rows)
+
+    assert write(users, AppendFiles(target), refuse) == 3
+    assert spark.read.parquet(target).count() == 6
+    # a write that fails ends the telling, and later writes count from 0
+    told = []
+    with pytest.raises(Exception, match="row failed"):
+        write(users.withColumn("id", broken("id").cast("bigint")), AppendFiles(target), told.append)
+    assert told == [] and write(users.limit(0), AppendFiles(target), told.append) == 0 and told == []
+    assert write(users, AppendFiles(target), told.append) == 3 and told[-1] == 3
