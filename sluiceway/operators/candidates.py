@@ -21,6 +21,7 @@ _SKETCH = 12  # binary logarithm of the values that a sketch keeps
 _CERTAIN = math.log(2e9)  # a bound that is passed once in a thousand million times
 _SAMPLE = 100_000  # rows that a repeat is looked for in first
 _PER_JOB = 200  # sketches in one aggregation
+_TASK_ROWS = 1_000_000  # rows whose values one task holds to find a repeat
 
 
 def _estimates(df: DataFrame, sets: Sequence[tuple[str, ...]], error: float) -> dict[tuple[str, ...], int]:
@@ -91,7 +92,7 @@ def _minimal_keys(
         ]
         distinct |= _estimates(df, possible, error)
         likely = [s for s in possible if distinct[s] >= n * least]
-        keys += [s for s in _without_repeats(df, likely, n) if _is_unique(df, s)]
+        keys += [s for s in _without_repeats(df, likely, n) if _is_unique(df, s, n)]
         for s in open_:  # bounds for the next level
             if s not in distinct:
                 distinct[s] = math.ceil(
@@ -127,9 +128,15 @@ def _without_repeats(df: DataFrame, sets: list[tuple[str, ...]], n: int) -> list
     return kept
 
 
-def _is_unique(df: DataFrame, columns: Sequence[str]) -> bool:
-    """Exactly: no value occurs twice. Counting stops nowhere, but the tasks fold repeats before the shuffle."""
-    counts = df.groupBy(*(quoted(c) for c in columns)).agg(F.count(F.lit(1)).alias("_n"))
+def _is_unique(df: DataFrame, columns: Sequence[str], n: int) -> bool:
+    """Exactly: no value occurs twice among the ``n`` rows. Counting stops nowhere.
+
+    Few values repeat by now, so rows are dealt by value before they are counted, about _TASK_ROWS to a task: a
+    task then holds its own values only, not those of the steps that ``df`` is made by as well.
+    """
+    names = [quoted(c) for c in columns]
+    dealt = df.select(*names).repartition(max(1, -(-n // _TASK_ROWS)), *names)
+    counts = dealt.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     return counts.where("_n > 1").limit(1).count() == 0
 
 

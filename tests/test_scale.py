@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 
 from conformance.flows import preview_of_joins
+from sluiceway.operators import candidates
 
 from conftest import rows
 
@@ -35,3 +36,15 @@ def test_a_preview_is_compared_in_one_shuffle_of_bounded_parts(spark, sold):
     ((n_wrong, has_rows, is_part, n_whole),) = rows(found)
     assert (has_rows, is_part, n_whole) == (True, True, 600)
     assert 0 < n_wrong < 60  # sampled lines without a date, which equal no line
+
+
+def test_the_exact_count_of_a_key_holds_so_many_rows_in_a_task(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id % 60 AS a", "id div 60 AS b").groupBy("a", "b").count()
+    seen = []
+    deal = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *by: seen.append(n) or deal(self, n, *by))
+    monkeypatch.setattr(candidates, "_TASK_ROWS", 700, raising=False)
+    assert rows(candidates.key_candidates(df)) == [("a,b", 2, 3000)]
+    assert seen == [5]
+    twice = df.unionAll(df.limit(1))
+    assert rows(candidates.key_candidates(twice)) == []
