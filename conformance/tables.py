@@ -175,6 +175,9 @@ def text_table_documents(spark, sf_dir):
     return read_text_table(spark, path, multiline=True)
 
 
+_FILE_BYTES = 1 << 29  # of texts in one file, as one task writes it; several of Spark's parts when it is read
+
+
 @query(
     """
     SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
@@ -183,10 +186,12 @@ def text_table_documents(spark, sf_dir):
     """
 )
 def text_table_one_file(spark, sf_dir):
-    """As text_table_documents, from one large file that many tasks read."""
+    """As text_table_documents, from one large file that many tasks read, or one for every _FILE_BYTES of texts."""
     path = new_scratch_path(spark, "one-text")
     documents = table(spark, sf_dir, "documents")
-    documents.select("doc_id", "text", "lang", "source", "n_chars").repartition(1).write.options(
+    size = documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    files = max(1, -(-size // _FILE_BYTES))
+    documents.select("doc_id", "text", "lang", "source", "n_chars").repartition(files).write.options(
         header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)
     return read_text_table(spark, path, multiline=True)
