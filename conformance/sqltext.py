@@ -3,6 +3,7 @@
 from conformance import query, table
 from sluiceway.operators.sqlsteps import bind_inputs, run_select, sql_chain
 from sluiceway.plans.flow import Flow
+from sluiceway.plans.joinkeys import dealt_by_pairs
 from sluiceway.plans.steps import Source, Sql
 
 
@@ -188,7 +189,11 @@ _THETA = """
 
 @query(_same_text(_THETA, "supplier", "customer"))
 def sql_join_theta(spark, sf_dir):
-    return _select(spark, sf_dir, _THETA, "supplier", "customer")
+    supplier, customer = (table(spark, sf_dir, name) for name in ("supplier", "customer"))
+    dealt = dealt_by_pairs(customer, "c_nationkey", supplier, "s_nationkey")
+    inputs = {"supplier": "supplier", "customer": "customer"}
+    steps = [Source("supplier", supplier), Source("customer", dealt), Sql("result", _THETA, inputs=inputs)]
+    return Flow(spark, steps).result()
 
 
 _HAVING = """

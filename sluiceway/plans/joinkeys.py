@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sluiceway.functions.expression import quoted
 
 _STEPS = 1 << 20
+_TASK_PAIRS = 10_000_000  # pairs of rows that one task compares
 
 
 def _parts(of, name: str) -> Iterator:
@@ -98,3 +99,17 @@ def in_sample(column: str, share: float) -> Column:
     """True for the values of a key that are in a sample of its values, in whichever source they stand."""
     value = F.xxhash64(quoted(column).cast("string"))
     return F.pmod(value, F.lit(_STEPS)) < F.lit(max(1, round(share * _STEPS)))
+
+
+def dealt_by_pairs(larger: DataFrame, key: str, smaller: DataFrame, other_key: str) -> DataFrame:
+    """The larger side of a join whose few keys have many rows, dealt to a task for every _TASK_PAIRS pairs.
+
+    Tables of a few MB are read by one task, which would make all their pairs. It helps where Spark broadcasts the
+    smaller side; otherwise there are as many tasks as keys.
+    """
+    ours = larger.groupBy(quoted(key).alias("key")).agg(F.count(F.lit(1)).alias("ours"))
+    theirs = smaller.groupBy(quoted(other_key).alias("key")).agg(F.count(F.lit(1)).alias("theirs"))
+    # one row comes to the driver
+    pairs = ours.join(theirs, "key").agg(F.sum(F.col("ours") * F.col("theirs"))).first()[0] or 0
+    tasks = -(-pairs // _TASK_PAIRS)
+    return larger.repartition(tasks) if tasks > 1 else larger

@@ -4,8 +4,11 @@ from datetime import datetime
 
 import pytest
 
+from conformance import tables
 from conformance.flows import preview_of_joins
+from conformance.sqltext import sql_join_theta
 from sluiceway.operators import candidates
+from sluiceway.plans import joinkeys
 
 from conftest import rows
 
@@ -48,3 +51,28 @@ def test_the_exact_count_of_a_key_holds_so_many_rows_in_a_task(spark, monkeypatc
     assert seen == [5]
     twice = df.unionAll(df.limit(1))
     assert rows(candidates.key_candidates(twice)) == []
+
+
+def test_large_text_tables_take_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "_FILE_BYTES", 4000, raising=False)
+    docs = [(i, f'a "{i}",\nb ' * 20 if i % 7 else None, "en", None, 5) for i in range(100)]
+    written(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"),
+            tmp_path, "documents")
+    found = tables.text_table_one_file(spark, str(tmp_path))
+    assert rows(found) == sorted(((str(i), t or "", "en", "", "5") for i, t, *_ in docs), key=repr)
+    size = sum(len(t or "") for _, t, *_ in docs)
+    assert len(found.inputFiles()) == -(-size // 4000) > 3
+
+
+def test_a_theta_join_is_dealt_by_its_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joinkeys, "_TASK_PAIRS", 1000, raising=False)
+    customer = [(c, c % 3 if c % 50 else None, float(c % 40)) for c in range(300)]
+    supplier = [(s, s % 3, float(s) if s % 9 else None) for s in range(60)]
+    written(spark.createDataFrame(customer, "c_custkey long, c_nationkey int, c_acctbal double"), tmp_path, "customer")
+    written(spark.createDataFrame(supplier, "s_suppkey long, s_nationkey int, s_acctbal double"), tmp_path, "supplier")
+    found = sql_join_theta(spark, str(tmp_path))
+    assert rows(found) == sorted(
+        ((s, c, b, a) for s, n, b in supplier for c, m, a in customer if n == m and b is not None and a > b), key=repr
+    )
+    pairs = sum(n == m for _, n, _ in supplier for _, m, _ in customer)
+    assert found.rdd.getNumPartitions() == -(-pairs // 1000) > 4
