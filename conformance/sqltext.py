@@ -190,9 +190,11 @@ _THETA = """
 @query(_same_text(_THETA, "supplier", "customer"))
 def sql_join_theta(spark, sf_dir):
     supplier, customer = (table(spark, sf_dir, name) for name in ("supplier", "customer"))
-    dealt = dealt_by_pairs(customer, "c_nationkey", supplier, "s_nationkey")
+    supplier, customer = dealt_by_pairs(
+        supplier, "s_nationkey", "s_acctbal", customer, "c_nationkey", "c_acctbal"
+    )
     inputs = {"supplier": "supplier", "customer": "customer"}
-    steps = [Source("supplier", supplier), Source("customer", dealt), Sql("result", _THETA, inputs=inputs)]
+    steps = [Source("supplier", supplier), Source("customer", customer), Sql("result", _THETA, inputs=inputs)]
     return Flow(spark, steps).result()
 
 

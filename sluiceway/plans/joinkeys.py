@@ -11,9 +11,13 @@ from collections.abc import Iterator, Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluiceway.functions.expression import quoted
+from sluiceway.session import new_scratch_path
 
 _STEPS = 1 << 20
 _TASK_PAIRS = 10_000_000  # pairs of rows that one task compares
+_BLOCK_ROWS = 512  # neighbouring rows of a key that go to the same tiles
+_PART_BLOCKS = 64  # blocks that one task numbers
+_ROW, _BLOCK, _TILE, _KEY = "row of the side", "block of the side", "tile of the join", "key of the tile"
 
 
 def _parts(of, name: str) -> Iterator:
@@ -101,15 +105,63 @@ def in_sample(column: str, share: float) -> Column:
     return F.pmod(value, F.lit(_STEPS)) < F.lit(max(1, round(share * _STEPS)))
 
 
-def dealt_by_pairs(larger: DataFrame, key: str, smaller: DataFrame, other_key: str) -> DataFrame:
-    """The larger side of a join whose few keys have many rows, dealt to a task for every _TASK_PAIRS pairs.
+def _in_blocks(df: DataFrame, key: str, value: str, n_rows: int, label: str) -> DataFrame:
+    """The rows that can have a partner, in order of key and value, with the number of their block.
 
-    Tables of a few MB are read by one task, which would make all their pairs. It helps where Spark broadcasts the
-    smaller side; otherwise there are as many tasks as keys.
+    They are written once to the shared folder: a second reading must find the same numbers.
     """
-    ours = larger.groupBy(quoted(key).alias("key")).agg(F.count(F.lit(1)).alias("ours"))
-    theirs = smaller.groupBy(quoted(other_key).alias("key")).agg(F.count(F.lit(1)).alias("theirs"))
+    order = [quoted(key), quoted(value), F.col(_ROW)]
+    placed = (
+        df.where(quoted(key).isNotNull() & quoted(value).isNotNull())
+        .withColumn(_ROW, F.monotonically_increasing_id())  # parts rows of one value
+        .repartitionByRange(-(-n_rows // (_PART_BLOCKS * _BLOCK_ROWS)), *order)
+        .sortWithinPartitions(*order)
+        .withColumn(_BLOCK, F.expr(f"monotonically_increasing_id() div {_BLOCK_ROWS}"))
+        .drop(_ROW)
+    )
+    path = new_scratch_path(df.sparkSession, label)
+    placed.write.parquet(path)
+    return df.sparkSession.read.schema(placed.schema).parquet(path)
+
+
+def _blocks(df: DataFrame, key: str, number: str, bound: Column) -> DataFrame:
+    return df.groupBy(quoted(key).alias("key"), F.col(_BLOCK).alias(number)).agg(bound)
+
+
+def _dealt(df: DataFrame, key: str, tiles: DataFrame, number: str, tasks: int) -> DataFrame:
+    """The rows once for each tile of their block, the tile's number in place of the key."""
+    tiles = tiles.select(F.col("key").alias(_KEY), F.col(number).alias(_BLOCK), _TILE)
+    rows = df.join(tiles, (quoted(key) == F.col(_KEY)) & (df[_BLOCK] == tiles[_BLOCK]))
+    kept = [F.col(_TILE).alias(key) if c == key else quoted(c) for c in df.columns if c != _BLOCK]
+    return rows.select(kept).repartition(tasks, quoted(key))
+
+
+def dealt_by_pairs(
+    less: DataFrame, less_key: str, less_value: str, more: DataFrame, more_key: str, more_value: str
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an inner join on few keys with many rows, where ``more_value`` > ``less_value`` too.
+
+    Rows of a key with neighbouring values form a block. Two blocks that can hold a pair are a tile, whose rows meet in
+    one task; a task gets about _TASK_PAIRS pairs. The tile's number takes the key's place, so the join may compare the
+    keys but not return them. Rows of a tile meet the same few rows in the same order, which column files hold in few
+    bytes. A join with no more pairs than one task compares is left as it is.
+    """
+    ours = more.groupBy(quoted(more_key).alias("key")).agg(F.count(F.lit(1)).alias("ours"))
+    theirs = less.groupBy(quoted(less_key).alias("key")).agg(F.count(F.lit(1)).alias("theirs"))
     # one row comes to the driver
-    pairs = ours.join(theirs, "key").agg(F.sum(F.col("ours") * F.col("theirs"))).first()[0] or 0
-    tasks = -(-pairs // _TASK_PAIRS)
-    return larger.repartition(tasks) if tasks > 1 else larger
+    pairs, n_more, n_less = (
+        ours.join(theirs, "key").agg(F.sum(F.col("ours") * F.col("theirs")), F.sum("ours"), F.sum("theirs")).first()
+    )
+    tasks = -(-(pairs or 0) // _TASK_PAIRS)
+    if tasks <= 1:
+        return less, more
+    less = _in_blocks(less, less_key, less_value, n_less, "less")
+    more = _in_blocks(more, more_key, more_value, n_more, "more")
+    lower = _blocks(less, less_key, "lower", F.min(quoted(less_value)).alias("least"))
+    upper = _blocks(more, more_key, "upper", F.max(quoted(more_value)).alias("most"))
+    tiles = lower.join(upper, "key").where("most > least")
+    tiles = tiles.select("key", "lower", "upper", F.monotonically_increasing_id().alias(_TILE))
+    path = new_scratch_path(less.sparkSession, "tiles")
+    tiles.write.parquet(path)
+    tiles = less.sparkSession.read.schema(tiles.schema).parquet(path)
+    return _dealt(less, less_key, tiles, "lower", tasks), _dealt(more, more_key, tiles, "upper", tasks)

@@ -76,3 +76,34 @@ def test_a_theta_join_is_dealt_by_its_pairs(spark, tmp_path, monkeypatch):
     )
     pairs = sum(n == m for _, n, _ in supplier for _, m, _ in customer)
     assert found.rdd.getNumPartitions() == -(-pairs // 1000) > 4
+
+
+def test_a_theta_join_is_written_in_few_bytes_a_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joinkeys, "_TASK_PAIRS", 400_000)
+    customer = [(c * 7919 % 100_003, c % 2, c * 6007 % 10_007 / 8) for c in range(2000)]
+    supplier = [(s * 7907 % 100_003, s % 2, s * 6011 % 10_007 / 8) for s in range(2000)]
+    written(spark.createDataFrame(customer, "c_custkey long, c_nationkey int, c_acctbal double"), tmp_path, "customer")
+    written(spark.createDataFrame(supplier, "s_suppkey long, s_nationkey int, s_acctbal double"), tmp_path, "supplier")
+    written(sql_join_theta(spark, str(tmp_path)), tmp_path, "found")
+    n_rows = spark.read.parquet(f"{tmp_path}/found.parquet").count()
+    assert n_rows == sum(n == m and a > b for _, n, b in supplier for _, m, a in customer)
+    assert sum(f.stat().st_size for f in (tmp_path / "found.parquet").glob("*.parquet")) < n_rows
+
+
+def test_tiles_hold_each_pair_once_and_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(joinkeys, "_TASK_PAIRS", 500)
+    monkeypatch.setattr(joinkeys, "_BLOCK_ROWS", 8, raising=False)
+    nan = float("nan")
+    # one value has most rows, some rows come twice or have no partner, keys or values are null
+    less = [(i % 90, i % 4 if i % 11 else None, (1.0, None, nan, -0.0, float(i))[i % 5 if i % 3 else 0]) for i in range(120)]
+    more = [(i % 150, i % 5 if i % 13 else None, (1.0, 0.0, nan, None, float(i))[i % 5 if i % 2 else 0]) for i in range(200)]
+    a = spark.createDataFrame(less, "id long, `k.y` int, v double")
+    b = spark.createDataFrame(more, "id long, key long, v double")
+    pairs = lambda a, b: rows(
+        a.alias("a").join(b.alias("b"), (a["`k.y`"] == b["key"]) & (a["v"] < b["v"])).selectExpr("a.id", "b.id", "a.v", "b.v")
+    )
+    in_tiles = joinkeys.dealt_by_pairs(a, "k.y", "v", b, "key", "v")
+    assert repr(pairs(*in_tiles)) == repr(pairs(a, b))
+    for side, key in zip(in_tiles, ("`k.y`", "key"), strict=True):
+        sizes = [n for _, n in rows(side.groupBy(key).count())]
+        assert len(sizes) > 20 and max(sizes) <= 8
