@@ -17,6 +17,7 @@ _STEPS = 1 << 20
 _TASK_PAIRS = 10_000_000  # pairs of rows that one task compares
 _BLOCK_ROWS = 512  # neighbouring rows of a key that go to the same tiles
 _PART_BLOCKS = 64  # blocks that one task numbers
+_DEALT_ROWS = 2_000_000  # rows that one task deals to tiles
 _ROW, _BLOCK, _TILE, _KEY = "row of the side", "block of the side", "tile of the join", "key of the tile"
 
 
@@ -128,9 +129,10 @@ def _blocks(df: DataFrame, key: str, number: str, bound: Column) -> DataFrame:
     return df.groupBy(quoted(key).alias("key"), F.col(_BLOCK).alias(number)).agg(bound)
 
 
-def _dealt(df: DataFrame, key: str, tiles: DataFrame, number: str, tasks: int) -> DataFrame:
+def _dealt(df: DataFrame, key: str, tiles: DataFrame, number: str, pairs: int, tasks: int) -> DataFrame:
     """The rows once for each tile of their block, the tile's number in place of the key."""
     tiles = tiles.select(F.col("key").alias(_KEY), F.col(number).alias(_BLOCK), _TILE)
+    df = df.repartition(-(-pairs // (_BLOCK_ROWS * _DEALT_ROWS)), quoted(key), F.col(_BLOCK))
     rows = df.join(tiles, (quoted(key) == F.col(_KEY)) & (df[_BLOCK] == tiles[_BLOCK]))
     kept = [F.col(_TILE).alias(key) if c == key else quoted(c) for c in df.columns if c != _BLOCK]
     return rows.select(kept).repartition(tasks, quoted(key))
@@ -164,4 +166,7 @@ def dealt_by_pairs(
     path = new_scratch_path(less.sparkSession, "tiles")
     tiles.write.parquet(path)
     tiles = less.sparkSession.read.schema(tiles.schema).parquet(path)
-    return _dealt(less, less_key, tiles, "lower", tasks), _dealt(more, more_key, tiles, "upper", tasks)
+    return (
+        _dealt(less, less_key, tiles, "lower", pairs, tasks),
+        _dealt(more, more_key, tiles, "upper", pairs, tasks),
+    )
